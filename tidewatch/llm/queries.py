@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, sharding
+from . import bpe, exact_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup
 
 #: Folder of the public vocabulary files; the environment may name another.
 TOKENIZERS = os.environ.get("TIDEWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -33,6 +33,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.col("n_elements").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(documents(spark, sf_dir), VOCABULARY, size=1024)
     return out.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -43,12 +48,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), *quality_rules.FIGURES, "base_failed", "kept")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.suffix_dedup(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.col("n_elements").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_exact_dedup, op5_packing, op6_quality_rules, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_quality_rules, op7_suffix_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
