@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup
 
 #: Folder of the public vocabulary files; the environment may name another.
 TOKENIZERS = os.environ.get("TIDEWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -24,6 +24,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.ngram_components(documents(spark, sf_dir), size=3, percent=90)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History: the lower half of the id range, as if it had been taken in before."""
     docs = documents(spark, sf_dir)
@@ -58,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_quality_rules, op7_suffix_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_ngram_join, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_quality_rules, op7_suffix_dedup, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
