@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,8 +27,12 @@ from .text_arrays import gather
 
 #: Fixed value: the pattern by which byte-level BPE vocabularies of this family split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same split for texts of Latin-1 characters only, where the classes are short; the
+#: standard library's engine takes half the time.
+_LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_WHITE}{_LETTER}{_DIGIT}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Distinct pieces that a Python worker remembers between batches.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 #: Bytes of text that are split into pieces at a time.
 BATCH_BYTES = 16 << 20
 
@@ -162,13 +167,20 @@ class Encoder(dict):
         self.waiting.append(piece)
         return number
 
+    def split(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(text)
+        return LATIN.findall(text)
+
     def pieces(self, text: str) -> np.ndarray:
         if self.v.cut is not None and self.v.cut.search(text):
             parts: list[str] = []
             for part in self.v.cut.split(text):
-                parts += [part] if part in self.v.special else self.pattern.findall(part)
+                parts += [part] if part in self.v.special else self.split(part)
         else:
-            parts = self.pattern.findall(text)
+            parts = self.split(text)
         return np.fromiter(map(self.__getitem__, parts), np.int32, len(parts))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
