@@ -32,9 +32,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \x85\xa0"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_WHITE}{_LETTER}{_DIGIT}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Distinct pieces that a Python worker remembers between batches.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 #: Bytes of text that are split into pieces at a time.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 @lru_cache(1)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, ngram_join, packing, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 
 #: Folder of the public vocabulary files; the environment may name another.
 TOKENIZERS = os.environ.get("TIDEWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -58,12 +58,22 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n_elements").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "perplexity", "shrunk", "limit", "kept")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), VOCABULARY).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_ngram_join, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_quality_rules, op7_suffix_dedup, op10_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_ngram_join, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_line_dedup, op9_quality_classifier, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
