@@ -186,8 +186,9 @@ def permuted_common_prefixes(data: np.ndarray, order: np.ndarray) -> tuple[np.nd
     return np.maximum(value[source] - (place - source), 0), before
 
 
-def repeats_anywhere(blobs: list[bytes], size: int = BYTE_WINDOWS.size) -> list[list[tuple[int, int]]]:
-    """For each region the maximal spans covered by ``size``-byte strings found elsewhere too."""
+def repeats_anywhere(blobs: list[bytes], size: int = BYTE_WINDOWS.size, keep_first: bool = False) -> list[list[tuple[int, int]]]:
+    """For each region the maximal spans covered by ``size``-byte strings found elsewhere
+    too; with ``keep_first`` by those found earlier."""
     data = np.frombuffer(SEPARATOR.join(blobs), np.uint8)
     order = suffix_array(data)
     value, before = permuted_common_prefixes(data, order)
@@ -195,6 +196,9 @@ def repeats_anywhere(blobs: list[bytes], size: int = BYTE_WINDOWS.size) -> list[
     start = np.zeros(len(data) + 1, np.int64)
     start[found] = 1
     start[before[found]] = 1
+    if keep_first:  # strings with a common prefix of that size are neighbours in the order
+        groups = np.flatnonzero(value[order] < size)
+        start[np.minimum.reduceat(order, groups)] = 0
     lengths = np.array([len(b) for b in blobs])
     first = np.cumsum(lengths + 1) - lengths - 1
     out = []
@@ -208,20 +212,21 @@ def repeats_anywhere(blobs: list[bytes], size: int = BYTE_WINDOWS.size) -> list[
     return out
 
 
-def _solver(size: int):
-    return lambda blobs: repeats_anywhere(blobs, size)
+def _solver(size: int, keep_first: bool):
+    return lambda blobs: repeats_anywhere(blobs, size, keep_first)
 
 
-def suffix_dedup(docs: DataFrame, windows: Windows = BYTE_WINDOWS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, windows: Windows = BYTE_WINDOWS, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Every row's UTF-8 bytes without those in strings that also start anywhere else.
 
     A string has ``windows.size`` bytes and lies in one document; overlapping
-    occurrences count.  Shorter documents, empty and null texts stay as they are.  Rows
+    occurrences count.  With ``keep_first`` only strings that also start earlier (smaller
+    id, null first, or same document and earlier start) are removed.  Shorter documents, empty and null texts stay as they are.  Rows
     that repeat id and text are one document.
 
     Returns id, kept (binary: a cut may split a character), n_elements (bytes),
     n_removed, n_spans (maximal removed runs), and the columns ``carry``.
     """
     read = keyed(docs, *carry, id_col=id_col, text_col=text_col)
-    spans = repeated_spans(read.select("id", "k", "text"), windows, _solver(windows.size), all_copies=True)
+    spans = repeated_spans(read.select("id", "k", "text"), windows, _solver(windows.size, keep_first), all_copies=not keep_first)
     return remove_spans(read, spans, windows, *carry)
