@@ -6,7 +6,7 @@ elements), and equal windows contain the same one at the same place.  So:
 
 1. anchors: in each document the grams that are smallest in some window;
 2. an anchor that occurs once in the corpus lies in no repeated window; for the others
-   the smallest document key that has it is its leader, and the leader's hash its shard;
+   the smallest (32-bit) document number that has it is its leader and gives its shard;
 3. regions: the text around the anchors of one shard, overlapping ones merged.
 
 Equal windows meet in the shard of their common anchor.  Shards hold about
@@ -92,7 +92,7 @@ def repeated_anchors(docs: DataFrame, w: Windows) -> DataFrame:
     execution splits.
     """
     found = anchors(docs, w)
-    leaders = found.groupBy("h").agg(F.count("*").alias("n"), F.min("k").alias("leader")).filter("n > 1").drop("n")
+    leaders = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.hash("k")).alias("leader")).filter("n > 1").drop("n")
     return cut(found.join(leaders, "h").select("k", "pos", "leader"))
 
 
@@ -135,7 +135,7 @@ def regions(docs: DataFrame, w: Windows) -> DataFrame:
     places = repeated_anchors(docs, w)
     spacing = (w.span + 1) / 2 * w.bytes_per_element()
     shards = max(width(docs.sparkSession), math.ceil(places.count() * spacing / w.shard_bytes))
-    packed = F.shiftleft(F.pmod(F.xxhash64("leader"), F.lit(shards)), 32) + F.col("pos")
+    packed = F.shiftleft(F.pmod("leader", F.lit(shards)).cast("long"), 32) + F.col("pos")
     lists = places.groupBy("k").agg(F.collect_list(packed).alias("places"))
     return cut(docs.join(lists, "k").select("id", "k", "text", "places").mapInArrow(_regions(w), REGION))
 

@@ -24,6 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     kept = df.checkpoint(eager=True)
+    del df  # its plan holds on to the shuffles
     gc.collect()
     context._jvm.System.gc()
     return kept

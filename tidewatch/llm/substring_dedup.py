@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .anchors import Windows, remove_spans, repeated_spans
 from .spark_util import keyed
 
-WORD_WINDOWS = Windows("words", size=20, gram=12, shard_bytes=1_500_000)
+WORD_WINDOWS = Windows("words", size=20, gram=8, shard_bytes=1_500_000)
 
 
 class SuffixAutomaton:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from .anchors import Windows, remove_spans, repeated_spans
 from .spark_util import keyed
 
-BYTE_WINDOWS = Windows("bytes", size=200, gram=96, shard_bytes=2_000_000)
+BYTE_WINDOWS = Windows("bytes", size=200, gram=64, shard_bytes=2_000_000)
 #: Between regions; no byte of UTF-8.
 SEPARATOR = b"\xff"
 
