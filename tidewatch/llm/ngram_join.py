@@ -2,8 +2,8 @@
 
 All n-grams have one global order: frequent ones last, by frequency, the others by hash.
 Two similar sets share an n-gram among the first of each, so sets that share none are
-never compared.  Equal sets count as one.  Candidates are linked to a bucket's least
-member, not in pairs; the groups that arise are cut into blocks.  For two blocks the
+never compared.  Equal sets count as one.  The sets that share such an n-gram form a
+bucket; buckets are cut into blocks, so no pairs travel.  For two blocks the
 global order is cut into fragments, partial overlaps are counted fragment by fragment
 as small matrix products and summed per pair, and only a forest of the pairs that reach
 the threshold leaves the task.
@@ -138,8 +138,12 @@ def prefix(grams: np.ndarray, length: int, tokens: np.ndarray, df: np.ndarray) -
     return np.concatenate([rare, grams[last[order[: length - len(rare)]]]])
 
 
-def candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """node (digest s1 of a set), component: sets that may be linked are in one component."""
+def candidate_buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """bucket, s1: the sets (by digest s1) that share an n-gram of their prefixes.
+
+    Of buckets with the same members one is kept.  Members are summed up per n-gram, not
+    gathered, so a hot n-gram reaches the shuffle as one row per task.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +160,12 @@ def candidate_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(node.view(np.int64))], names=["gram", "node"])
 
     first = docs.select("text").mapInArrow(run, "gram long, node long")
-    buckets = first.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    edges = first.join(buckets, "gram").filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    return connected_components(edges)
+    several = cut(first.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("gram"))
+    members = cut(first.join(several, "gram").distinct())
+    mark = lambda salt: F.sum(F.xxhash64("node", F.lit(salt)) % (1 << 40))
+    marks = members.groupBy("gram").agg(F.count("*").alias("n"), mark(1).alias("m1"), mark(2).alias("m2"))
+    chosen = cut(marks.groupBy("n", "m1", "m2").agg(F.min("gram").alias("gram")).select("gram"))
+    return members.join(chosen, "gram").select(F.col("gram").alias("bucket"), F.col("node").alias("s1"))
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -195,13 +202,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _link(percent: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         edges: list[tuple[int, int]] = []
-        for _, group in rows.groupby("component", sort=False):
+        for _, group in rows.groupby("bucket", sort=False):
             group = group.drop_duplicates("node")
             sets = [np.frombuffer(b, np.uint64) for b in group["grams"]]
             n, node, own = np.array([len(s) for s in sets]), group["node"].to_numpy(), group["own"].to_numpy()
-            a, b = group["a"].iloc[0], group["b"].iloc[0]
-            i, j = np.flatnonzero(own == a), np.flatnonzero(own == b)
-            if not len(i) or not len(j):
+            i, j = np.flatnonzero(own == group["a"].iloc[0]), np.flatnonzero(own == group["b"].iloc[0])
+            if len(sets) < 2 or not len(i) or not len(j):
                 continue
             common = overlaps([sets[x] for x in i], [sets[x] for x in j])
             close = 100 * common >= percent * (n[i][:, None] + n[j][None, :] - common)
@@ -215,26 +221,30 @@ def _link(percent: int) -> Callable:
 
 
 def similar_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: edges that connect exactly the sets connected by links (nodes: least ids)."""
-    groups = candidate_groups(docs, size, percent)
-    members = cut(sets.join(groups.withColumnRenamed("node", "s1"), "s1").select("component", "node", "k"))
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    """a, b: edges that connect exactly the sets connected by links (nodes: least ids).
+
+    Each bucket is compared on its own, in blocks of BLOCK sets; small buckets share
+    tasks.  Sets are made once for each member and then copied to its buckets.
+    """
+    members = cut(candidate_buckets(docs, size, percent).join(sets.select("s1", "node", "k"), "s1").select("bucket", "node", "k"))
+    blocks = cut(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
     bins = max(1, members.count() // (4 * BLOCK))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             held = pa.array([s.tobytes() for s in ngram_sets(batch.column("text"), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), held], names=["component", "node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), held], names=["node", "grams"])
 
-    texts = docs.select("k", "text").join(members, "k").select("component", "node", "text").mapInArrow(grams, "component long, node long, grams binary")
+    nodes = members.select("k", "node").distinct()
+    texts = docs.select("k", "text").join(nodes, "k").select("node", "text").mapInArrow(grams, "node long, grams binary")
     pairs = (
-        texts.join(sizes, "component", "left")
+        members.select("bucket", "node").join(texts, "node").join(blocks, "bucket", "left")
         .withColumns({"large": F.col("blocks").isNotNull(), "blocks": F.coalesce("blocks", F.lit(1))})
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({
             "a": F.least("own", "other"), "b": F.greatest("own", "other"),
-            "bin": F.when(F.col("large"), F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))),
+            "bin": F.when(F.col("large"), F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bins))),
         })
     )
     return pairs.groupBy("large", "bin", "a", "b").applyInPandas(_link(percent), "a long, b long")
