@@ -92,7 +92,7 @@ def repeated_anchors(docs: DataFrame, w: Windows) -> DataFrame:
     execution splits.
     """
     found = anchors(docs, w)
-    leaders = found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.hash("k")).alias("leader")).filter("n > 1").drop("n")
+    leaders = cut(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.hash("k")).alias("leader")).filter("n > 1").drop("n"))
     return cut(found.join(leaders, "h").select("k", "pos", "leader"))
 
 
@@ -180,7 +180,7 @@ def repeated_spans(docs: DataFrame, w: Windows, solver: Solver, all_copies: bool
         .select("shard", "a", "b", "id", "k", "start", "blob")
     )
     solved = paired.groupBy("shard", "a", "b").applyInPandas(_solve(solver), "k long, first int, last int")
-    bounds = groups.agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").withColumnRenamed("digest", "d").withColumnRenamed("shard", "s")
+    bounds = cut(groups.agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").withColumnsRenamed({"digest": "d", "shard": "s"}))
     copies = found.join(bounds, (F.col("shard") == F.col("s")) & (F.col("digest") == F.col("d")))
     if not all_copies:
         copies = copies.filter(place > F.col("least"))
