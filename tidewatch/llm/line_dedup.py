@@ -143,11 +143,11 @@ def line_dedup(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "doc
     """
     read = keyed(docs, *carry, id_col=id_col, text_col=text_col)
     found = chunk_hashes(read, mean_lines)
-    repeated = found.groupBy("hash1", "hash2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    repeated = cut(found.groupBy("hash1", "hash2").agg(F.count("*").alias("c")).filter("c > 1").drop("c"))
     wanted = found.join(repeated, ["hash1", "hash2"]).groupBy("k").agg(F.collect_set("idx").alias("idxs"))
     held = cut(chunk_bytes(read.withColumn("id", F.coalesce("id", F.lit(NULL_ID))), cut(wanted), mean_lines))
     place = F.struct("id", "k", "idx")
-    firsts = held.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last")
+    firsts = cut(held.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last"))
     later = held.join(firsts, "chunk").filter(place > F.col("first"))
     gone = cut(later.groupBy("k").agg(F.collect_set("idx").alias("idxs")))
     return remove_chunks(read, gone, mean_lines, *carry)
