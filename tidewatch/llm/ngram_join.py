@@ -2,8 +2,8 @@
 
 All n-grams have one global order: frequent ones last, by frequency, the others by hash.
 Two similar sets share an n-gram among the first of each, so sets that share none are
-never compared.  Equal sets count as one.  The sets that share such an n-gram form a
-bucket; buckets are cut into blocks, so no pairs travel.  For two blocks the
+never compared.  Equal sets count as one.  The sets that share such an n-gram with the
+same least set form a bucket; buckets are cut into blocks, so no pairs travel.  For two blocks the
 global order is cut into fragments, partial overlaps are counted fragment by fragment
 as small matrix products and summed per pair, and only a forest of the pairs that reach
 the threshold leaves the task.
@@ -141,8 +141,9 @@ def prefix(grams: np.ndarray, length: int, tokens: np.ndarray, df: np.ndarray) -
 def candidate_buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """bucket, s1: the sets (by digest s1) that share an n-gram of their prefixes.
 
-    Of buckets with the same members one is kept.  Members are summed up per n-gram, not
-    gathered, so a hot n-gram reaches the shuffle as one row per task.
+    N-grams whose least member is the same set make one bucket, named by that set: near
+    copies share many n-grams but have few least members, so their sets are copied to few
+    buckets.  An n-gram's least member is an aggregate that combines within map tasks.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, size))
 
@@ -160,12 +161,8 @@ def candidate_buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(node.view(np.int64))], names=["gram", "node"])
 
     first = docs.select("text").mapInArrow(run, "gram long, node long")
-    several = cut(first.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("gram"))
-    members = cut(first.join(several, "gram").distinct())
-    mark = lambda salt: F.sum(F.xxhash64("node", F.lit(salt)) % (1 << 40))
-    marks = members.groupBy("gram").agg(F.count("*").alias("n"), mark(1).alias("m1"), mark(2).alias("m2"))
-    chosen = cut(marks.groupBy("n", "m1", "m2").agg(F.min("gram").alias("gram")).select("gram"))
-    return members.join(chosen, "gram").select(F.col("gram").alias("bucket"), F.col("node").alias("s1"))
+    least = cut(first.groupBy("gram").agg(F.min("node").alias("bucket"), F.max("node").alias("most")).filter("bucket < most").drop("most"))
+    return first.join(least, "gram").select("bucket", F.col("node").alias("s1")).distinct()
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
