@@ -1 +1 @@
-"""Column functions: fixed values, timestamps, addresses."""
+"""Column functions: fixed values, timestamps, addresses; cutting lineage."""
