@@ -3,8 +3,11 @@
 All n-grams have one global order: frequent ones last, by frequency, the others by hash.
 Two similar sets share an n-gram among the first of each, so sets that share none are
 never compared.  Equal sets count as one.  The sets that share such an n-gram with the
-same least set form a bucket; buckets are cut into blocks, so no pairs travel.  For two blocks the
-global order is cut into fragments, partial overlaps are counted fragment by fragment
+same least set form a bucket; buckets are cut into blocks, so no pairs travel.
+
+Two sketches thin the buckets out: the order is cut into fragments, one byte for each
+holds a hash of the n-grams in it, and two similar sets differ in as many fragments as
+n-grams at most.  What is left is compared in full: for two blocks the global order is cut into fragments, partial overlaps are counted fragment by fragment
 as small matrix products and summed per pair, and only a forest of the pairs that reach
 the threshold leaves the task.
 """
@@ -54,19 +57,41 @@ def ngram_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
-def set_digests(docs: DataFrame, size: int) -> DataFrame:
-    """id, k, n (set size) and the set's 128-bit digest s1, s2."""
+def size_class(n: int, percent: int) -> int:
+    """Sizes of two linked sets are in one class or in neighbouring ones."""
+    return int(math.log(max(n, 1)) / math.log(100.1 / percent))
+
+
+def fragments(level: int, percent: int) -> int:
+    """Fragments of the sketches of a class: well above the n-grams in which two differ."""
+    largest = (100.1 / percent) ** (level + 1)
+    return 8 + math.ceil(2.5 * (100 - percent) / (100 + percent) * 2 * largest)
+
+
+def sketch(grams: np.ndarray, parts: int) -> bytes:
+    """One byte for each of ``parts`` equal ranges of the hash order."""
+    place = ((grams >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = np.searchsorted(place, np.arange(parts + 1, dtype=np.uint64))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams))])
+    return mix(total[edges[1:]] - total[edges[:-1]]).astype(np.uint8).tobytes()
+
+
+def set_digests(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """id, k, n (set size), the set's 128-bit digest s1, s2, and its sketches for its own
+    class and the next one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = ngram_sets(batch.column("text"), size)
+            levels = [size_class(len(s), percent) for s in sets]
+            drawn = [pa.array([sketch(s, fragments(c + more, percent)) for s, c in zip(sets, levels, strict=True)], pa.binary()) for more in (0, 1)]
             total = lambda salt: pa.array(np.array([mix(s ^ np.uint64(salt)).sum() for s in sets], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), total(0x5851F42D4C957F2D), total(0x14057B7EF767814F)],
-                names=["id", "k", "n", "s1", "s2"],
+                [batch.column("id"), batch.column("k"), pa.array([len(s) for s in sets], pa.int64()), total(0x5851F42D4C957F2D), total(0x14057B7EF767814F), *drawn],
+                names=["id", "k", "n", "s1", "s2", "own_sketch", "next_sketch"],
             )
 
-    return docs.mapInArrow(run, "id long, k long, n long, s1 long, s2 long")
+    return docs.mapInArrow(run, "id long, k long, n long, s1 long, s2 long, own_sketch binary, next_sketch binary")
 
 
 def frequent_ngrams(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +164,7 @@ def prefix(grams: np.ndarray, length: int, tokens: np.ndarray, df: np.ndarray) -
 
 
 def candidate_buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """bucket, s1: the sets (by digest s1) that share an n-gram of their prefixes.
+    """bucket, node: the sets (by digest s1) that share an n-gram of their prefixes.
 
     N-grams whose least member is the same set make one bucket, named by that set: near
     copies share many n-grams but have few least members, so their sets are copied to few
@@ -162,18 +187,17 @@ def candidate_buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     first = docs.select("text").mapInArrow(run, "gram long, node long")
     least = cut(first.groupBy("gram").agg(F.min("node").alias("bucket"), F.max("node").alias("most")).filter("bucket < most").drop("most"))
-    return first.join(least, "gram").select("bucket", F.col("node").alias("s1")).distinct()
+    return first.join(least, "gram").select("bucket", "node").distinct()
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges to the least member of each component of a symmetric boolean matrix."""
+def component_labels(linked: np.ndarray) -> np.ndarray:
+    """The least member of each member's component in a symmetric boolean matrix."""
     label = np.arange(len(linked))
     while True:
-        least = np.where(linked, label[None, :], len(label)).min(axis=1)
-        new = np.minimum(label, least)
+        new = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
         new = np.minimum(new, new[new])
         if (new == label).all():
-            return [(i, int(x)) for i, x in enumerate(label) if i != x]
+            return label
         label = new
 
 
@@ -196,46 +220,72 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def similar_sketches(n: np.ndarray, own: list[bytes], following: list[bytes], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Symmetric matrix: which sets of i and j may be linked, by their sketches.
+
+    A pair is compared at the level of its larger class, which both have.  If the sets
+    differ in d n-grams, their sketches differ in d places at most, and
+    d <= (100 - percent) / (100 + percent) * (n1 + n2) for linked sets.
+    """
+    level = np.array([size_class(x, percent) for x in n.tolist()])
+    out = np.zeros((len(n), len(n)), bool)
+    for c in np.unique(level).tolist():
+        rows = lambda x: x[(level[x] == c) | (level[x] == c - 1)]  # noqa: B023, E731
+        a, b = rows(i), rows(j)
+        if not len(a) or not len(b):
+            continue
+        view = lambda x: np.array([np.frombuffer(own[k] if level[k] == c else following[k], np.uint8) for k in x.tolist()])  # noqa: B023, E731
+        x, y = view(a), view(b)
+        differ = np.array([(r != y).sum(axis=1) for r in x])
+        most = (100 - percent) * (n[a][:, None] + n[b][None, :]) // (100 + percent)
+        high = np.maximum(level[a][:, None], level[b][None, :]) == c
+        out[np.ix_(a, b)] |= (differ <= most) & high
+    return out | out.T
+
+
+def _thin(percent: int) -> Callable:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple[int, int]] = []
+        for _, group in rows.groupby("bucket", sort=False):
+            node, own = group["node"].to_numpy(), group["own"].to_numpy()
+            i, j = np.flatnonzero(own == group["a"].iloc[0]), np.flatnonzero(own == group["b"].iloc[0])
+            if len(node) < 2 or not len(i) or not len(j):
+                continue
+            near = similar_sketches(group["n"].to_numpy(), group["own_sketch"].tolist(), group["next_sketch"].tolist(), i, j, percent)
+            np.fill_diagonal(near, False)
+            label = component_labels(near)
+            kept += [(int(node[label[x]]), int(node[x])) for x in np.flatnonzero(near.any(axis=1)).tolist()]
+        return pd.DataFrame(kept, columns=["bucket", "node"], dtype="int64")
+
+    return run
+
+
 def _link(percent: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         edges: list[tuple[int, int]] = []
         for _, group in rows.groupby("bucket", sort=False):
-            group = group.drop_duplicates("node")
             sets = [np.frombuffer(b, np.uint64) for b in group["grams"]]
             n, node, own = np.array([len(s) for s in sets]), group["node"].to_numpy(), group["own"].to_numpy()
             i, j = np.flatnonzero(own == group["a"].iloc[0]), np.flatnonzero(own == group["b"].iloc[0])
             if len(sets) < 2 or not len(i) or not len(j):
                 continue
             common = overlaps([sets[x] for x in i], [sets[x] for x in j])
-            close = 100 * common >= percent * (n[i][:, None] + n[j][None, :] - common)
             linked = np.zeros((len(sets), len(sets)), bool)
-            linked[np.ix_(i, j)] = close
-            linked |= linked.T
-            edges += [(int(node[x]), int(node[y])) for x, y in forest(linked)]
+            linked[np.ix_(i, j)] = 100 * common >= percent * (n[i][:, None] + n[j][None, :] - common)
+            label = component_labels(linked | linked.T)
+            edges += [(int(node[x]), int(node[y])) for x, y in enumerate(label.tolist()) if x != y]
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def similar_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """a, b: edges that connect exactly the sets connected by links (nodes: least ids).
-
-    Each bucket is compared on its own, in blocks of BLOCK sets; small buckets share
-    tasks.  Sets are made once for each member and then copied to its buckets.
-    """
-    members = cut(candidate_buckets(docs, size, percent).join(sets.select("s1", "node", "k"), "s1").select("bucket", "node", "k"))
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Rows (bucket, node, ...) with the keys large, bin, a, b of the tasks that compare
+    blocks a and b of a bucket (columns own, a, b); small buckets share tasks."""
     blocks = cut(members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"))
     bins = max(1, members.count() // (4 * BLOCK))
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            held = pa.array([s.tobytes() for s in ngram_sets(batch.column("text"), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), held], names=["node", "grams"])
-
-    nodes = members.select("k", "node").distinct()
-    texts = docs.select("k", "text").join(nodes, "k").select("node", "text").mapInArrow(grams, "node long, grams binary")
-    pairs = (
-        members.select("bucket", "node").join(texts, "node").join(blocks, "bucket", "left")
+    return (
+        members.join(blocks, "bucket", "left")
         .withColumns({"large": F.col("blocks").isNotNull(), "blocks": F.coalesce("blocks", F.lit(1))})
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -243,30 +293,53 @@ def similar_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int) ->
             "a": F.least("own", "other"), "b": F.greatest("own", "other"),
             "bin": F.when(F.col("large"), F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(bins))),
         })
+        .drop("blocks", "other")
     )
-    return pairs.groupBy("large", "bin", "a", "b").applyInPandas(_link(percent), "a long, b long")
+
+
+def similar_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: edges that connect exactly the sets connected by links (nodes: digests s1).
+
+    Buckets are thinned out by sketches first; a group that is left is named by its least
+    set, so that groups of several buckets with the same one are compared once.  Full sets
+    are made for the sets that are left only.
+    """
+    keys = ["large", "bin", "a", "b"]
+    members = cut(candidate_buckets(docs, size, percent))
+    rough = in_blocks(members).join(sets.select("node", "n", "own_sketch", "next_sketch"), "node")
+    left = cut(rough.groupBy(*keys).applyInPandas(_thin(percent), "bucket long, node long").distinct())
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held = pa.array([s.tobytes() for s in ngram_sets(batch.column("text"), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), held], names=["node", "grams"])
+
+    nodes = sets.select("k", "node").join(left.select("node").distinct(), "node")
+    texts = docs.select("k", "text").join(nodes, "k").select("node", "text").mapInArrow(grams, "node long, grams binary").dropDuplicates(["node"])
+    return in_blocks(left).join(texts, "node").groupBy(*keys).applyInPandas(_link(percent), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's n-gram set size and the component of the documents linked to it.
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their
-    sets.  Documents without words have empty sets and no links.  Rows with one id are
-    one node; a null id sorts first and its component may be null.
+    sets.  Documents without words have empty sets and no links.  A null id is smaller
+    than any other, so the component of what it is linked with is null.
 
     Returns id, n_shingles, component_id (smallest id reachable), twin_id (smallest id
     with an equal set).
     """
     read = keyed(docs, id_col=id_col, text_col=text_col)
-    base = cut(set_digests(read.withColumn("id", F.coalesce("id", F.lit(NULL_ID))), size))
-    least = F.min(F.struct("id", "k")).alias("least")
-    sets = base.filter("n > 0").groupBy("s1", "s2", "n").agg(least).select("s1", "s2", "n", F.col("least.id").alias("node"), F.col("least.k").alias("k"))
-    found = connected_components(similar_edges(read, sets, size, percent))
-    named = sets.select("s1", "s2", "n", "node").join(found, "node", "left").select(
-        F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("m"), "node", F.coalesce("component", "node").alias("component")
+    base = cut(set_digests(read.withColumn("id", F.coalesce("id", F.lit(NULL_ID))), size, percent))
+    least = F.min(F.struct(F.col("id").alias("twin"), "k", "own_sketch", "next_sketch")).alias("least")
+    sets = cut(base.filter("n > 0").groupBy("s1", "s2", "n").agg(least).select(F.col("s1").alias("node"), "s2", "n", "least.*"))
+    found = cut(connected_components(similar_edges(read, sets, size, percent)))
+    ids = cut(found.join(sets.select("node", "twin"), "node").groupBy("component").agg(F.min("twin").alias("smallest")))
+    named = sets.select("node", "s2", "n", "twin").join(found.join(ids, "component").select("node", "smallest"), "node", "left").select(
+        F.col("node").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("m"), "twin", F.coalesce("smallest", "twin").alias("smallest")
     )
     real = lambda c: F.when(c != NULL_ID, c)
     same = (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") == F.col("m"))
-    return base.join(named, same, "left").select(
-        real(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "id")).alias("component_id"), real(F.coalesce("node", "id")).alias("twin_id")
+    return base.join(cut(named), same, "left").select(
+        real(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), real(F.coalesce("smallest", "id")).alias("component_id"), real(F.coalesce("twin", "id")).alias("twin_id")
     )
