@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, line_dedup, ngram_join, oracle, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 
 #: Folder of the public vocabulary files; the environment may name another.
 TOKENIZERS = os.environ.get("TIDEWATCH_TOKENIZERS", "/opt/tokenizers")
@@ -77,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are tested against plain Python (``tests/llm``)."""
+    return {"op1_sharding": oracle.OP1, "op3_exact_dedup": oracle.OP3, "op4_substring_dedup": oracle.OP4, "op6_quality_rules": oracle.OP6}
