@@ -70,7 +70,7 @@ def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def behavior_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analyzed(spark, sf_dir), "row_id", "saddr", "epoch", "total_flows", "unique_dst_ips", "unique_dst_ports", digits=4, **{c: c for c in _RATES})
+    return rounded(analyzed(spark, sf_dir), "row_id", "saddr", "epoch", "total_flows", "unique_dst_ips", "unique_dst_ports", digits=9, **{c: c for c in _RATES})
 
 
 _LIFE = _SESSIONS + """,
@@ -81,10 +81,10 @@ life AS (SELECT *, min(t_us) OVER w AS first_us, count(*) OVER w AS total_flows,
     sum(auth_failures) OVER w AS af, count(*) FILTER (state = 'rejected') OVER w AS rej, count(*) FILTER (state = 'rst') OVER w AS rst
   FROM ep WINDOW w AS (PARTITION BY saddr, epoch ORDER BY t_us, row_id ROWS UNBOUNDED PRECEDING)),
 rate AS (SELECT *, greatest(least((t_us - first_us) / 1e6, 300.0), 0.001) AS s FROM life)"""
-BEHAVIOR_FEATURES = f"""WITH {_LIFE} SELECT row_id, saddr, epoch, total_flows, u_ips AS unique_dst_ips, u_ports AS unique_dst_ports, round(total_flows / s, 4) AS flow_rate, round(CAST(done AS DOUBLE) / total_flows, 4) AS complete_flow_ratio,
-  round(ips / s, 4) AS dst_ips_per_second, round(ports / s, 4) AS dst_ports_per_second, round(window_bytes / s, 4) AS bytes_sent_per_second, round(window_packets / s, 4) AS packets_sent_per_second,
-  round(CAST(he AS DOUBLE) / greatest(1, h), 4) AS http_error_ratio, round(CAST(de AS DOUBLE) / greatest(1, dn), 4) AS dns_failure_ratio, round(CAST(te AS DOUBLE) / greatest(1, tl), 4) AS tls_failure_ratio, round(af / s, 4) AS auth_failures_per_second,
-  round(CAST(rej AS DOUBLE) / total_flows, 4) AS rejected_ratio, round(CAST(rst AS DOUBLE) / total_flows, 4) AS reset_ratio FROM rate"""
+BEHAVIOR_FEATURES = f"""WITH {_LIFE} SELECT row_id, saddr, epoch, total_flows, u_ips AS unique_dst_ips, u_ports AS unique_dst_ports, round(total_flows / s, 9) AS flow_rate, round(CAST(done AS DOUBLE) / total_flows, 9) AS complete_flow_ratio,
+  round(ips / s, 9) AS dst_ips_per_second, round(ports / s, 9) AS dst_ports_per_second, round(window_bytes / s, 9) AS bytes_sent_per_second, round(window_packets / s, 9) AS packets_sent_per_second,
+  round(CAST(he AS DOUBLE) / greatest(1, h), 9) AS http_error_ratio, round(CAST(de AS DOUBLE) / greatest(1, dn), 9) AS dns_failure_ratio, round(CAST(te AS DOUBLE) / greatest(1, tl), 9) AS tls_failure_ratio, round(af / s, 9) AS auth_failures_per_second,
+  round(CAST(rej AS DOUBLE) / total_flows, 9) AS rejected_ratio, round(CAST(rst AS DOUBLE) / total_flows, 9) AS reset_ratio FROM rate"""
 
 
 def scored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
