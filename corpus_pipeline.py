@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import line_dedup, ngram_join, packing, quality_classifier, suffix_dedup
 from tidewatch.llm.queries import VOCABULARY, documents
+from tidewatch.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -72,6 +73,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
+    ship(spark)
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
