@@ -275,3 +275,21 @@ def test_kneser_ney_probabilities_sum_to_one(labelled):
     for table in model.values():
         sums = np.exp(quality_classifier.dense(table).astype(np.float64)).reshape(-1, n).sum(axis=1)
         assert np.allclose(sums, 1, atol=1e-3)
+
+
+def test_classifier_finds_toxic_words_and_repetition(spark):
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(200):
+        w = prose(rng, 80).split()
+        if i % 5 == 4:  # ordinary prose with three bad words
+            for k in range(3):
+                w[20 + 4 * k] = "w17o"
+        rows.append((i, " ".join(w), "en"))
+        if i < 150:
+            marks.append((i, 1, int(i % 5 == 4)))
+    rows.append((999, "w1 " * 300, "en"))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    kept = {i: k for i, (k,) in by_id(quality_classifier.classify(docs, labels), "kept").items()}
+    assert not any(kept[i] for i in range(150, 200) if i % 5 == 4) and not kept[999]
+    assert sum(kept[i] for i in range(150, 200) if i % 5 != 4) >= 38

@@ -7,7 +7,8 @@ come from equi-joins of the count tables, sharded by (language, context).  There
 ``CLASSES ** ORDER`` n-grams at most, whatever the corpus: that bounds the model, which
 is therefore broadcast to score the documents in one pass over their text.  A document
 is rejected when its perplexity is above its language's limit, a multiple of a quantile
-of the trusted documents' perplexities.
+of the trusted documents' perplexities, or below a lower limit (mere repetition), or when
+a window of it holds words of documents labelled bad or toxic (``word_evidence``).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import word_evidence
 from .spark_util import cut
 from .text_arrays import slices, text_bytes
 
@@ -31,6 +33,8 @@ LANGUAGE_DOCS = 20
 #: Scores of short documents are drawn to the language's mean as if so many more bytes scored it.
 PRIOR_BYTES = 60
 QUANTILE, MARGIN = 0.99, 1.15
+#: One trusted document in so many is not counted in the table of words.
+HELD_OUT = 5
 ALL = ""
 
 
@@ -143,16 +147,18 @@ def dense(model: Model) -> np.ndarray:
     return np.log(p)
 
 
-def score(docs: DataFrame, models: dict[str, Model], *carry: str) -> DataFrame:
-    """The columns ``carry``, n_bytes and log_likelihood (sum of log probabilities)."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def score(answered: DataFrame, schema: str, models: dict[str, Model], *carry: str) -> DataFrame:
+    """The columns ``carry``, n_bytes, log_likelihood (sum of log probabilities) and evidence
+    of the rows in slices (``word_evidence.answers``)."""
+    shared = answered.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for row in (r for b in batches for r in b.to_pylist()):
+            batch = word_evidence.opened(row["body"])
             data, at = text_bytes(batch.column("text"))
             gram, total = codes(data, at), np.zeros(len(data))
-            lang = np.array([x if x in shared.value else ALL for x in batch.column("model").to_pylist()], object)
+            lang = np.array([x if x in shared.value else ALL for x in batch.column("lang").to_pylist()], object)
             for name in set(lang):
                 if name not in tables:
                     if len(tables) == 6:
@@ -161,10 +167,11 @@ def score(docs: DataFrame, models: dict[str, Model], *carry: str) -> DataFrame:
                 own = np.repeat(lang == name, np.diff(at))
                 total[own] = tables[name][gram[own]]
             sums = np.diff(np.concatenate([[0.0], np.cumsum(total)])[at])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(np.diff(at), pa.int64()), pa.array(sums)], names=[*carry, "n_bytes", "log_likelihood"])
+            found = word_evidence.evidence(batch.column("text"), np.array(row["keys"] or [], np.int64), np.array(row["values"] or [], np.float64))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(np.diff(at), pa.int64()), pa.array(sums), pa.array(found)], names=[*carry, "n_bytes", "log_likelihood", "evidence"])
 
-    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return docs.select("text", *dict.fromkeys(["model", *carry])).mapInArrow(run, f"{kinds}n_bytes long, log_likelihood double")
+    kinds = ", ".join(x for x in schema.split(", ") if x.split(" ")[0] in carry)
+    return answered.select("body", "keys", "values").mapInArrow(run, f"{kinds}, n_bytes long, log_likelihood double, evidence double")
 
 
 def train(trusted: DataFrame) -> dict[str, Model]:
@@ -182,34 +189,61 @@ def train(trusted: DataFrame) -> dict[str, Model]:
     return {ALL: [(*empty, *empty)] * ORDER} | out
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """id, lang, n_bytes, perplexity (per byte), limit, kept for every row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, lang, n_bytes, perplexity (per byte), its limits, evidence and its limit, kept for
+    every row of ``docs``, and the columns ``carry`` (``_name`` for a column ``name``).
 
     Trusted are documents that ``labels`` (doc_id, quality, toxic) calls good and not
-    toxic.  The limit of a language is ``margin`` times the ``quantile`` of the shrunk
-    perplexities of its trusted documents; languages without a model of their own share
-    one limit.  An empty or null text has the mean perplexity and is kept, as every
-    document is while nothing is trusted.  Unlabelled rows are scored like others.
+    toxic, bad those with a label that calls them bad or toxic.  The limit of a language is
+    ``margin`` times the ``quantile`` of the shrunk perplexities of its trusted documents,
+    the lower limit the opposite quantile divided by ``margin``; languages without a model
+    of their own share limits.  The words of trusted and bad documents are compared in
+    ``word_evidence``; its limit is the quantile of trusted documents that its table does
+    not hold (one in HELD_OUT; all where none is).  An empty or null text has the mean
+    perplexity and is kept, as every document is while nothing is trusted.  Unlabelled rows
+    are scored like others.
     """
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("label_id")).distinct()
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("lang"), F.col(text_col).alias("text"))
-    # Always by shuffle, whatever the labels' size: their number grows with the corpus.
-    models = train(read.join(good.hint("merge"), F.col("id") == F.col("label_id"), "left_semi").select("lang", "text"))
+    good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    held = F.when(F.pmod(F.xxhash64("label_id", F.lit(9)), F.lit(HELD_OUT)) == 0, word_evidence.HELD).otherwise(word_evidence.TRUSTED)
+    marks = (
+        labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
+        .agg(F.coalesce(F.max(good), F.lit(False)).alias("good"), F.coalesce(F.max(bad), F.lit(False)).alias("bad"))
+        .select("label_id", F.lit(True).alias("known"), F.when(F.col("bad"), word_evidence.BAD).when(F.col("good"), held).cast("int").alias("mark"))
+    )
+    identity = F.col(id_col).cast("long")
+    read = docs.select(identity.alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    # Always by shuffle, whatever the labels' size: their number grows with the corpus.  Null ids are spread by their text.
+    keyed = read.withColumns({"label_id": F.coalesce("id", F.xxhash64("text")), "known": F.col("id").isNotNull()})
+    marked = keyed.join(marks.hint("merge"), ["label_id", "known"], "left").select(*read.columns, F.coalesce("mark", F.lit(0)).alias("mark"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)
+    packed = word_evidence.pack(marked)
+    trusted = F.col("mark").isin(word_evidence.TRUSTED, word_evidence.HELD)
+    models = train(word_evidence.unpack(packed, schema).filter(trusted).select("lang", "text"))
     own = sorted(set(models) - {ALL})
-    named = read.withColumn("model", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(ALL)) if own else F.lit(ALL))
-    scored = cut(score(named, models, "id", "lang", "model"))
-    marks = scored.join(good.hint("merge"), F.col("id") == F.col("label_id"), "left_semi")
-    means = {r["model"]: (r["l"] / r["n"]) if r["n"] else 0.0 for r in marks.groupBy("model").agg(F.sum("log_likelihood").alias("l"), F.sum("n_bytes").alias("n")).collect()}
-    mean = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in means.items() for x in kv]), F.col("model")), F.lit(0.0)) if means else F.lit(0.0)
-    drawn = F.exp(-(F.col("log_likelihood") + PRIOR_BYTES * mean) / (F.col("n_bytes") + PRIOR_BYTES))
-    limits = {r["model"]: margin * r["q"] for r in marks.withColumn("shrunk", drawn).groupBy("model").agg(F.percentile("shrunk", F.lit(quantile)).alias("q")).collect()}
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("model")) if limits else F.lit(None).cast("double")
-    return scored.select(
+    model = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(ALL)) if own else F.lit(ALL)
+    answered = word_evidence.answers(packed, cut(word_evidence.word_table(packed)))
+    known = cut(score(answered, schema, models, "lang", "mark").filter(trusted).withColumn("model", model))
+    means = {r["model"]: (r["l"] / r["n"]) if r["n"] else 0.0 for r in known.groupBy("model").agg(F.sum("log_likelihood").alias("l"), F.sum("n_bytes").alias("n")).collect()}
+    of = lambda d, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("model")), other) if d else other
+    none = F.lit(None).cast("double")
+    drawn = F.exp(-(F.col("log_likelihood") + PRIOR_BYTES * of(means, F.lit(0.0))) / (F.col("n_bytes") + PRIOR_BYTES))
+    at = known.withColumn("shrunk", drawn).groupBy("model").agg(*[F.percentile("shrunk", F.lit(q)).alias(n) for q, n in ((quantile, "high"), (1 - quantile, "low"))]).collect()
+    limit, lower = of({r["model"]: margin * r["high"] for r in at}, none), of({r["model"]: r["low"] / margin for r in at}, none)
+    level = lambda rows: rows.agg(F.percentile("evidence", F.lit(quantile)).alias("q")).first()["q"]
+    most = level(known.filter(F.col("mark") == word_evidence.HELD))
+    most = F.lit(level(known) if most is None else most).cast("double")
+    names = [f"_{c}" for c in carry]
+    return score(answered, schema, models, "id", "lang", *names).withColumn("model", model).select(
         "id",
         "lang",
         "n_bytes",
         F.exp(-F.col("log_likelihood") / F.greatest("n_bytes", F.lit(1))).alias("perplexity"),
         drawn.alias("shrunk"),
         limit.alias("limit"),
-        F.coalesce(drawn <= limit, F.lit(True)).alias("kept"),
+        lower.alias("lower_limit"),
+        "evidence",
+        most.alias("evidence_limit"),
+        (F.coalesce(drawn <= limit, F.lit(True)) & F.coalesce(drawn >= lower, F.lit(True)) & F.coalesce(F.col("evidence") <= most, F.lit(True))).alias("kept"),
+        *names,
     )

@@ -1,0 +1,121 @@
+"""Words that speak against a document: trusted text compared with text labelled bad.
+
+Documents are packed into slices (compressed Arrow), written once.  Each word counts once
+for a document.  A word's evidence is log(p_bad / p_trusted) with absolute discounting;
+the bad model falls back on the trusted one, so a word unseen in bad text has no positive
+evidence.  The table of words grows with the corpus and is never gathered: each slice asks
+for its distinct words by an equi-join and is scored with the answer.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .spark_util import cut
+from .text_arrays import doc_of, slices, span_hashes, text_bytes, words
+
+#: Words in a window.
+WINDOW = 32
+DISCOUNT = 0.75
+TRUSTED, BAD, HELD = 1, 2, 3
+
+
+def pack(docs: DataFrame) -> DataFrame:
+    """sid, body: a few MB of rows of ``docs`` (with a column text) in each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(slices(batches)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([base + i], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["sid", "body"])
+
+    return cut(docs.mapInArrow(run, "sid long, body binary"))
+
+
+def opened(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(body).read_next_batch()
+
+
+def unpack(packed: DataFrame, schema: str) -> DataFrame:
+    """The rows that were packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                yield opened(body.as_py())
+
+    return packed.select("body").mapInArrow(run, schema)
+
+
+def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, A-Z as a-z, and n + 1 offsets of the documents' words."""
+    data, byte_at = text_bytes(column)
+    start, end, at = words(data, byte_at)
+    return span_hashes(data, start, end, fold=True).view(np.int64), at
+
+
+def word_table(packed: DataFrame) -> DataFrame:
+    """key, evidence (above 0) of words that documents marked BAD hold; column mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                rows = opened(body.as_py())
+                keys, at = word_keys(rows.column("text"))
+                mark = np.array(rows.column("mark").to_pylist(), np.int64)[doc_of(at)]
+                found, n = [], []
+                for kind in (TRUSTED, BAD):
+                    own = mark == kind
+                    both = np.unique(np.stack([keys[own], doc_of(at)[own]]), axis=1) if own.any() else np.zeros((2, 0), np.int64)
+                    key, c = np.unique(both[0], return_counts=True)
+                    found.append(key)
+                    n.append(c)
+                zero = [np.zeros(len(x), np.int64) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found)), pa.array(np.concatenate([n[0], zero[1]])), pa.array(np.concatenate([zero[0], n[1]]))], names=["key", "good", "bad"]
+                )
+
+    counts = cut(packed.select("body").mapInArrow(run, "key long, good long, bad long").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    number = lambda c: F.sum((F.col(c) > 0).cast("long"))
+    t = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), number("good").alias("good_words"), number("bad").alias("bad_words"), F.count("*").alias("words")).first()
+    good, bad, every = t["good"] or 1, t["bad"] or 1, t["words"] + 1
+    p_good = F.greatest(F.col("good") - DISCOUNT, F.lit(0.0)) / good + (DISCOUNT * (t["good_words"] or 0) / good if t["good"] else 1.0) / every
+    p_bad = F.greatest(F.col("bad") - DISCOUNT, F.lit(0.0)) / bad + DISCOUNT * (t["bad_words"] or 0) / bad * p_good
+    return counts.filter("bad > 0").select("key", F.log(p_bad / p_good).cast("float").alias("evidence")).filter("evidence > 0")
+
+
+def answers(packed: DataFrame, table: DataFrame) -> DataFrame:
+    """``packed`` with hits: (key, evidence) of the slice's words that the table holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, body in zip(batch.column("sid").to_pylist(), batch.column("body"), strict=True):
+                keys = np.unique(word_keys(opened(body.as_py()).column("text"))[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), sid, np.int64)), pa.array(keys)], names=["sid", "key"])
+
+    asked = packed.select("sid", "body").mapInArrow(run, "sid long, key long")
+    hits = asked.join(table, "key").groupBy("sid").agg(F.collect_list("key").alias("keys"), F.collect_list("evidence").alias("values"))
+    return packed.join(cut(hits), "sid", "left")
+
+
+def evidence(column: pa.Array, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The largest sum of evidence in WINDOW neighbouring words of each text."""
+    found, at = word_keys(column)
+    own = np.zeros(len(found))
+    if len(keys) and len(found):
+        order = np.argsort(keys)
+        place = np.minimum(np.searchsorted(keys[order], found), len(keys) - 1)
+        own = np.where(keys[order][place] == found, values[order][place], 0.0)
+    total = np.concatenate([[0.0], np.cumsum(own)])
+    first = np.maximum(np.arange(1, len(found) + 1) - WINDOW, at[:-1][doc_of(at)])
+    sums = np.append(total[1:] - total[first], 0.0)  # of the window that ends with each word
+    most = np.maximum.reduceat(sums, at[:-1]) if len(at) > 1 else np.zeros(0)
+    return np.where(np.diff(at) > 0, most, 0.0)
