@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import line_dedup, ngram_join, packing, quality_classifier, suffix_dedup
 from tidewatch.llm.queries import VOCABULARY, documents
+from tidewatch.llm.spark_util import cut
 from tidewatch.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, keeps."""
-    verdicts = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = verdicts.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    """Documents that the classifier, trained on the labelled ones, keeps: each row by its own verdict."""
+    verdicts = quality_classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=tuple(COLUMNS))
+    return verdicts.filter("kept").select(*[F.col(f"_{c}").alias(c) for c in COLUMNS])
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +36,16 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at five-word similarity 0.8 or more the one with the smallest id."""
-    groups = ngram_join.ngram_components(docs, size=5, percent=80)
-    others = groups.filter("component_id < id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+    """Of documents linked at five-word similarity 0.8 or more the row with the smallest id.
+
+    Null ids come last; rows with the same id and group are ordered by a hash of their
+    values.  Of equal rows one stays.  Documents without words have no links and all stay.
+    """
+    read = cut(docs.withColumn("row_id", F.monotonically_increasing_id()))
+    groups = ngram_join.ngram_components(read, size=5, percent=80, id_col="row_id").select(F.col("id").alias("row_id"), F.col("component_id").alias("group"))
+    firsts = groups.join(read.select("row_id", "doc_id", F.xxhash64(*COLUMNS).alias("key")), "row_id")
+    firsts = firsts.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row_id")).alias("first"))
+    return read.join(firsts.select("first.row_id"), "row_id", "left_semi").select(COLUMNS)
 
 
 def without_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

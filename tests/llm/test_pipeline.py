@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,20 @@ def test_stages_keep_columns_and_take_effect(spark):
         docs, seen = out, rows
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in last.select("doc_id").distinct().collect()} == seen.keys()
+
+
+def test_near_copies_without_ids_or_with_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (3, text), (3, text + " end"), (8, text), (None, "other words"), (None, "other words"), (5, "alone"), (6, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert sorted(i or 0 for i, _ in out) == [0, 3, 5, 6, 7] and (None, "other words") in out
+
+
+def test_rows_are_kept_by_their_own_verdict(spark, monkeypatch):
+    rows = [(None, "bad"), (1, "bad"), (1, "good"), (None, "good")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    real = corpus_pipeline.quality_classifier.classify
+    monkeypatch.setattr(corpus_pipeline.quality_classifier, "classify", lambda *a, **k: real(*a, **k).withColumn("kept", F.col("n_bytes") != 3))
+    out = corpus_pipeline.good_documents(spark, docs, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == [(0, "good"), (1, "good")]

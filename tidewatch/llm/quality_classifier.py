@@ -170,7 +170,8 @@ def score(answered: DataFrame, schema: str, models: dict[str, Model], *carry: st
             found = word_evidence.evidence(batch.column("text"), np.array(row["keys"] or [], np.int64), np.array(row["values"] or [], np.float64))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(np.diff(at), pa.int64()), pa.array(sums), pa.array(found)], names=[*carry, "n_bytes", "log_likelihood", "evidence"])
 
-    kinds = ", ".join(x for x in schema.split(", ") if x.split(" ")[0] in carry)
+    kind = {x.split(" ")[0]: x for x in schema.split(", ")}
+    kinds = ", ".join(kind[c] for c in carry)
     return answered.select("body", "keys", "values").mapInArrow(run, f"{kinds}, n_bytes long, log_likelihood double, evidence double")
 
 
@@ -212,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         .select("label_id", F.lit(True).alias("known"), F.when(F.col("bad"), word_evidence.BAD).when(F.col("good"), held).cast("int").alias("mark"))
     )
     identity = F.col(id_col).cast("long")
-    read = docs.select(identity.alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry])
+    read = docs.select(identity.alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
     # Always by shuffle, whatever the labels' size: their number grows with the corpus.  Null ids are spread by their text.
     keyed = read.withColumns({"label_id": F.coalesce("id", F.xxhash64("text")), "known": F.col("id").isNotNull()})
     marked = keyed.join(marks.hint("merge"), ["label_id", "known"], "left").select(*read.columns, F.coalesce("mark", F.lit(0)).alias("mark"))
@@ -233,7 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     level = lambda rows: rows.agg(F.percentile("evidence", F.lit(quantile)).alias("q")).first()["q"]
     most = level(known.filter(F.col("mark") == word_evidence.HELD))
     most = F.lit(level(known) if most is None else most).cast("double")
-    names = [f"_{c}" for c in carry]
+    names = ["text" if c == text_col else f"_{c}" for c in carry]  # the text is packed once
     return score(answered, schema, models, "id", "lang", *names).withColumn("model", model).select(
         "id",
         "lang",
@@ -245,5 +246,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         "evidence",
         most.alias("evidence_limit"),
         (F.coalesce(drawn <= limit, F.lit(True)) & F.coalesce(drawn >= lower, F.lit(True)) & F.coalesce(F.col("evidence") <= most, F.lit(True))).alias("kept"),
-        *names,
+        *[F.col(n).alias(f"_{c}") for n, c in zip(names, carry, strict=True)],
     )
