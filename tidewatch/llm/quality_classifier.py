@@ -1,14 +1,16 @@
 """Operator 9 - quality by perplexity under an interpolated modified Kneser-Ney model.
 
-The model is an n-gram model (order 4) over classes of UTF-8 bytes, one for each language
-and one for all, trained on all trusted text.  N-grams are counted in tasks and summed
-by shuffles; the Kneser-Ney quantities (continuation counts, discounts, context weights)
-come from equi-joins of the count tables, sharded by (language, context).  There are
-``CLASSES ** ORDER`` n-grams at most, whatever the corpus: that bounds the model, which
-is therefore broadcast to score the documents in one pass over their text.  A document
-is rejected when its perplexity is above its language's limit, a multiple of a quantile
-of the trusted documents' perplexities, or below a lower limit (mere repetition), or when
-a window of it holds words of documents labelled bad or toxic (``word_evidence``).
+The model counts n-grams of six symbols (code points, ``kneser_ney``) of all trusted text,
+by language and for all languages together.  Its count table grows with the corpus and
+stays in Spark, sharded by the context's last two symbols.  Documents are packed into
+slices, written once.  A slice asks each shard for its distinct n-grams; the shard works
+out the Kneser-Ney probabilities from its counts; the answers are joined back to the slice
+and summed by document.  With each n-gram come the numbers of trusted and of bad documents
+that hold it, from which a second figure is drawn, the evidence against a document.
+
+A document is rejected when its perplexity is above its language's limit or, for mere
+repetition, below a lower one, or when its evidence is above its language's limit.  The
+limits are quantiles of trusted documents that were held out of the counts.
 """
 
 from __future__ import annotations
@@ -16,235 +18,416 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import word_evidence
-from .spark_util import cut
-from .text_arrays import slices, text_bytes
-
-ORDER = 4
-#: Languages with own models and limits, the most trusted ones; others use the model of all.
-LANGUAGE_LIMIT = 32
-#: Trusted documents that a language needs for a model of its own.
-LANGUAGE_DOCS = 20
-#: Scores of short documents are drawn to the language's mean as if so many more bytes scored it.
-PRIOR_BYTES = 60
+from . import kneser_ney as kn
+from .spark_util import cut, width
+from .text_arrays import slices
+
+#: Quantile of held-out trusted documents, and how far a perplexity may lie beyond it.
 QUANTILE, MARGIN = 0.99, 1.15
-#: One trusted document in so many is not counted in the table of words.
+#: Scores of short documents are drawn to the language's mean as if so many more symbols scored it.
+PRIOR_SYMBOLS = 60
+#: One trusted document in so many is held out for the limits.
 HELD_OUT = 5
-ALL = ""
-
-
-def _classes() -> np.ndarray:
-    """Class of each byte: letters apart, capitals, digits, kinds of punctuation together."""
-    out = np.full(256, 35, np.uint8)  # other ASCII punctuation
-    out[:32], out[127] = 36, 36  # control characters
-    out[97:123] = np.arange(1, 27)
-    out[65:91] = 27
-    out[48:58] = 28
-    for class_, members in ((29, b" \t\r\x0b\x0c"), (30, b"\n"), (31, b"."), (32, b","), (33, b"#*$%&|<>@^~=+_\\/"), (34, b"!?")):
-        out[list(members)] = class_
-    out[0x80:0xC0] = 40 + (np.arange(64) & 3)  # continuation bytes
-    out[0xC0:0xE0], out[0xE0:0xF0], out[0xF0:] = 37, 38, 39
+#: Discount of the number of bad documents that hold an n-gram.
+DISCOUNT = 0.75
+TRUSTED, BAD, HELD = 1, 2, 3
+#: Model of all languages; a language's own is its name after "=".
+ALL = "*"
+#: Bytes of text in a slice, and for each shard of the model at most (SHARDS shards at most).
+SLICE, SHARD, SHARDS = 32 << 20, 32 << 20, 4096
+#: Slices that one copy of the model answers.
+SLICES_A_COPY = 256
+#: Distinct n-grams that a task holds before it hands its counts on.
+_HELD = 4 << 20
+#: Steps of the answers: log probabilities and evidence travel as single bytes.
+STEP = 1 / 16
+
+
+def frozen(**columns: np.ndarray) -> bytes:
+    """Arrays of one length as compressed Arrow; ``gram`` (ascending) as differences."""
+    if "gram" in columns:
+        columns["gram"] = np.diff(columns["gram"], prepend=np.uint64(0))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+    return _written([batch], batch.schema, 3)
+
+
+def thawed(body: bytes) -> dict[str, np.ndarray]:
+    batch = pa.ipc.open_stream(body).read_next_batch()
+    out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+    if "gram" in out:
+        out["gram"] = np.cumsum(out["gram"], dtype=np.uint64)
     return out
 
 
-CLASS = _classes()
-#: Class 0 stands before a document's first byte.
-CLASSES = 44
-
+def _written(batches: list[pa.RecordBatch], schema: pa.Schema, level: int) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
+        for b in batches:
+            out.write_batch(b)
+    return sink.getvalue().to_pybytes()
 
-def codes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The number of the n-gram of order ORDER that ends at each byte."""
-    symbol = CLASS[data].astype(np.int32)
-    place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
-    out = symbol.copy()
-    for back in range(1, ORDER):
-        earlier = np.zeros_like(symbol)
-        earlier[back:] = symbol[:-back]
-        out += np.where(place >= back, earlier, 0) * CLASSES**back
-    return out
 
-
-def count_ngrams(trusted: DataFrame) -> DataFrame:
-    """lang, gram, c: sums over all trusted documents (lang, text)."""
+def pack(docs: DataFrame) -> DataFrame:
+    """sid, n_rows, langs, body: ``docs`` in slices of about SLICE bytes of text, each of several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        base, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def out(lang: str) -> pa.RecordBatch:
-            count = held.pop(lang)
-            gram = np.flatnonzero(count)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(count[gram].astype(np.int64))], names=["lang", "gram", "c"])
+        def out(number: int) -> pa.RecordBatch:
+            body = _written(held, held[0].schema, 6)
+            return pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.array([body], pa.binary())], names=["sid", "body"])
 
+        number = 0
         for batch in slices(batches):
-            data, at = text_bytes(batch.column("text"))
-            gram, lang = codes(data, at), np.array(batch.column("lang").to_pylist())
-            for name in np.unique(lang):
-                if name not in held:
-                    if len(held) == 4:  # memory for four languages at a time
-                        yield out(next(iter(held)))
-                    held[name] = np.zeros(CLASSES**ORDER, np.int32)
-                held[name] += np.bincount(gram[np.repeat(lang == name, np.diff(at))], minlength=CLASSES**ORDER).astype(np.int32)
-        for name in list(held):
-            yield out(name)
-
-    counted = trusted.select("lang", "text").mapInArrow(run, "lang string, gram long, c long")
-    return counted.groupBy("lang", "gram").agg(F.sum("c").alias("c"))
-
-
-def kneser_ney(counts: DataFrame) -> DataFrame:
-    """lang, n (order), gram, p for seen n-grams and, with p null, weight of contexts.
-
-    Order ORDER uses the counts themselves, lower orders the number of distinct symbols
-    seen before.  Discounts D1, D2, D3+ come from each language's counts of counts.
-    """
-    tables, table = [], cut(counts)
-    for n in range(ORDER, 0, -1):
-        of = lambda k: F.sum((F.col("c") == k).cast("double"))
-        cc = table.groupBy("lang").agg(*[of(k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-        y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
-        d = [F.greatest(F.lit(0.1), F.least(F.lit(k - 0.1), k - (k + 1) * y * F.col(f"n{k + 1}") / F.greatest(F.col(f"n{k}"), F.lit(1.0)))) for k in (1, 2, 3)]
-        discount = cc.select("lang", *[x.alias(f"d{k}") for k, x in enumerate(d, 1)])
-        with_context = table.join(discount, "lang").withColumn("context", F.floor(F.col("gram") / CLASSES))
-        mine = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        contexts = with_context.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum(mine).alias("taken"))
-        seen = with_context.join(contexts, ["lang", "context"]).select("lang", F.lit(n).alias("n"), "gram", ((F.col("c") - mine) / F.col("total")).alias("p"), F.lit(None).cast("double").alias("weight"))
-        weights = contexts.select("lang", F.lit(n).alias("n"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), (F.col("taken") / F.col("total")).alias("weight"))
-        tables += [seen, weights]
-        table = table.withColumn("gram", F.col("gram") % CLASSES ** (n - 1)).groupBy("lang", "gram").agg(F.count("*").alias("c"))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
+            held.append(batch)
+            size += batch.nbytes
+            if size >= SLICE:
+                yield out(number)
+                number, size = number + 1, 0
+                held.clear()
+        if held:
+            yield out(number)
 
+    return cut(docs.mapInArrow(run, "sid long, body binary"))
 
-#: Per order: seen n-grams and their p, contexts and their weights.
-Model = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
+def opened(body: bytes) -> Iterator[pa.RecordBatch]:
+    return iter(pa.ipc.open_stream(body))
 
-def compact(rows: pd.DataFrame) -> Model:
-    """A language's rows of ``kneser_ney`` as small arrays."""
-    out = []
-    for n in range(1, ORDER + 1):
-        part = rows[rows["n"] == n]
-        seen, contexts = part[part["p"].notna()], part[part["weight"].notna()]
-        out.append((seen["gram"].to_numpy(np.int32), seen["p"].to_numpy(np.float32), contexts["gram"].to_numpy(np.int32), contexts["weight"].to_numpy(np.float32)))
-    return out
 
+def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+    """Language, rows and texts; a null language is ''."""
+    lang = np.array([x or "" for x in batch.column("lang").to_pylist()], object)
+    for name in sorted(set(lang)):
+        rows = np.flatnonzero(lang == name)
+        yield name, rows, batch.column("text").take(pa.array(rows))
 
-def dense(model: Model) -> np.ndarray:
-    """Log probabilities of all n-grams of order ORDER for one language."""
-    p = np.full(1, 1.0 / CLASSES, np.float32)
-    for n, (seen, own, contexts, weights) in enumerate(model, 1):
-        weight, held = np.ones(CLASSES ** (n - 1), np.float32), np.zeros(CLASSES**n, np.float32)
-        weight[contexts], held[seen] = weights, own
-        lower = p[np.arange(CLASSES**n) % CLASSES ** (n - 1)] if n > 1 else np.full(CLASSES, p[0], np.float32)
-        p = held + np.repeat(weight, CLASSES) * lower
-    return np.log(p)
 
+def document_counts(codes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, n-gram) pairs: document, n-gram, and how often it occurs there."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((codes, doc))
+    codes, doc = codes[order], doc[order]
+    first = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])])) if len(codes) else np.zeros(0, np.int64)
+    return doc[first], codes[first], np.diff(np.append(first, len(codes)))
 
-def score(answered: DataFrame, schema: str, models: dict[str, Model], *carry: str) -> DataFrame:
-    """The columns ``carry``, n_bytes, log_likelihood (sum of log probabilities) and evidence
-    of the rows in slices (``word_evidence.answers``)."""
-    shared = answered.sparkSession.sparkContext.broadcast(models)
+
+def count_ngrams(marked: DataFrame, shards: int) -> DataFrame:
+    """shard, model, body (n-gram; c, its occurrences in TRUSTED text; documents marked
+    TRUSTED and BAD that hold it): partial sums of each task over (lang, mark, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
-        for row in (r for b in batches for r in b.to_pylist()):
-            batch = word_evidence.opened(row["body"])
-            data, at = text_bytes(batch.column("text"))
-            gram, total = codes(data, at), np.zeros(len(data))
-            lang = np.array([x if x in shared.value else ALL for x in batch.column("lang").to_pylist()], object)
-            for name in set(lang):
-                if name not in tables:
-                    if len(tables) == 6:
-                        tables.pop(next(iter(tables)))
-                    tables[name] = dense(shared.value[name])
-                own = np.repeat(lang == name, np.diff(at))
-                total[own] = tables[name][gram[own]]
-            sums = np.diff(np.concatenate([[0.0], np.cumsum(total)])[at])
-            found = word_evidence.evidence(batch.column("text"), np.array(row["keys"] or [], np.int64), np.array(row["values"] or [], np.float64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carry], pa.array(np.diff(at), pa.int64()), pa.array(sums), pa.array(found)], names=[*carry, "n_bytes", "log_likelihood", "evidence"])
-
-    kind = {x.split(" ")[0]: x for x in schema.split(", ")}
-    kinds = ", ".join(kind[c] for c in carry)
-    return answered.select("body", "keys", "values").mapInArrow(run, f"{kinds}, n_bytes long, log_likelihood double, evidence double")
-
-
-def train(trusted: DataFrame) -> dict[str, Model]:
-    """A model table for all trusted text (lang, text) and one for each large language."""
-    per = trusted.groupBy("lang").count().filter(F.col("count") >= LANGUAGE_DOCS).orderBy(F.desc("count"), "lang").limit(LANGUAGE_LIMIT)
-    own = [r["lang"] for r in per.collect()]
-    known = trusted.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(ALL)))
-    counts = count_ngrams(known)
-    everything = cut(counts)
-    pooled = everything.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(ALL).alias("lang"), "gram", "c")
-    table = kneser_ney(everything.filter(F.col("lang") != ALL).union(pooled))
-    narrow = table.select("lang", F.col("n").cast("byte").alias("n"), F.col("gram").cast("int").alias("gram"), F.col("p").cast("float").alias("p"), F.col("weight").cast("float").alias("weight"))
-    out = {name: compact(rows) for name, rows in narrow.toPandas().groupby("lang")}
-    empty = np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return {ALL: [(*empty, *empty)] * ORDER} | out
+        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                sums = kn.summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+                shard = kn.shard_of(sums[0], shards)
+                order = np.argsort(shard, kind="stable")
+                edge = np.searchsorted(shard[order], np.arange(shards + 1))
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    own = order[edge[s] : edge[s + 1]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([s], pa.int32()), pa.array(["=" + lang]), pa.array([frozen(**{n: c[own] for n, c in zip(("gram", "c", "good", "bad"), sums, strict=True)})], pa.binary())], names=["shard", "model", "body"]
+                    )
 
+        for batch in slices(batches):
+            marks = np.array(batch.column("mark").to_pylist(), np.int64)
+            for lang, rows, texts in by_language(batch):
+                doc, codes, c = document_counts(*_codes(texts))
+                trusted = (marks[rows] == TRUSTED)[doc].astype(np.int64)
+                held.setdefault(lang, []).append(kn.summed(codes, c * trusted, trusted, 1 - trusted))
+                size += len(held[lang][-1][0])
+            if size > _HELD:
+                for lang, parts in held.items():
+                    held[lang] = [kn.summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])]
+                size = sum(len(p[0]) for parts in held.values() for p in parts)
+                if size > _HELD // 2:
+                    yield from out()
+                    held.clear()
+                    size = 0
+        yield from out()
+
+    return marked.select("lang", "mark", "text").mapInArrow(run, "shard int, model string, body binary")
+
+
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = kn.symbols(texts)
+    return kn.grams(data, at), at
+
+
+COLUMNS = ("gram", "c", "good", "bad")
+
+
+def _sums(held: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return dict(zip(COLUMNS, kn.summed(*[np.concatenate([h[c] for h in held]) for c in COLUMNS]), strict=True))
+
+
+def _trusted(sums: dict[str, np.ndarray]) -> kn.Table:
+    seen = sums["c"] > 0
+    return sums["gram"][seen], sums["c"][seen]
+
+
+def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's sums by model, with ``part``, what it adds to the model's base table and discounts;
+    for ALL (the sum of the others) that part alone."""
+    held: dict[str, list[dict[str, np.ndarray]]] = {}
+    shard = None
+    for batch in batches:
+        for s, model, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            shard = s
+            held.setdefault(model, []).append(thawed(body.as_py()))
+            if len(held[model]) > 32:
+                held[model] = [_sums(held[model])]
+    sums = {model: _sums(parts) for model, parts in held.items()}
+    for model, own in [*sums.items(), (ALL, _sums(list(sums.values())))]:
+        orders = kn.tables(*_trusted(own))
+        codes, counts = np.unique(kn.suffix(orders[kn.BASE + 1][0], kn.BASE), return_counts=True)
+        seen = np.concatenate([kn.kinds(orders[n][1]) for n in range(kn.BASE + 1, kn.ORDER + 1)])
+        part = frozen(gram=np.append(codes, np.full(len(seen), codes[-1] if len(codes) else 0, np.uint64)), c=np.append(counts, seen))
+        body = None if model == ALL else frozen(**own)
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([model]), pa.array([body], pa.binary()), pa.array([part], pa.binary())], names=["shard", "model", "body", "part"])
+
+
+_STATS = kn.KINDS * (kn.ORDER - kn.BASE)
+
+
+def base_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A model's base table and the counts of counts of its higher orders, summed over shards."""
+    codes, counts, seen, model = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(_STATS, np.int64), None
+    for batch in batches:
+        for name, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            model, own = name, thawed(part.as_py())
+            seen = seen + own["c"][-_STATS:]
+            codes, counts = kn.summed(np.append(codes, own["gram"][:-_STATS]), np.append(counts, own["c"][:-_STATS]))
+    part = frozen(gram=np.append(codes, np.full(_STATS, codes[-1] if len(codes) else 0, np.uint64)), c=np.append(counts, seen))
+    yield pa.RecordBatch.from_arrays([pa.array([model]), pa.array([part], pa.binary())], names=["model", "base"])
+
+
+class Shard:
+    """One model's part of a shard: log probability and evidence of n-grams of order ORDER."""
+
+    def __init__(self, sums: dict[str, np.ndarray], base: bytes, good: int, bad: int):
+        own = thawed(base)
+        lower = kn.tables(own["gram"][:-_STATS], own["c"][:-_STATS], kn.BASE, 1)
+        seen = own["c"][-_STATS:].reshape(-1, kn.KINDS)
+        taken = {n: kn.discounts(kn.kinds(t[1])) for n, t in lower.items()} | {n: kn.discounts(seen[n - kn.BASE - 1]) for n in range(kn.BASE + 1, kn.ORDER + 1)}
+        self.lower, self.upper = kn.Model(lower, taken), kn.Model(kn.tables(*_trusted(sums)), taken)
+        self.sums, self.good, self.bad = sums, max(good, 1), max(bad, 1)
+
+    def answer(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = self.upper.probabilities(asked, self.lower.probabilities(asked, np.full(len(asked), 1 / kn.SYMBOLS)))
+        place, seen = kn.find(self.sums["gram"], asked)
+        if not len(self.sums["gram"]):
+            return np.log(p), np.zeros(len(asked))
+        good, bad = np.where(seen, self.sums["good"][place], 0), np.where(seen, self.sums["bad"][place], 0)
+        evidence = np.log(np.maximum(bad - DISCOUNT, 1e-9) / self.bad) - np.log((good + 1) / self.good)
+        return np.log(p), np.where(bad > 0, np.maximum(evidence, 0.0), 0.0)
+
+
+def distinct(body: bytes) -> dict[str, np.ndarray]:
+    """The slice's distinct n-grams by language."""
+    held: dict[str, list[np.ndarray]] = {}
+    for batch in opened(body):
+        for lang, _, texts in by_language(batch):
+            held.setdefault(lang, []).append(np.unique(_codes(texts)[0]))
+            if sum(map(len, held[lang])) > _HELD:
+                held[lang] = [np.unique(np.concatenate(held[lang]))]
+    return {lang: np.unique(np.concatenate(parts)) for lang, parts in held.items()}
+
+
+def questions(packed: DataFrame, shards: int) -> DataFrame:
+    """sid, shard, model, body: the n-grams that each slice asks of each shard."""
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id, lang, n_bytes, perplexity (per byte), its limits, evidence and its limit, kept for
-    every row of ``docs``, and the columns ``carry`` (``_name`` for a column ``name``).
-
-    Trusted are documents that ``labels`` (doc_id, quality, toxic) calls good and not
-    toxic, bad those with a label that calls them bad or toxic.  The limit of a language is
-    ``margin`` times the ``quantile`` of the shrunk perplexities of its trusted documents,
-    the lower limit the opposite quantile divided by ``margin``; languages without a model
-    of their own share limits.  The words of trusted and bad documents are compared in
-    ``word_evidence``; its limit is the quantile of trusted documents that its table does
-    not hold (one in HELD_OUT; all where none is).  An empty or null text has the mean
-    perplexity and is kept, as every document is while nothing is trusted.  Unlabelled rows
-    are scored like others.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, body in zip(batch.column("sid").to_pylist(), batch.column("body"), strict=True):
+                for lang, codes in distinct(body.as_py()).items():
+                    shard = kn.shard_of(codes, shards)
+                    for s in np.unique(shard).tolist():
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([sid], pa.int64()), pa.array([s], pa.int32()), pa.array(["=" + lang]), pa.array([frozen(gram=codes[shard == s])], pa.binary())], names=["sid", "shard", "model", "body"]
+                        )
+
+    return packed.select("sid", "body").mapInArrow(run, "sid long, shard int, model string, body binary")
+
+
+def answers(asked: DataFrame, model: DataFrame, copies: int) -> DataFrame:
+    """sid, shard, model, answer: log probability and evidence of each n-gram, in steps.
+
+    ``model`` has (shard, model, body, base, good, bad).  Rows of a shard arrive sorted, its
+    model before the questions, so a task holds one shard and a batch.  A language without
+    trusted text is answered by the model ALL.
     """
+    none = lambda kind: F.lit(None).cast(kind)
+    known = model.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select("shard", "copy", F.lit(0).alias("kind"), none("long").alias("sid"), "model", "body", "base", "good", "bad")
+    rows = known.union(asked.select("shard", F.pmod(F.xxhash64("sid"), F.lit(copies)).cast("int"), F.lit(1), "sid", "model", "body", none("binary"), none("long"), none("long")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, {}, {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["shard"], r["copy"]) != now:
+                    now, held, ready = (r["shard"], r["copy"]), {}, {}
+                if r["kind"] == 0:
+                    held[r["model"]] = (r["body"], r["base"], r["good"], r["bad"])
+                    continue
+                name = r["model"] if r["model"] in held else ALL
+                if name not in ready:
+                    ready[name] = _shard_from(held, name)
+                codes = thawed(r["body"])["gram"]
+                log_p, evidence = ready[name].answer(codes) if ready[name] else (np.zeros(len(codes)), np.zeros(len(codes)))
+                whole = frozen(p=np.minimum(np.rint(-log_p / STEP), 255).astype(np.uint8), e=np.minimum(np.rint(evidence / STEP), 255).astype(np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([r["sid"]], pa.int64()), pa.array([r["shard"]], pa.int32()), pa.array([r["model"]]), pa.array([whole], pa.binary())], names=["sid", "shard", "model", "answer"])
+
+    return rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind").mapInArrow(run, "sid long, shard int, model string, answer binary")
+
+
+def _shard_from(held: dict[str, tuple], name: str) -> Shard | None:
+    if name not in held:
+        return None
+    bodies = [thawed(b) for m, (b, *_) in held.items() if b is not None and name in (m, ALL)]
+    empty = {c: np.zeros(0, np.uint64 if c == "gram" else np.int64) for c in COLUMNS}
+    return Shard(_sums(bodies) if bodies else empty, *held[name][1:])
+
+
+def score(packed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
+    """sid, row, id, lang, n_symbols, log_likelihood, evidence (the largest of any n-gram)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sid, body, got in ((r["sid"], r["body"], r["got"]) for b in batches for r in b.to_pylist()):
+            found = {(g["model"], g["shard"]): g["answer"] for g in got or []}
+            known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            for lang, codes in distinct(body).items():
+                shard, p, e = kn.shard_of(codes, shards), np.zeros(len(codes), np.uint8), np.zeros(len(codes), np.uint8)
+                for s in np.unique(shard).tolist():
+                    answer = thawed(found["=" + lang, s])
+                    p[shard == s], e[shard == s] = answer["p"], answer["e"]
+                known[lang] = codes, p, e
+            first = 0
+            for batch in opened(body):
+                n, total, most = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                for lang, rows, texts in by_language(batch):
+                    own, at = _codes(texts)
+                    codes, p, e = known[lang]
+                    u, back = np.unique(own, return_inverse=True)
+                    place = np.searchsorted(codes, u)
+                    n[rows] = np.diff(at)
+                    total[rows] = -STEP * np.diff(np.concatenate([[0], np.cumsum(p[place][back], dtype=np.int64)])[at])
+                    full = rows[np.diff(at) > 0]
+                    if len(full):
+                        most[full] = STEP * np.maximum.reduceat(e[place][back], at[:-1][np.diff(at) > 0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(batch.num_rows, sid)), pa.array(np.arange(first, first + batch.num_rows), pa.int64()), batch.column("id"), pa.array([x or "" for x in batch.column("lang").to_pylist()], pa.string()), pa.array(n), pa.array(total), pa.array(most)],
+                    names=["sid", "row", "id", "lang", "n_symbols", "log_likelihood", "evidence"],
+                )
+                first += batch.num_rows
+
+    got = answered.groupBy("sid").agg(F.collect_list(F.struct("model", "shard", "answer")).alias("got"))
+    return packed.join(got, "sid", "left").select("sid", "body", "got").mapInArrow(run, "sid long, row long, id long, lang string, n_symbols long, log_likelihood double, evidence double")
+
+
+def train(marked: DataFrame, shards: int) -> DataFrame:
+    """shard, model, body, base, good, bad: the model, from (lang, mark, text) of marked documents."""
+    merged = cut(count_ngrams(marked, shards).groupBy("shard").applyInArrow(merge, "shard int, model string, body binary, part binary"))
+    base = merged.select("model", "part").groupBy("model").applyInArrow(base_of, "model string, base binary")
+    number = lambda m: F.sum((F.col("mark") == m).cast("long"))
+    own = marked.groupBy(F.concat(F.lit("="), F.coalesce("lang", F.lit(""))).alias("model")).agg(number(TRUSTED).alias("good"), number(BAD).alias("bad"))
+    sizes = cut(own)
+    sizes = sizes.union(sizes.agg(F.lit(ALL), F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))))
+    return cut(merged.drop("part").join(base, "model").join(sizes.filter("good > 0"), "model").select("shard", "model", "body", "base", "good", "bad"))
+
+
+def marks_of(labels: DataFrame) -> DataFrame:
+    """id and mark of every labelled document: BAD with any label that calls it bad or toxic, else
+    TRUSTED or (one in HELD_OUT) HELD where a label calls it good."""
     good = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    held = F.when(F.pmod(F.xxhash64("label_id", F.lit(9)), F.lit(HELD_OUT)) == 0, word_evidence.HELD).otherwise(word_evidence.TRUSTED)
-    marks = (
+    held = F.when(F.pmod(F.xxhash64("label_id", F.lit(9)), F.lit(HELD_OUT)) == 0, HELD).otherwise(TRUSTED)
+    return (
         labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
         .agg(F.coalesce(F.max(good), F.lit(False)).alias("good"), F.coalesce(F.max(bad), F.lit(False)).alias("bad"))
-        .select("label_id", F.lit(True).alias("known"), F.when(F.col("bad"), word_evidence.BAD).when(F.col("good"), held).cast("int").alias("mark"))
+        .select("label_id", F.when(F.col("bad"), BAD).when(F.col("good"), held).cast("int").alias("mark"))
+        .filter("mark is not null")
     )
-    identity = F.col(id_col).cast("long")
-    read = docs.select(identity.alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c != text_col])
-    # Always by shuffle, whatever the labels' size: their number grows with the corpus.  Null ids are spread by their text.
-    keyed = read.withColumns({"label_id": F.coalesce("id", F.xxhash64("text")), "known": F.col("id").isNotNull()})
-    marked = keyed.join(marks.hint("merge"), ["label_id", "known"], "left").select(*read.columns, F.coalesce("mark", F.lit(0)).alias("mark"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema)
-    packed = word_evidence.pack(marked)
-    trusted = F.col("mark").isin(word_evidence.TRUSTED, word_evidence.HELD)
-    models = train(word_evidence.unpack(packed, schema).filter(trusted).select("lang", "text"))
-    own = sorted(set(models) - {ALL})
-    model = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(ALL)) if own else F.lit(ALL)
-    answered = word_evidence.answers(packed, cut(word_evidence.word_table(packed)))
-    known = cut(score(answered, schema, models, "lang", "mark").filter(trusted).withColumn("model", model))
-    means = {r["model"]: (r["l"] / r["n"]) if r["n"] else 0.0 for r in known.groupBy("model").agg(F.sum("log_likelihood").alias("l"), F.sum("n_bytes").alias("n")).collect()}
-    of = lambda d, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("model")), other) if d else other
-    none = F.lit(None).cast("double")
-    drawn = F.exp(-(F.col("log_likelihood") + PRIOR_BYTES * of(means, F.lit(0.0))) / (F.col("n_bytes") + PRIOR_BYTES))
-    at = known.withColumn("shrunk", drawn).groupBy("model").agg(*[F.percentile("shrunk", F.lit(q)).alias(n) for q, n in ((quantile, "high"), (1 - quantile, "low"))]).collect()
-    limit, lower = of({r["model"]: margin * r["high"] for r in at}, none), of({r["model"]: r["low"] / margin for r in at}, none)
-    level = lambda rows: rows.agg(F.percentile("evidence", F.lit(quantile)).alias("q")).first()["q"]
-    most = level(known.filter(F.col("mark") == word_evidence.HELD))
-    most = F.lit(level(known) if most is None else most).cast("double")
-    names = ["text" if c == text_col else f"_{c}" for c in carry]  # the text is packed once
-    return score(answered, schema, models, "id", "lang", *names).withColumn("model", model).select(
-        "id",
-        "lang",
-        "n_bytes",
-        F.exp(-F.col("log_likelihood") / F.greatest("n_bytes", F.lit(1))).alias("perplexity"),
-        drawn.alias("shrunk"),
-        limit.alias("limit"),
-        lower.alias("lower_limit"),
-        "evidence",
-        most.alias("evidence_limit"),
-        (F.coalesce(drawn <= limit, F.lit(True)) & F.coalesce(drawn >= lower, F.lit(True)) & F.coalesce(F.col("evidence") <= most, F.lit(True))).alias("kept"),
-        *[F.col(n).alias(f"_{c}") for n, c in zip(names, carry, strict=True)],
-    )
+
+
+def limits(scores: DataFrame, quantile: float, margin: float) -> DataFrame:
+    """model, mean (log likelihood of a symbol), upper, lower, evidence_limit, from scored documents with a mark.
+
+    A model's limits come from its HELD documents, or from its TRUSTED ones where none is held out.
+    """
+    trusted = scores.filter(F.col("mark").isin(TRUSTED, HELD)).withColumn("model", F.explode(F.array(F.concat(F.lit("="), "lang"), F.lit(ALL))))
+    means = trusted.groupBy("model").agg((F.sum("log_likelihood") / F.greatest(F.sum("n_symbols"), F.lit(1))).alias("mean"), F.max((F.col("mark") == HELD).cast("int")).alias("has_held"))
+    own = trusted.join(means, "model").filter((F.col("mark") == HELD) | (F.col("has_held") == 0))
+    at = lambda c, q: F.percentile_approx(c, q, 10_000)
+    found = own.withColumn("drawn", drawn()).groupBy("model").agg((margin * at("drawn", quantile)).alias("upper"), (at("drawn", 1 - quantile) / margin).alias("lower"), at("evidence", quantile).alias("evidence_limit"))
+    return means.drop("has_held").join(found, "model")
+
+
+def drawn() -> F.Column:
+    """Perplexity drawn to the mean of the model."""
+    return F.exp(-(F.col("log_likelihood") + PRIOR_SYMBOLS * F.col("mean")) / (F.col("n_symbols") + PRIOR_SYMBOLS))
+
+
+FIGURES = ["id", "lang", "n_symbols", "perplexity", "shrunk", "upper", "lower", "evidence", "evidence_limit", "kept"]
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, carry: tuple[str, ...] = ()) -> DataFrame:
+    """FIGURES of every row of ``docs`` and the columns ``carry`` (``_name`` for a column ``name``).
+
+    Trusted are documents that ``labels`` (doc_id, quality, toxic) calls good and not toxic,
+    bad those with a label that calls them bad or toxic; null ids have no label, rows with
+    one id share its label, and every row has its own verdict.  The upper limit of a
+    language is ``margin`` times the ``quantile`` of the held-out documents' perplexities,
+    drawn to the language's mean; the lower limit is the opposite quantile divided by
+    ``margin``; the evidence's limit is its quantile.  A language without trusted text is
+    judged by the model and the limits of all.  An empty or null text has the mean
+    perplexity and is kept, as every document is while nothing is trusted.
+    """
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{c}") for c in carry if c not in (id_col, text_col, lang_col)])
+    marks = cut(marks_of(labels))
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = min(SHARDS, max(width(docs.sparkSession), -(-size // SHARD)))
+    # Always by shuffle, whatever the labels' size: their number grows with the corpus.
+    marked = read.select("id", "lang", "text").join(marks.hint("merge"), F.col("id") == F.col("label_id"))
+    model = train(marked.filter(F.col("mark").isin(TRUSTED, BAD)), shards)
+    packed = pack(read)
+    copies = 1 + packed.count() // SLICES_A_COPY
+    answered = cut(answers(questions(packed, shards), model, copies))
+    scores = cut(score(packed, answered, shards))
+    found = limits(scores.join(marks, F.col("id") == F.col("label_id")), quantile, margin)
+    everyone = found.filter(F.col("model") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in found.columns if c != "model"])
+    judged = scores.withColumn("model", F.concat(F.lit("="), "lang")).join(found, "model", "left").join(F.broadcast(everyone), how="left")
+    for c in ("mean", "upper", "lower", "evidence_limit"):
+        judged = judged.withColumn(c, F.coalesce(c, f"all_{c}"))
+    judged = judged.withColumns({
+        "perplexity": F.exp(-F.col("log_likelihood") / F.greatest("n_symbols", F.lit(1))),
+        "shrunk": drawn(),
+    }).withColumn("kept", F.coalesce(F.col("shrunk") <= F.col("upper"), F.lit(True)) & F.coalesce(F.col("shrunk") >= F.col("lower"), F.lit(True)) & F.coalesce(F.col("evidence") <= F.col("evidence_limit"), F.lit(True)))
+    return judged.select(FIGURES) if not carry else with_rows(packed, judged, read, {id_col: "id", text_col: "text", lang_col: "lang"}, carry)
+
+
+def with_rows(packed: DataFrame, judged: DataFrame, read: DataFrame, names: dict[str, str], carry: tuple[str, ...]) -> DataFrame:
+    """The packed rows with their figures."""
+    verdicts = judged.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("row", *FIGURES))).alias("verdicts"))
+    own = {f"_{c}": names.get(c, f"_{c}") for c in carry}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, first = batch.column("verdicts").slice(k, 1).flatten(), 0
+                for part in opened(batch.column("body")[k].as_py()):
+                    mine = rows.slice(first, part.num_rows)
+                    first += part.num_rows
+                    yield pa.RecordBatch.from_arrays([*[mine.field(1 + i) for i in range(len(FIGURES))], *[part.column(c) for c in own.values()]], names=[*FIGURES, *own])
+
+    kinds = ", ".join(f"{c} {judged.schema[c].dataType.simpleString()}" for c in FIGURES)
+    more = ", ".join(f"{c} {read.schema[n].dataType.simpleString()}" for c, n in own.items())
+    return packed.join(verdicts, "sid").select("body", "verdicts").mapInArrow(run, f"{kinds}, {more}")

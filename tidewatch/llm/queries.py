@@ -65,7 +65,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "perplexity", "shrunk", "limit", "kept")
+    return out.select(F.col("id").alias("doc_id"), "n_symbols", "perplexity", "shrunk", "upper", "lower", "evidence", "evidence_limit", "kept")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
