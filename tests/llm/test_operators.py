@@ -1,6 +1,7 @@
 """Operators against plain Python: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewatch.llm import anchors, bpe, exact_dedup, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from tidewatch.llm import anchors, bpe, exact_dedup, kneser_ney, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
 from tidewatch.llm.queries import VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, h int, shard string, kept string, bucket int"
@@ -218,23 +219,70 @@ def test_level_array_minimises_the_sum_of_squares():
             assert square([h for h in fill.values() if h < 12]) == best
 
 
-def test_line_dedup(table, docs, empty):
-    got = by_id(line_dedup.line_dedup(table, 2), "kept_text", "n_lines", "n_removed")
+def removed_lines_occur_earlier(docs, got):
+    """Kept lines are the document's lines in order, and each one that is gone starts earlier."""
     seen = set()
     for i, t in docs:
-        data = np.frombuffer((t or "").encode(), np.uint8)
-        c, kept, removed = line_dedup.chunks(data, np.array([0, len(data)]), 2), [], 0
-        for a, b, multi in zip(c["start"], c["end"], c["multi"], strict=True):
-            chunk = data[a:b].tobytes()
-            if multi and chunk in seen:
-                removed += chunk.count(b"\n") + 1
+        kept, n_lines, removed = got[i]
+        own, left = (t or "").split("\n"), kept.split("\n")
+        assert n_lines == len(own) and removed == len(own) - (len(left) if kept or removed < len(own) else 0)
+        left = left if removed < len(own) else []
+        for line in own:
+            if left and line == left[0]:
+                left.pop(0)
             else:
-                kept.append(chunk)
-            seen |= {chunk} if multi else set()
-        assert got[i] == (b"\n".join(kept).decode(), (t or "").count("\n") + 1, removed)
+                assert line in seen
+            seen.add(line)
+        assert not left
+
+
+def test_line_dedup(table, docs, empty):
+    got = by_id(line_dedup.line_dedup(table), "kept_text", "n_lines", "n_removed")
+    removed_lines_occur_earlier(docs, got)
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    rng = random.Random(4)
+    line = lambda: prose(rng, 6, 5000)
+    docs, sizes, want = [], {}, 0
+    for k in range(60):
+        n = 4 + k % 12
+        passage = [line() for _ in range(n)]
+        if k % 3 == 0:
+            passage[1] = ""
+        for copy in range(2):
+            docs.append((2 * k + copy, "\n".join([*[line() for _ in range(rng.randrange(5))], *passage, *[line() for _ in range(rng.randrange(5))]])))
+        sizes[2 * k + 1] = n
+    docs += [(500, docs[0][1]), (501, "one\ntwo"), (502, "one\ntwo"), (503, "again and again\n" * 30)]
+    got = by_id(line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")), "kept_text", "n_lines", "n_removed")
+    removed_lines_occur_earlier(docs, got)
+    assert got[500][0] == got[502][0] == "" and got[503][2] >= 20
+    whole = [i for i, n in sizes.items() if got[i][2] >= n]
+    assert len([i for i in whole if sizes[i] >= 8]) >= 0.95 * len([i for i in sizes if sizes[i] >= 8]) and len(whole) >= 0.75 * len(sizes)
+    assert all(got[i][2] in (0, *range(sizes[i] - 1, sizes[i] + 3)) for i in sizes)
+
+
+def test_borders_against_loops():
+    rng = random.Random(8)
+    for _ in range(300):
+        lengths = [rng.randrange(9) for _ in range(rng.randrange(1, 5))]
+        values = np.array([rng.choice([rng.randrange(2**63), 7]) for _ in range(sum(lengths))], np.uint64)
+        at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        want = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            rolled = [None if i == a else int(line_dedup.window_hashes(values[i - 1 : i + 1], 2)[0]) for i in range(a, b)]
+            big = lambda i: 2**64 if not 0 <= i < len(rolled) or rolled[i] is None else rolled[i]  # noqa: B023, E731
+            for i in range(b - a):
+                k = 0
+                while rolled[i] is not None and i - k > 0 and rolled[i - k - 1] == rolled[i]:
+                    k += 1
+                plateau = k % 2 == 1 and i + 1 < len(rolled) and rolled[i + 1] == rolled[i]
+                least = big(i) < big(i - 1) and big(i) < big(i + 1)
+                want.append((least or plateau) and i >= 1 and b - a - 1 - i >= 2)
+        assert line_dedup.borders(values, at).tolist() == want
+
+
 def test_chunk_borders_resist_shifts():
     rng = random.Random(9)
     body = "\n".join(prose(rng, 5) for _ in range(60))
@@ -268,13 +316,39 @@ def test_classifier_on_held_out_documents(labelled, empty):
     assert all(r["kept"] for r in quality_classifier.classify(docs, labels.filter("doc_id < 0")).collect())
 
 
-def test_kneser_ney_probabilities_sum_to_one(labelled):
-    docs, labels = labelled
-    model = quality_classifier.train(docs.filter("doc_id % 4 != 3").selectExpr("coalesce(lang, '') as lang", "text"))
-    n = quality_classifier.CLASSES
-    for table in model.values():
-        sums = np.exp(quality_classifier.dense(table).astype(np.float64)).reshape(-1, n).sum(axis=1)
-        assert np.allclose(sums, 1, atol=1e-3)
+def test_classifier_equals_plain_kneser_ney(spark, monkeypatch):
+    """Perplexities of every document, over several shards, slices and copies of the model."""
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(3, 60), 50) + rng.choice(["", " é", " \u0448\u0443 \U0001f600"]) for _ in range(60)]
+    rows = [(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)] + [(90, None, "en"), (91, "", "xx"), (92, texts[0], "xx"), (None, texts[1], "en")]
+    marks = [(i, 1 if i % 4 else 0, 0) for i in range(50)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality_classifier, "SLICES_A_COPY", 1)
+    monkeypatch.setattr(quality_classifier, "STEP", 1 / 16)
+    out = {r["id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    own = {r["label_id"] for r in quality_classifier.marks_of(labels).filter("mark = 1").collect()}
+    order = 6
+    digits = lambda t: "".join(chr(x) for c in t for x in ([ord(c)] if ord(c) < 512 else [512 + ord(c) // 512 % 512, ord(c) % 512]))
+    for lang in ("en", None, "xx"):
+        p, _ = brute.kneser_ney([digits(t) for i, t, x in rows if i in own and (x == lang or lang == "xx")], order)
+        for i, t, x in rows:
+            if x == lang and i is not None and t:
+                padded = (0,) * (order - 1) + tuple(map(ord, digits(t)))
+                steps = [-math.log(p(padded[k : k + order])) for k in range(len(digits(t)))]
+                assert out[i]["n_symbols"] == len(steps)
+                assert abs(math.log(out[i]["perplexity"]) - sum(round(16 * s) / 16 for s in steps) / len(steps)) < 1e-2, (i, lang)
+    assert out[90]["kept"] and out[91]["kept"] and None in out
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(4)
+    data = rng.integers(1, 6, 500).astype(np.uint16)
+    codes, counts = np.unique(kneser_ney.grams(data, np.array([0, 200, 500])), return_counts=True)
+    held = kneser_ney.tables(codes, counts, least=1)
+    model = kneser_ney.Model(held, {n: kneser_ney.discounts(kneser_ney.kinds(t[1])) for n, t in held.items()})
+    for context in [*np.unique(codes >> np.uint64(10))[:40], np.uint64(12345)]:
+        asked = (context << np.uint64(10)) + np.arange(1024, dtype=np.uint64)
+        assert abs(model.probabilities(asked, np.full(1024, 1 / 1024)).sum() - 1) < 1e-9
 
 
 def test_classifier_finds_toxic_words_and_repetition(spark):

@@ -47,6 +47,6 @@ def test_rows_are_kept_by_their_own_verdict(spark, monkeypatch):
     rows = [(None, "bad"), (1, "bad"), (1, "good"), (None, "good")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     real = corpus_pipeline.quality_classifier.classify
-    monkeypatch.setattr(corpus_pipeline.quality_classifier, "classify", lambda *a, **k: real(*a, **k).withColumn("kept", F.col("n_bytes") != 3))
+    monkeypatch.setattr(corpus_pipeline.quality_classifier, "classify", lambda *a, **k: real(*a, **k).withColumn("kept", F.col("n_symbols") != 3))
     out = corpus_pipeline.good_documents(spark, docs, SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in out) == [(0, "good"), (1, "good")]

@@ -1,9 +1,11 @@
 """Operator 8 - removal of repeated multi-line chunks.
 
-Lines are hashed; a rolling hash over neighbouring line hashes chooses chunk borders, so
-a border depends only on the lines around it and inserted lines shift nothing else.
+Lines with a word are hashed; a rolling hash runs over neighbouring line hashes, and a
+chunk ends where it is least among its neighbours, so a border depends only on the lines
+around it and inserted lines shift nothing else.  Every chunk has two such lines or more.
 Chunk hashes that occur once are dropped early.  For the others the chunks' bytes are
-fetched and grouped by these bytes; all but the first occurrence are removed.
+fetched and grouped by these bytes; all but the first occurrence are removed, and with
+them the lines before and after, as far as they equal, byte by byte, those of the first.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from pyspark.sql import functions as F
 from .spark_util import NULL_ID, cut, keyed
 from .text_arrays import SPACE, mix, powers, slices, span_hashes, text_bytes, window_hashes
 
-#: A border falls after one line in so many.
-MEAN_LINES = 4
-#: Lines whose hashes decide on a border.
+#: Lines whose hashes are rolled into one.
 ROLL = 2
+#: Lines with a word that a chunk has at least.
+LEAST_LINES = 2
+#: Chunks on each side that may hold the rest of a repeated passage: the lines outside move one border at most.
+NEIGHBOURS = 2
+_MOST = np.uint64(2**64 - 1)
 
 
 def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -36,28 +41,49 @@ def lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, line_at
 
 
-def chunks(data: np.ndarray, at: np.ndarray, mean_lines: int = MEAN_LINES) -> dict[str, np.ndarray]:
-    """Chunks of all documents: doc, idx (in the document), byte start and end, hash1,
-    hash2, and multi: whether two lines or more have a word; also line_at and first_line."""
+def borders(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a chunk ends with each line; ``at`` are n + 1 offsets of the documents' lines.
+
+    A border stands at strict minima of the rolling hash, and at every second place of a
+    plateau (one line many times), never less than LEAST_LINES before the document's end.
+    """
+    n = len(hashes)
+    place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
+    left = np.repeat(at[1:], np.diff(at)) - 1 - np.arange(n)
+    rolled = np.full(n + 2, _MOST)  # with a wall on both sides
+    rolled[ROLL : n + 1] = window_hashes(hashes, ROLL) if n >= ROLL else _MOST
+    rolled[1:-1][place < ROLL - 1] = _MOST
+    now = rolled[1:-1]
+    border = (now < rolled[:-2]) & (now < rolled[2:])
+    level = np.concatenate([[False], now[1:] == now[:-1]]) & (now != _MOST) if n else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(level, 0, np.arange(n))) if n else np.zeros(0, np.int64)
+    into = np.arange(n) - first
+    more = np.append(level[1:], False) if n else level
+    border |= (into % 2 == 1) & more
+    border &= (place >= LEAST_LINES - 1) & (left >= LEAST_LINES)
+    return border
+
+
+def chunks(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Chunks of all documents: doc, idx (in the document), from and to (lines of the
+    document), byte start and end, hash1, hash2, and multi: whether LEAST_LINES lines have
+    a word; also line_at.  Lines without a word belong to the chunk that follows them."""
     start, end, line_at = lines(data, at)
-    n = len(start)
-    hashes = span_hashes(data, start, end)
-    last = np.zeros(n, bool)
-    last[line_at[1:] - 1] = True
-    rolled = window_hashes(hashes, ROLL)
-    inside = np.arange(n) - np.repeat(line_at[:-1], np.diff(line_at)) >= ROLL - 1
-    border = np.zeros(n, bool)
-    border[ROLL - 1 :] = rolled % np.uint64(mean_lines) == 0
-    to = np.flatnonzero((border & inside) | last) + 1
-    first = np.concatenate([[0], to[:-1]])
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(line_at))[first] if n else np.zeros(0, np.int64)
     words = np.concatenate([[0], np.cumsum(~SPACE[data])])
-    full = np.concatenate([[0], np.cumsum(words[end] > words[start])])
+    full = np.flatnonzero(words[end] > words[start])
+    full_at = np.searchsorted(full, line_at)
+    ends = np.zeros(len(start), bool)
+    ends[full[borders(span_hashes(data, start[full], end[full]), full_at)]] = True
+    ends[line_at[1:] - 1] = True
+    to = np.flatnonzero(ends) + 1
+    first = np.concatenate([[0], to[:-1]])
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(line_at))[first] if len(start) else np.zeros(0, np.int64)
     chunk_at = np.searchsorted(doc, np.arange(len(at) - 1))
+    worded = np.searchsorted(full, to) - np.searchsorted(full, first)
     return {
-        "doc": doc, "idx": np.arange(len(doc)) - chunk_at[doc], "start": start[first], "end": end[to - 1],
-        "hash1": span_hashes(data, start[first], end[to - 1]), "hash2": span_hashes_of(hashes, first, to),
-        "multi": full[to] - full[first] >= 2, "line_at": line_at, "lines": to - first,
+        "doc": doc, "idx": np.arange(len(doc)) - chunk_at[doc], "from": first - line_at[doc], "to": to - line_at[doc], "start": start[first], "end": end[to - 1],
+        "hash1": span_hashes(data, start[first], end[to - 1]), "hash2": span_hashes_of(span_hashes(data, start, end), first, to),
+        "multi": worded >= LEAST_LINES, "line_at": line_at, "line_start": start, "line_end": end,
     }
 
 
@@ -69,12 +95,12 @@ def span_hashes_of(values: np.ndarray, first: np.ndarray, to: np.ndarray) -> np.
     return mix((total[to] - total[first]) * inverse[first])
 
 
-def chunk_hashes(docs: DataFrame, mean_lines: int) -> DataFrame:
+def chunk_hashes(docs: DataFrame) -> DataFrame:
     """hash1, hash2, k, idx of every chunk with two lines or more that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            c = chunks(*text_bytes(batch.column("text")), mean_lines)
+            c = chunks(*text_bytes(batch.column("text")))
             pick = np.flatnonzero(c["multi"])
             yield pa.RecordBatch.from_arrays([
                 pa.array(c["hash1"][pick].view(np.int64)), pa.array(c["hash2"][pick].view(np.int64)),
@@ -84,70 +110,103 @@ def chunk_hashes(docs: DataFrame, mean_lines: int) -> DataFrame:
     return docs.select("k", "text").mapInArrow(run, "hash1 long, hash2 long, k long, idx int")
 
 
-def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.Array]:
     lists = batch.column(column)
-    return np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    return np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
 
 
-def chunk_bytes(docs: DataFrame, wanted: DataFrame, mean_lines: int) -> DataFrame:
-    """id, k, idx, chunk (bytes) of the chunks named in ``wanted`` (k, idxs)."""
+def chunk_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, k, idx, from, to (lines), chunk (bytes), before and after (the bytes of NEIGHBOURS
+    chunks, null at the document's ends) of the chunks named in ``wanted`` (k, idxs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, at = text_bytes(batch.column("text"))
-            c = chunks(data, at, mean_lines)
+            c = chunks(data, at)
             doc, idx = _flat(batch, "idxs")
+            idx = idx.to_numpy()
             pick = np.searchsorted(c["doc"], doc) + idx
-            raw = data.tobytes()
-            held = [raw[a:b] for a, b in zip(c["start"][pick].tolist(), c["end"][pick].tolist(), strict=True)]
+            raw, first, last = data.tobytes(), pick - idx, np.searchsorted(c["doc"], doc, side="right") - 1
+            start, end = c["start"].tolist(), c["end"].tolist()
+            of = lambda a, b: pa.array([raw[start[x] : end[y]] if x <= y else None for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())  # noqa: B023, E731
             row = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("k").take(row), pa.array(idx, pa.int32()), pa.array(held, pa.binary())], names=["id", "k", "idx", "chunk"]
+                [batch.column("id").take(row), batch.column("k").take(row), pa.array(idx, pa.int32()), pa.array(c["from"][pick], pa.int32()), pa.array(c["to"][pick], pa.int32()), of(pick, pick), of(np.maximum(pick - NEIGHBOURS, first), pick - 1), of(pick + 1, np.minimum(pick + NEIGHBOURS, last))],
+                names=["id", "k", "idx", "from", "to", "chunk", "before", "after"],
             )
 
-    return docs.select("id", "k", "text").join(wanted, "k").mapInArrow(run, "id long, k long, idx int, chunk binary")
+    return docs.select("id", "k", "text").join(wanted, "k").mapInArrow(run, "id long, k long, idx int, from int, to int, chunk binary, before binary, after binary")
+
+
+def extended(later: DataFrame) -> DataFrame:
+    """k, from, to: each later chunk with the lines around it that equal those of the first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = lambda b: [] if b is None else b.split(b"\n")
+        for batch in batches:
+            first, to = batch.column("from").to_numpy().copy(), batch.column("to").to_numpy().copy()
+            columns = [batch.column(c).to_pylist() for c in ("before", "first_before", "after", "first_after")]
+            for i, (before, first_before, after, first_after) in enumerate(zip(*columns, strict=True)):
+                first[i] -= common(split(before)[::-1], split(first_before)[::-1])
+                to[i] += common(split(after), split(first_after))
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(first, pa.int32()), pa.array(to, pa.int32())], names=["k", "from", "to"])
+
+    return later.select("k", "from", "to", "before", "first_before", "after", "first_after").mapInArrow(run, "k long, from int, to int")
 
 
-def remove_chunks(docs: DataFrame, gone: DataFrame, mean_lines: int, *carry: str) -> DataFrame:
+def common(a: list[bytes], b: list[bytes]) -> int:
+    """Equal lines from the start on."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
+def remove_lines(docs: DataFrame, gone: DataFrame, *carry: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, at = text_bytes(batch.column("text"))
-            c = chunks(data, at, mean_lines)
-            doc, idx = _flat(batch, "idxs")
-            out = np.zeros(len(c["doc"]), bool)
-            out[np.searchsorted(c["doc"], doc) + idx] = True
+            start, end, line_at = lines(data, at)
+            doc, spans = _flat(batch, "spans")
+            edge = np.zeros(len(start) + 1, np.int64)
+            np.add.at(edge, line_at[doc] + spans.field("from").to_numpy(), 1)
+            np.add.at(edge, line_at[doc] + spans.field("to").to_numpy(), -1)
+            out = np.cumsum(edge[:-1]) > 0
             raw, held = data.tobytes(), np.flatnonzero(~out)
-            edge = np.searchsorted(c["doc"][held], np.arange(batch.num_rows + 1)).tolist()
-            parts = [raw[a:b] for a, b in zip(c["start"][held].tolist(), c["end"][held].tolist(), strict=True)]
-            texts = [b"\n".join(parts[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-            removed = np.bincount(c["doc"][out], weights=c["lines"][out], minlength=batch.num_rows).astype(np.int64)
+            at_line = np.searchsorted(held, line_at).tolist()
+            parts = [raw[a:b] for a, b in zip(start[held].tolist(), end[held].tolist(), strict=True)]
+            texts = [b"\n".join(parts[a:b]) for a, b in zip(at_line[:-1], at_line[1:], strict=True)]
+            removed = np.diff(np.concatenate([[0], np.cumsum(out)])[line_at])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *[batch.column(x) for x in carry], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.diff(c["line_at"]), pa.int64()), pa.array(removed), pa.array(np.bincount(c["doc"][out], minlength=batch.num_rows), pa.int64())],
-                names=["id", *carry, "kept_text", "n_lines", "n_removed", "n_chunks_removed"],
+                [batch.column("id"), *[batch.column(x) for x in carry], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.diff(line_at), pa.int64()), pa.array(removed, pa.int64())],
+                names=["id", *carry, "kept_text", "n_lines", "n_removed"],
             )
 
-    joined = docs.join(gone, "k", "left").withColumn("idxs", F.coalesce("idxs", F.array().cast("array<int>")))
+    joined = docs.join(gone, "k", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<from:int,to:int>>")))
     kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carry)
-    return joined.select("id", "text", "idxs", *carry).mapInArrow(run, f"id long, {kinds}kept_text string, n_lines long, n_removed long, n_chunks_removed long")
+    return joined.select("id", "text", "spans", *carry).mapInArrow(run, f"id long, {kinds}kept_text string, n_lines long, n_removed long")
 
 
-def line_dedup(docs: DataFrame, mean_lines: int = MEAN_LINES, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every row's text without chunks whose bytes occur earlier, by (id, place).
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every row's text without chunks whose bytes occur earlier, by (id, place), and without
+    the lines next to them that equal those next to the first occurrence.
 
-    A chunk has two or more lines with a word; single lines stay.  Null ids come first.
+    A chunk has two or more lines with a word; single lines alone stay.  Null ids come first.
     An empty or null text is one empty line and stays empty.  Rows that repeat id and
     text are one document.  Hot chunks combine in map tasks, first by hash, then by
     bytes; the joins back are equi-joins that adaptive execution splits.
 
-    Returns id, kept_text, n_lines, n_removed (lines), n_chunks_removed and ``carry``.
+    Returns id, kept_text, n_lines, n_removed (lines) and ``carry``.
     """
     read = keyed(docs, *carry, id_col=id_col, text_col=text_col)
-    found = chunk_hashes(read, mean_lines)
+    found = chunk_hashes(read)
     repeated = cut(found.groupBy("hash1", "hash2").agg(F.count("*").alias("c")).filter("c > 1").drop("c"))
     wanted = found.join(repeated, ["hash1", "hash2"]).groupBy("k").agg(F.collect_set("idx").alias("idxs"))
-    held = cut(chunk_bytes(read.withColumn("id", F.coalesce("id", F.lit(NULL_ID))), cut(wanted), mean_lines))
+    held = cut(chunk_bytes(read.withColumn("id", F.coalesce("id", F.lit(NULL_ID))), cut(wanted)))
     place = F.struct("id", "k", "idx")
-    firsts = cut(held.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").drop("last"))
-    later = held.join(firsts, "chunk").filter(place > F.col("first"))
-    gone = cut(later.groupBy("k").agg(F.collect_set("idx").alias("idxs")))
-    return remove_chunks(read, gone, mean_lines, *carry)
+    least = cut(held.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("first.*", "first"))
+    around = held.join(least, ["id", "k", "idx"]).select("chunk", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["chunk"])
+    gone = cut(extended(held.join(cut(around), "chunk").filter(place > F.col("first"))).distinct().groupBy("k").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    return remove_lines(read, gone, *carry)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import MAX_HOST_RATE
+from .quality_rules import DEVIATIONS, TIMES_MEAN
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -35,5 +35,6 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM b WHERE source IS NOT NULL GROUP BY source),
 m AS (SELECT sum(failed)::DOUBLE / sum(docs) AS mean, sum(failed * failed / docs::DOUBLE) / sum(docs) - pow(sum(failed)::DOUBLE / sum(docs), 2) AS spread FROM h),
 k AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(1000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1000.0 END AS weight FROM m),
-v AS (SELECT source, (failed + mean * weight) / (docs + weight) <= {MAX_HOST_RATE} AS ok FROM h, k)
+r AS (SELECT source, docs, weight, mean, (failed + mean * weight) / (docs + weight) AS rate FROM h, k),
+v AS (SELECT source, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (docs + weight + 1)) <= least({TIMES_MEAN} * mean, (1 + mean) / 2) AS ok FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept FROM b LEFT JOIN v USING (source)"""

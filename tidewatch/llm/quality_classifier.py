@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
 from .spark_util import cut, width
-from .text_arrays import slices
+from .text_arrays import release, slices
 
 #: Quantile of held-out trusted documents, and how far a perplexity may lie beyond it.
 QUANTILE, MARGIN = 0.99, 1.15
@@ -43,7 +43,9 @@ SLICE, SHARD, SHARDS = 32 << 20, 32 << 20, 4096
 #: Slices that one copy of the model answers.
 SLICES_A_COPY = 256
 #: Distinct n-grams that a task holds before it hands its counts on.
-_HELD = 4 << 20
+_HELD = 3 << 19
+#: Bytes of text that are worked on at a time.
+_AT_ONCE = 1 << 20
 #: Steps of the answers: log probabilities and evidence travel as single bytes.
 STEP = 1 / 16
 
@@ -73,7 +75,7 @@ def _written(batches: list[pa.RecordBatch], schema: pa.Schema, level: int) -> by
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """sid, n_rows, langs, body: ``docs`` in slices of about SLICE bytes of text, each of several batches."""
+    """sid, body: ``docs`` in slices of about SLICE bytes of text, each of several batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -83,7 +85,7 @@ def pack(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([base + number], pa.int64()), pa.array([body], pa.binary())], names=["sid", "body"])
 
         number = 0
-        for batch in slices(batches):
+        for batch in slices(batches, _AT_ONCE):
             held.append(batch)
             size += batch.nbytes
             if size >= SLICE:
@@ -137,7 +139,7 @@ def count_ngrams(marked: DataFrame, shards: int) -> DataFrame:
                         [pa.array([s], pa.int32()), pa.array(["=" + lang]), pa.array([frozen(**{n: c[own] for n, c in zip(("gram", "c", "good", "bad"), sums, strict=True)})], pa.binary())], names=["shard", "model", "body"]
                     )
 
-        for batch in slices(batches):
+        for batch in slices(batches, _AT_ONCE):
             marks = np.array(batch.column("mark").to_pylist(), np.int64)
             for lang, rows, texts in by_language(batch):
                 doc, codes, c = document_counts(*_codes(texts))
@@ -254,6 +256,7 @@ def questions(packed: DataFrame, shards: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([sid], pa.int64()), pa.array([s], pa.int32()), pa.array(["=" + lang]), pa.array([frozen(gram=codes[shard == s])], pa.binary())], names=["sid", "shard", "model", "body"]
                         )
+        release()
 
     return packed.select("sid", "body").mapInArrow(run, "sid long, shard int, model string, body binary")
 
@@ -301,7 +304,7 @@ def score(packed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
     """sid, row, id, lang, n_symbols, log_likelihood, evidence (the largest of any n-gram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sid, body, got in ((r["sid"], r["body"], r["got"]) for b in batches for r in b.to_pylist()):
+        for sid, body, got in ((b.column("sid")[k].as_py(), b.column("body")[k].as_py(), b.column("got")[k].as_py()) for b in batches for k in range(b.num_rows)):
             found = {(g["model"], g["shard"]): g["answer"] for g in got or []}
             known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for lang, codes in distinct(body).items():
@@ -328,6 +331,7 @@ def score(packed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
                     names=["sid", "row", "id", "lang", "n_symbols", "log_likelihood", "evidence"],
                 )
                 first += batch.num_rows
+        release()
 
     got = answered.groupBy("sid").agg(F.collect_list(F.struct("model", "shard", "answer")).alias("got"))
     return packed.join(got, "sid", "left").select("sid", "body", "got").mapInArrow(run, "sid long, row long, id long, lang string, n_symbols long, log_likelihood double, evidence double")
@@ -335,7 +339,7 @@ def score(packed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
 
 def train(marked: DataFrame, shards: int) -> DataFrame:
     """shard, model, body, base, good, bad: the model, from (lang, mark, text) of marked documents."""
-    merged = cut(count_ngrams(marked, shards).groupBy("shard").applyInArrow(merge, "shard int, model string, body binary, part binary"))
+    merged = cut(cut(count_ngrams(marked, shards)).groupBy("shard").applyInArrow(merge, "shard int, model string, body binary, part binary"))
     base = merged.select("model", "part").groupBy("model").applyInArrow(base_of, "model string, base binary")
     number = lambda m: F.sum((F.col("mark") == m).cast("long"))
     own = marked.groupBy(F.concat(F.lit("="), F.coalesce("lang", F.lit(""))).alias("model")).agg(number(TRUSTED).alias("good"), number(BAD).alias("bad"))
@@ -361,14 +365,18 @@ def marks_of(labels: DataFrame) -> DataFrame:
 def limits(scores: DataFrame, quantile: float, margin: float) -> DataFrame:
     """model, mean (log likelihood of a symbol), upper, lower, evidence_limit, from scored documents with a mark.
 
-    A model's limits come from its HELD documents, or from its TRUSTED ones where none is held out.
+    A model's limits come from its HELD documents, or from its TRUSTED ones where none is held
+    out; the lower one from both, as copies of counted documents score lower than others.
     """
     trusted = scores.filter(F.col("mark").isin(TRUSTED, HELD)).withColumn("model", F.explode(F.array(F.concat(F.lit("="), "lang"), F.lit(ALL))))
-    means = trusted.groupBy("model").agg((F.sum("log_likelihood") / F.greatest(F.sum("n_symbols"), F.lit(1))).alias("mean"), F.max((F.col("mark") == HELD).cast("int")).alias("has_held"))
-    own = trusted.join(means, "model").filter((F.col("mark") == HELD) | (F.col("has_held") == 0))
+    kinds = trusted.groupBy("model").agg(F.max((F.col("mark") == HELD).cast("int")).alias("has_held"))
+    both = trusted.join(kinds, "model").withColumn("own", (F.col("mark") == HELD) | (F.col("has_held") == 0))
+    total = lambda c: F.sum(F.when(F.col("own"), F.col(c)))
+    means = both.groupBy("model").agg((total("log_likelihood") / F.greatest(total("n_symbols"), F.lit(1))).alias("mean"))
     at = lambda c, q: F.percentile_approx(c, q, 10_000)
-    found = own.withColumn("drawn", drawn()).groupBy("model").agg((margin * at("drawn", quantile)).alias("upper"), (at("drawn", 1 - quantile) / margin).alias("lower"), at("evidence", quantile).alias("evidence_limit"))
-    return means.drop("has_held").join(found, "model")
+    own = lambda c: F.when(F.col("own"), F.col(c))
+    found = both.join(means, "model").withColumn("drawn", drawn()).groupBy("model").agg((margin * at(own("drawn"), quantile)).alias("upper"), (at("drawn", 1 - quantile) / margin).alias("lower"), at(own("evidence"), quantile).alias("evidence_limit"))
+    return means.join(found, "model")
 
 
 def drawn() -> F.Column:
@@ -386,8 +394,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     bad those with a label that calls them bad or toxic; null ids have no label, rows with
     one id share its label, and every row has its own verdict.  The upper limit of a
     language is ``margin`` times the ``quantile`` of the held-out documents' perplexities,
-    drawn to the language's mean; the lower limit is the opposite quantile divided by
-    ``margin``; the evidence's limit is its quantile.  A language without trusted text is
+    drawn to the language's mean; the lower limit is the opposite quantile of all
+    trusted ones divided by ``margin``; the evidence's limit is its quantile.  A language without trusted text is
     judged by the model and the limits of all.  An empty or null text has the mean
     perplexity and is kept, as every document is while nothing is trusted.
     """
@@ -401,6 +409,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     packed = pack(read)
     copies = 1 + packed.count() // SLICES_A_COPY
     answered = cut(answers(questions(packed, shards), model, copies))
+    del model, marked  # their files go with them
     scores = cut(score(packed, answered, shards))
     found = limits(scores.join(marks, F.col("id") == F.col("label_id")), quantile, margin)
     everyone = found.filter(F.col("model") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in found.columns if c != "model"])
@@ -410,7 +419,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     judged = judged.withColumns({
         "perplexity": F.exp(-F.col("log_likelihood") / F.greatest("n_symbols", F.lit(1))),
         "shrunk": drawn(),
-    }).withColumn("kept", F.coalesce(F.col("shrunk") <= F.col("upper"), F.lit(True)) & F.coalesce(F.col("shrunk") >= F.col("lower"), F.lit(True)) & F.coalesce(F.col("evidence") <= F.col("evidence_limit"), F.lit(True)))
+    }).withColumn("kept", (F.col("n_symbols") == 0) | F.coalesce(F.col("shrunk") <= F.col("upper"), F.lit(True)) & F.coalesce(F.col("shrunk") >= F.col("lower"), F.lit(True)) & F.coalesce(F.col("evidence") <= F.col("evidence_limit"), F.lit(True)))
     return judged.select(FIGURES) if not carry else with_rows(packed, judged, read, {id_col: "id", text_col: "text", lang_col: "lang"}, carry)
 
 
@@ -427,6 +436,7 @@ def with_rows(packed: DataFrame, judged: DataFrame, read: DataFrame, names: dict
                     mine = rows.slice(first, part.num_rows)
                     first += part.num_rows
                     yield pa.RecordBatch.from_arrays([*[mine.field(1 + i) for i in range(len(FIGURES))], *[part.column(c) for c in own.values()]], names=[*FIGURES, *own])
+        release()
 
     kinds = ", ".join(f"{c} {judged.schema[c].dataType.simpleString()}" for c in FIGURES)
     more = ", ".join(f"{c} {read.schema[n].dataType.simpleString()}" for c, n in own.items())

@@ -2,7 +2,8 @@
 
 Every document gets rule figures from one pass over its text.  Failures are summed by
 host, host rates are shrunk towards the mean with a beta prior fitted to the hosts
-themselves, and the host's verdict is joined back to its documents.
+themselves, and the host's verdict is joined back to its documents.  A host fails when
+its rate is surely (by its posterior) above a limit that the mean of all documents gives.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from .text_arrays import SPACE, doc_of, slices, span_hashes, text_bytes, window_
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A host fails when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.8
+#: A host fails when its posterior mean, less so many deviations, is above the limit: so many
+#: times the mean rate of all documents, or half way between that and 1, whichever is less.
+DEVIATIONS, TIMES_MEAN = 2.0, 2.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -77,8 +79,9 @@ def document_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_verdicts(figures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """host, docs, failed, rate (posterior mean), host_ok; null hosts get none.
+def host_verdicts(figures: DataFrame, deviations: float = DEVIATIONS, times_mean: float = TIMES_MEAN) -> DataFrame:
+    """host, docs, failed, rate (posterior mean), surely (rate less ``deviations`` of the
+    posterior), host_limit, host_ok; null hosts get none.
 
     The prior Beta(a, b) has the mean m of all documents and the weight m(1-m)/v - 1,
     v the variance of host rates around m weighted by documents; the weight is kept
@@ -90,20 +93,22 @@ def host_verdicts(figures: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
     mean = f / n if n else 0.0
     spread = q / n - mean * mean if n else 0.0
     weight = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else 1000.0
-    rate = (F.col("failed") + mean * weight) / (F.col("docs") + weight)
-    return hosts.withColumn("rate", rate).withColumn("host_ok", F.col("rate") <= max_rate)
+    rate, limit = (F.col("failed") + mean * weight) / (F.col("docs") + weight), min(times_mean * mean, (1 + mean) / 2)
+    surely = F.col("rate") - deviations * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("docs") + weight + 1))
+    return hosts.withColumn("rate", rate).withColumn("surely", surely).withColumn("host_limit", F.lit(limit)).withColumn("host_ok", F.col("surely") <= F.col("host_limit"))
 
 
-def host_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", deviations: float = DEVIATIONS, times_mean: float = TIMES_MEAN) -> DataFrame:
     """Figures, base_failed, host rate and kept for every row of ``docs``.
 
     kept is false for a document that fails the base rules and for every document of a
-    failing host.  Documents without a host are judged by the base rules alone.  Counts
+    failing host.  Documents without a host are judged by the base rules alone; a null text
+    has no words and fails; rows that repeat count and are judged each.  Counts
     by host combine in map tasks, and the join with one row per host is left to
     adaptive execution: broadcast if small, else by key with hot hosts split.
     """
     base = cut(document_figures(docs, id_col, text_col, host_col))
-    verdicts = host_verdicts(base, max_rate).select(F.col("host").alias("h"), "rate", "host_ok")
+    verdicts = host_verdicts(base, deviations, times_mean).select(F.col("host").alias("h"), "rate", "host_ok")
     return base.join(verdicts, F.col("host") == F.col("h"), "left").select(
         "id", "host", *FIGURES, "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept")
     )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint_folder
+
 #: Stands for a null id in sort and join keys.
 NULL_ID = -(2**63)
 
@@ -15,14 +16,13 @@ NULL_ID = -(2**63)
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set
-    (tests on one machine) a temporary one is chosen.  The shuffles that fed ``df``
+    The folder is the session's ``spark.checkpoint.dir``, or the one given to
+    ``setCheckpointDir``; see ``lineage.checkpoint_folder``.  The shuffles that fed ``df``
     are not needed afterwards, so the driver is asked to let go of them.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     kept = df.checkpoint(eager=True)
     del df  # its plan holds on to the shuffles
     gc.collect()

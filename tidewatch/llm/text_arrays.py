@@ -6,6 +6,7 @@ is bounded by the slice, or by a single document where one is longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,17 +56,29 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has about ``most`` bytes of text (column ``text``)."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        first = 0
-        while first < n:
-            before = ends[first - 1] if first else 0
-            last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield batch.slice(first, last - first)
-            first = last
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < n:
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+                yield batch.slice(first, last - first)
+                first = last
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give back what a task leaves: workers are used again, by other operators too."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
