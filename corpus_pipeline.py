@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.lineage import cut as written
 from tidewatch.llm import line_dedup, ngram_join, packing, quality_classifier, suffix_dedup
 from tidewatch.llm.queries import VOCABULARY, documents
 from tidewatch.llm.spark_util import cut
@@ -78,9 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; each but the last is written, and read by the next one."""
     ship(spark)
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
