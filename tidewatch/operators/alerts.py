@@ -92,8 +92,14 @@ RESULT_COLUMNS = [
 
 
 def result_rows(alerts: DataFrame) -> DataFrame:
-    """K4: the 15 columns of the CSV log, null where an alert has none."""
-    return alerts.select(*[F.col(c) if c in alerts.columns else F.lit(None).cast("string").alias(c) for c in RESULT_COLUMNS])
+    """K4: the 15 columns of the CSV log, null where an alert has none; a signature alert
+    names its signature and has no totals (zero)."""
+    signature = F.col("detection_method") == "suricata_signature"
+    if "signature" in alerts.columns:
+        alerts = alerts.withColumn("suricata_signature", F.col("signature"))
+    own = lambda c: F.col(c) if c in alerts.columns else F.lit(None).cast("string")
+    total = lambda c: F.when(signature, F.coalesce(c, F.lit(0))).otherwise(F.col(c)) if c in alerts.columns else F.when(signature, F.lit(0))
+    return alerts.select(*[(total(c) if c in ("duration", "total_bytes", "total_packets") else own(c)).alias(c) for c in RESULT_COLUMNS])
 
 
 def write_results(alerts: DataFrame, path: str) -> None:

@@ -177,11 +177,16 @@ FILTERED_FLOWS = f"""WITH {FLOWS_SQL} SELECT row_id, daddr LIKE '10.1.%' AND spl
   WHERE row_id % 20 NOT IN (3, 4, 5, 6, 7) AND saddr <> '192.168.0.2'"""
 
 
-def signature_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def signature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id and a decoded signature event for every flow."""
     i = F.col("row_id")
     category = F.when(i % 3 == 0, "Not Suspicious Traffic").when(i % 3 == 1, "Web Attack")
     line = F.to_json(F.struct(F.lit("alert").alias("event_type"), F.col("saddr").alias("src_ip"), F.col("daddr").alias("dest_ip"), F.col("dport").alias("dest_port"), "proto", F.struct(F.lit("sig").alias("signature"), category.alias("category"), (i % 4).alias("severity")).alias("alert")))
-    found = alerts.signature_alerts(parse.decode(flows(spark, sf_dir).select("row_id", line.alias("value"))), "row_id")
+    return parse.decode(flows(spark, sf_dir).select("row_id", line.alias("value")))
+
+
+def signature_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alerts.signature_alerts(signature_lines(spark, sf_dir), "row_id")
     return found.select("row_id", "src_ip", "dst_ip", "dst_port", "predicted_class", "signature", "category", "severity", "is_attack")
 
 

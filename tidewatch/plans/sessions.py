@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alerts, features, parse, scoring
 from ..operators import sessions as ops
-from .events import rounded
+from .events import rounded, signature_lines
 from .fixtures import EVENTS_SQL, FLOWS_SQL, SCORES_SQL, event_lines, flows, scores
 
 TIMEOUT_S = 0.5  # the tables' events lie close together; so some sessions expire
@@ -147,14 +147,17 @@ ALERT_LOG = f"""WITH {FLOWS_SQL}, {SCORES_SQL}, {_DECIDED} SELECT saddr AS src_i
 
 
 def result_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model alerts and, with the settings of v2, signature alerts."""
+    signatures = alerts.signature_alerts(signature_lines(spark, sf_dir).filter("row_id % 5 = 0"), "row_id", v2=True)
     found = alerts.model_alerts(scored_flows(spark, sf_dir)).withColumns({"timestamp": F.col("t_us"), "total_bytes": F.col("sbytes") + F.col("dbytes"), "total_packets": F.col("spkts") + F.col("dpkts"), "duration": F.col("age_s"), "confidence": F.round("confidence", 6)})
-    return alerts.result_rows(found)
+    return alerts.result_rows(alerts.all_alerts(signatures, found))
 
 
 RESULT_LOG = f"""WITH {FLOWS_SQL}, {SCORES_SQL}, {_DECIDED} SELECT t_us AS timestamp, saddr AS src_ip, daddr AS dst_ip, dport AS dst_port, proto, best_label AS predicted_class, round(top, 6) AS confidence, 'ml' AS detection_method,
   CAST(NULL AS VARCHAR) AS suricata_signature, CASE WHEN CASE best_label WHEN 'PortScan' THEN "PortScan_dt" ELSE "DoS_dt" END >= 0.5 THEN best_label ELSE 'Benign' END AS dt_vote,
   CASE WHEN CASE best_label WHEN 'PortScan' THEN "PortScan_rf" ELSE "DoS_rf" END >= 0.5 THEN best_label ELSE 'Benign' END AS rf_vote, CASE WHEN CASE best_label WHEN 'PortScan' THEN "PortScan_xgb" ELSE "DoS_xgb" END >= 0.5 THEN best_label ELSE 'Benign' END AS xgb_vote,
-  age_s AS duration, sbytes + dbytes AS total_bytes, spkts + dpkts AS total_packets FROM flows JOIN d USING (row_id) WHERE is_attack"""
+  age_s AS duration, sbytes + dbytes AS total_bytes, spkts + dpkts AS total_packets FROM flows JOIN d USING (row_id) WHERE is_attack
+UNION ALL SELECT NULL, saddr, daddr, dport, proto, 'Suricata Alert', 1.0, 'suricata_signature', 'sig', NULL, NULL, NULL, 0, 0, 0 FROM flows WHERE row_id % 5 = 0"""
 
 
 def alert_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
