@@ -96,7 +96,7 @@ def span_hashes_of(values: np.ndarray, first: np.ndarray, to: np.ndarray) -> np.
 
 
 def chunk_hashes(docs: DataFrame) -> DataFrame:
-    """hash1, hash2, k, idx of every chunk with two lines or more that have a word."""
+    """hash1, hash2, id, k, idx of every chunk with two lines or more that have a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -104,10 +104,10 @@ def chunk_hashes(docs: DataFrame) -> DataFrame:
             pick = np.flatnonzero(c["multi"])
             yield pa.RecordBatch.from_arrays([
                 pa.array(c["hash1"][pick].view(np.int64)), pa.array(c["hash2"][pick].view(np.int64)),
-                batch.column("k").take(pa.array(c["doc"][pick])), pa.array(c["idx"][pick].astype(np.int32)),
-            ], names=["hash1", "hash2", "k", "idx"])
+                *[batch.column(x).take(pa.array(c["doc"][pick])) for x in ("id", "k")], pa.array(c["idx"][pick].astype(np.int32)),
+            ], names=["hash1", "hash2", "id", "k", "idx"])
 
-    return docs.select("k", "text").mapInArrow(run, "hash1 long, hash2 long, k long, idx int")
+    return docs.select("id", "k", "text").mapInArrow(run, "hash1 long, hash2 long, id long, k long, idx int")
 
 
 def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.Array]:
@@ -117,23 +117,33 @@ def _flat(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, pa.Array]:
 
 def chunk_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, k, idx, from, to (lines), chunk (bytes), before and after (the bytes of NEIGHBOURS
-    chunks, null at the document's ends) of the chunks named in ``wanted`` (k, idxs)."""
+    chunks) of the chunks named in ``wanted`` (k, chunks: idx and lead).
+
+    Neighbours come with a chunk that leads its hash; with another one only where the next
+    chunk on that side is not wanted itself.  They are null at the document's ends.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, at = text_bytes(batch.column("text"))
             c = chunks(data, at)
-            doc, idx = _flat(batch, "idxs")
-            idx = idx.to_numpy()
+            doc, named = _flat(batch, "chunks")
+            idx, lead = named.field("idx").to_numpy(), named.field("lead").to_numpy(zero_copy_only=False)
             pick = np.searchsorted(c["doc"], doc) + idx
             raw, first, last = data.tobytes(), pick - idx, np.searchsorted(c["doc"], doc, side="right") - 1
             start, end = c["start"].tolist(), c["end"].tolist()
             of = lambda a, b: pa.array([raw[start[x] : end[y]] if x <= y else None for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())  # noqa: B023, E731
-            row = pa.array(doc)
+            row, alone = pa.array(doc), np.ones(len(c["doc"]) + 2, bool)
+            alone[pick + 1] = False
+            told = lambda side: lead | alone[pick + 1 + side]  # noqa: B023, E731
+            none = len(c["doc"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(row), batch.column("k").take(row), pa.array(idx, pa.int32()), pa.array(c["from"][pick], pa.int32()), pa.array(c["to"][pick], pa.int32()), of(pick, pick), of(np.maximum(pick - NEIGHBOURS, first), pick - 1), of(pick + 1, np.minimum(pick + NEIGHBOURS, last))],
+                [
+                    batch.column("id").take(row), batch.column("k").take(row), pa.array(idx, pa.int32()), pa.array(c["from"][pick], pa.int32()), pa.array(c["to"][pick], pa.int32()), of(pick, pick),
+                    of(np.where(told(-1), np.maximum(pick - NEIGHBOURS, first), none), pick - 1), of(np.where(told(1), pick + 1, none), np.minimum(pick + NEIGHBOURS, last)),
+                ],
                 names=["id", "k", "idx", "from", "to", "chunk", "before", "after"],
-            )
+            )
 
     return docs.select("id", "k", "text").join(wanted, "k").mapInArrow(run, "id long, k long, idx int, from int, to int, chunk binary, before binary, after binary")
 
@@ -201,11 +211,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns id, kept_text, n_lines, n_removed (lines) and ``carry``.
     """
     read = keyed(docs, *carry, id_col=id_col, text_col=text_col)
-    found = chunk_hashes(read)
-    repeated = cut(found.groupBy("hash1", "hash2").agg(F.count("*").alias("c")).filter("c > 1").drop("c"))
-    wanted = found.join(repeated, ["hash1", "hash2"]).groupBy("k").agg(F.collect_set("idx").alias("idxs"))
-    held = cut(chunk_bytes(read.withColumn("id", F.coalesce("id", F.lit(NULL_ID))), cut(wanted)))
-    place = F.struct("id", "k", "idx")
+    placed = read.withColumn("id", F.coalesce("id", F.lit(NULL_ID)))
+    found, place = chunk_hashes(placed), F.struct("id", "k", "idx")
+    repeated = cut(found.groupBy("hash1", "hash2").agg(F.count("*").alias("c"), F.min(place).alias("lead")).filter("c > 1").drop("c"))
+    wanted = found.join(repeated, ["hash1", "hash2"]).groupBy("k").agg(F.collect_set(F.struct("idx", (place == F.col("lead")).alias("lead"))).alias("chunks"))
+    held = cut(chunk_bytes(placed, cut(wanted)))
     least = cut(held.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("first.*", "first"))
     around = held.join(least, ["id", "k", "idx"]).select("chunk", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["chunk"])
     gone = cut(extended(held.join(cut(around), "chunk").filter(place > F.col("first"))).distinct().groupBy("k").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
