@@ -75,6 +75,19 @@ def test_ngram_join_in_blocks_with_frequent_order(table, docs, monkeypatch):
     assert by_id(ngram_join.ngram_components(table, 3, 90), "n_shingles", "component_id") == brute.components(docs, 3, 90)
 
 
+def test_fragments_cut_the_global_order():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(2**20, 200).astype(np.uint64) << np.uint64(44) | np.uint64(7)) for _ in range(30)]
+    short, df = np.unique(np.concatenate(sets) >> np.uint64(32), return_counts=True)
+    tokens, df = short[df > 1].astype(np.uint32), df[df > 1]
+    rare, frequent = ngram_join.token_fragments(tokens, df, sum(map(len, sets)))
+    assert (np.diff(frequent[np.lexsort((tokens, df))]) >= 0).all() and (not len(frequent) or (frequent.min() >= rare and frequent.max() < ngram_join.FRAGMENTS))
+    parts = [ngram_join.cut_in_fragments(s, tokens, rare, frequent) for s in sets]
+    assert all((np.sort(np.concatenate(p)) == s).all() for p, s in zip(parts, sets, strict=True))
+    whole = sum(ngram_join.overlaps([p[f] for p in parts], [p[f] for p in parts]) for f in range(ngram_join.FRAGMENTS))
+    assert (whole == [[len(np.intersect1d(x, y)) for y in sets] for x in sets]).all()
+
+
 def test_sketches_never_part_linked_sets():
     rng = np.random.default_rng(1)
     for percent in (80, 90):

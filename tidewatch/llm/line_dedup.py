@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spark_util import NULL_ID, cut, keyed
+from .spark_util import NULL_ID, cut, keyed, let_go
 from .text_arrays import SPACE, mix, powers, slices, span_hashes, text_bytes, window_hashes
 
 #: Lines whose hashes are rolled into one.
@@ -219,4 +219,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = cut(held.groupBy("chunk").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("first.*", "first"))
     around = held.join(least, ["id", "k", "idx"]).select("chunk", "first", F.col("before").alias("first_before"), F.col("after").alias("first_after")).dropDuplicates(["chunk"])
     gone = cut(extended(held.join(cut(around), "chunk").filter(place > F.col("first"))).distinct().groupBy("k").agg(F.collect_list(F.struct("from", "to")).alias("spans")))
+    del found, repeated, wanted, held, least, around  # the last join is the caller's; its files go before
+    let_go(docs.sparkSession)
     return remove_lines(read, gone, *carry)

@@ -3,23 +3,27 @@
 All n-grams have one global order: frequent ones last, by frequency, the others by hash.
 Two similar sets share an n-gram among the first of each, so sets that share none are
 never compared.  Equal sets count as one.  The sets that share such an n-gram with the
-same least set form a bucket; buckets are cut into blocks, so no pairs travel.
-
-Two sketches thin the buckets out: the order is cut into fragments, one byte for each
-holds a hash of the n-grams in it, and two similar sets differ in as many fragments as
-n-grams at most.  What is left is compared in full: for two blocks the global order is cut into fragments, partial overlaps are counted fragment by fragment
-as small matrix products and summed per pair, and only a forest of the pairs that reach
-the threshold leaves the task.
+same least set form a bucket; buckets are cut into blocks, so no pairs travel.  Sketches
+(one byte for each of many ranges of the hashes) thin the buckets out: two similar sets
+differ in as many places of their sketches as in n-grams at most.
+
+What is left is counted in full by vertical partitions: the global order is cut into
+FRAGMENTS of equal mass, every set into its parts, and each (blocks, fragment) is a group
+of its own that counts the partial overlaps of all pairs as a matrix.  The matrices of two
+blocks are summed over the fragments, and a forest of the pairs that reach the threshold
+leaves the task.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,10 @@ from .text_arrays import mix, slices, span_hashes, text_bytes, window_hashes, wo
 FREQUENT_LIMIT = 1 << 20
 #: An n-gram is frequent from so many documents on, or more where the limit asks for it.
 FREQUENT_DOCS = 16
-#: Sets in a block, n-grams in a fragment.
-BLOCK, FRAGMENT = 256, 4096
+#: Sets in a block; vertical partitions of the global order; n-grams that are counted in one matrix product.
+BLOCK, FRAGMENTS, COLUMNS = 256, 4, 4096
+#: Documents whose n-grams meet in one group of the count, about.
+_DOCS_A_PART = 20_000
 #: N-grams that a task counts before it hands them on.
 _COUNT_AT_ONCE = 1 << 21
 
@@ -100,7 +106,7 @@ def frequent_ngrams(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]
     All n-grams of all documents are counted; tasks hand on sorted runs by range.  Only
     the order depends on this table, never the result, so its size limit drops nothing.
     """
-    parts = width(docs.sparkSession)
+    parts = max(width(docs.sparkSession), docs.count() // _DOCS_A_PART)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -163,17 +169,37 @@ def prefix(grams: np.ndarray, length: int, tokens: np.ndarray, df: np.ndarray) -
     return np.concatenate([rare, grams[last[order[: length - len(rare)]]]])
 
 
-def candidate_buckets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def token_fragments(tokens: np.ndarray, df: np.ndarray, total: int) -> tuple[int, np.ndarray]:
+    """Fragments of the infrequent n-grams (the first ones, by equal ranges of the hash) and
+    the fragment of each frequent token (in the order, at equal mass); ``total``: all sets' sizes."""
+    rare = FRAGMENTS if not len(tokens) else min(FRAGMENTS - 1, max(1, round(FRAGMENTS * (1 - df.sum() / max(total, df.sum())))))
+    order = np.lexsort((tokens, df))
+    upto = np.cumsum(df[order]) - df[order]
+    out = np.zeros(len(tokens), np.int64)
+    out[order] = rare + upto * (FRAGMENTS - rare) // max(int(df.sum()), 1)
+    return rare, out
+
+
+def cut_in_fragments(grams: np.ndarray, tokens: np.ndarray, rare: int, frequent: np.ndarray) -> list[np.ndarray]:
+    """A sorted set's parts in each fragment of the global order."""
+    short = grams >> np.uint64(32)
+    place = ((short * np.uint64(rare)) >> np.uint64(32)).astype(np.int64)
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, short.astype(np.uint32)), len(tokens) - 1)
+        place = np.where(tokens[at] == short.astype(np.uint32), frequent[at], place)
+    return [grams[place == f] for f in range(FRAGMENTS)]
+
+
+def candidate_buckets(docs: DataFrame, size: int, percent: int, shared: Broadcast) -> DataFrame:
     """bucket, node: the sets (by digest s1) that share an n-gram of their prefixes.
 
     N-grams whose least member is the same set make one bucket, named by that set: near
     copies share many n-grams but have few least members, so their sets are copied to few
     buckets.  An n-gram's least member is an aggregate that combines within map tasks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, df = shared.value
+        tokens, df, _, _ = shared.value
         for batch in slices(batches):
             grams, owner = [], []
             for s in ngram_sets(batch.column("text"), size):
@@ -202,18 +228,18 @@ def component_labels(linked: np.ndarray) -> np.ndarray:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Common n-grams of each left and right set: partial counts by fragment, summed."""
+    """Common n-grams of each left and right set (parts of one fragment), COLUMNS at a time."""
     flat = [np.concatenate(x) for x in (left, right)]
     both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
     owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (left, right)]
     place = [np.searchsorted(both, f) for f in flat]
     held = [(p < len(both)) & (both[np.minimum(p, len(both) - 1)] == f) if len(both) else np.zeros(len(f), bool) for p, f in zip(place, flat, strict=True)]
     total = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, len(both), FRAGMENT):
+    for start in range(0, len(both), COLUMNS):
         part = []
         for rows, o, p, h in zip((left, right), owner, place, held, strict=True):
-            inside = h & (p >= start) & (p < start + FRAGMENT)
-            m = np.zeros((len(rows), min(FRAGMENT, len(both) - start)), np.float32)
+            inside = h & (p >= start) & (p < start + COLUMNS)
+            m = np.zeros((len(rows), min(COLUMNS, len(both) - start)), np.float32)
             m[o[inside], p[inside] - start] = 1
             part.append(m)
         total += part[0] @ part[1].T
@@ -260,18 +286,43 @@ def _thin(percent: int) -> Callable:
     return run
 
 
-def _link(percent: int) -> Callable:
+KEYS = ["large", "bin", "a", "b"]
+
+
+def _sides(own: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a bucket in block a and in block b."""
+    return np.flatnonzero(own == a), np.flatnonzero(own == b)
+
+
+def count_fragment(rows: pd.DataFrame) -> pd.DataFrame:
+    """The partial overlaps of one (blocks, fragment): a matrix for each bucket, one after
+    another; with the first fragment the buckets' members too."""
+    rows = rows.sort_values(["bucket", "node"])
+    counts = []
+    for _, group in rows.groupby("bucket"):
+        parts = [np.frombuffer(b, np.uint64) for b in group["grams"]]
+        i, j = _sides(group["own"].to_numpy(), group["a"].iloc[0], group["b"].iloc[0])
+        counts.append(overlaps([parts[x] for x in i], [parts[x] for x in j]).astype(np.uint32).ravel() if len(i) and len(j) else np.zeros(0, np.uint32))
+    first = rows.iloc[0]
+    members = rows[["bucket", "node", "n", "own"]].to_numpy(np.int64).tobytes() if first["fragment"] == 0 else None
+    return pd.DataFrame({**{k: [first[k]] for k in KEYS}, "members": [members], "counts": [zlib.compress(np.concatenate(counts).tobytes(), 1)]})
+
+
+def _sum(percent: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         edges: list[tuple[int, int]] = []
-        for _, group in rows.groupby("bucket", sort=False):
-            sets = [np.frombuffer(b, np.uint64) for b in group["grams"]]
-            n, node, own = np.array([len(s) for s in sets]), group["node"].to_numpy(), group["own"].to_numpy()
-            i, j = np.flatnonzero(own == group["a"].iloc[0]), np.flatnonzero(own == group["b"].iloc[0])
-            if len(sets) < 2 or not len(i) or not len(j):
+        common = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in rows["counts"])
+        members = np.frombuffer(next(m for m in rows["members"] if m is not None), np.int64).reshape(-1, 4)
+        start = 0
+        for group in np.split(members, np.flatnonzero(np.diff(members[:, 0])) + 1):
+            _, node, n, own = group.T
+            i, j = _sides(own, rows["a"].iloc[0], rows["b"].iloc[0])
+            here = common[start : start + len(i) * len(j)].reshape(len(i), len(j))
+            start += here.size
+            if len(node) < 2 or not here.size:
                 continue
-            common = overlaps([sets[x] for x in i], [sets[x] for x in j])
-            linked = np.zeros((len(sets), len(sets)), bool)
-            linked[np.ix_(i, j)] = 100 * common >= percent * (n[i][:, None] + n[j][None, :] - common)
+            linked = np.zeros((len(node), len(node)), bool)
+            linked[np.ix_(i, j)] = 100 * here >= percent * (n[i][:, None] + n[j][None, :] - here)
             label = component_labels(linked | linked.T)
             edges += [(int(node[x]), int(node[y])) for x, y in enumerate(label.tolist()) if x != y]
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
@@ -304,19 +355,26 @@ def similar_edges(docs: DataFrame, sets: DataFrame, size: int, percent: int) ->
     set, so that groups of several buckets with the same one are compared once.  Full sets
     are made for the sets that are left only.
     """
-    keys = ["large", "bin", "a", "b"]
-    members = cut(candidate_buckets(docs, size, percent))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    tokens, df = frequent_ngrams(docs, size)
+    rare, frequent = token_fragments(tokens, df, total)
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, df, rare, frequent))
+    members = cut(candidate_buckets(docs, size, percent, shared))
     rough = in_blocks(members).join(sets.select("node", "n", "own_sketch", "next_sketch"), "node")
-    left = cut(rough.groupBy(*keys).applyInPandas(_thin(percent), "bucket long, node long").distinct())
+    left = cut(rough.groupBy(*KEYS).applyInPandas(_thin(percent), "bucket long, node long").distinct())
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, _, rare, frequent = shared.value
         for batch in slices(batches):
-            held = pa.array([s.tobytes() for s in ngram_sets(batch.column("text"), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), held], names=["node", "grams"])
+            found = ngram_sets(batch.column("text"), size)
+            parts = [[p.tobytes() for p in cut_in_fragments(s, tokens, rare, frequent)] for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in found], pa.int64()), pa.array(parts, pa.list_(pa.binary()))], names=["node", "n", "parts"])
 
     nodes = sets.select("k", "node").join(left.select("node").distinct(), "node")
-    texts = docs.select("k", "text").join(nodes, "k").select("node", "text").mapInArrow(grams, "node long, grams binary").dropDuplicates(["node"])
-    return in_blocks(left).join(texts, "node").groupBy(*keys).applyInPandas(_link(percent), "a long, b long")
+    texts = docs.select("k", "text").join(nodes, "k").select("node", "text").mapInArrow(grams, "node long, n long, parts array<binary>").dropDuplicates(["node"])
+    parts = in_blocks(left).join(texts, "node").select(*KEYS, "bucket", "node", "n", "own", F.posexplode("parts").alias("fragment", "grams"))
+    counts = parts.groupBy(*KEYS, "fragment").applyInPandas(count_fragment, "large boolean, bin long, a int, b int, members binary, counts binary")
+    return counts.groupBy(*KEYS).applyInPandas(_sum(percent), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,11 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     kept = df.checkpoint(eager=True)
     del df  # its plan holds on to the shuffles
-    gc.collect()
-    context._jvm.System.gc()
+    let_go(kept.sparkSession)
     return kept
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver drop shuffles and checkpoints that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
