@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .spark_util import NULL_ID, cut, keyed, width
+from .spark_util import NULL_ID, cut, keyed, let_go, width
 from .text_arrays import mix, slices, span_hashes, text_bytes, window_hashes, words
 
 #: The most n-grams that the order treats as frequent; their table is broadcast (12 bytes each).
@@ -396,8 +396,11 @@ def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     named = sets.select("node", "s2", "n", "twin").join(found.join(ids, "component").select("node", "smallest"), "node", "left").select(
         F.col("node").alias("t1"), F.col("s2").alias("t2"), F.col("n").alias("m"), "twin", F.coalesce("smallest", "twin").alias("smallest")
     )
+    named = cut(named)
+    del found, ids, sets
+    let_go(docs.sparkSession)
     real = lambda c: F.when(c != NULL_ID, c)
     same = (F.col("s1") == F.col("t1")) & (F.col("s2") == F.col("t2")) & (F.col("n") == F.col("m"))
-    return base.join(cut(named), same, "left").select(
+    return base.join(named, same, "left").select(
         real(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), real(F.coalesce("smallest", "id")).alias("component_id"), real(F.coalesce("twin", "id")).alias("twin_id")
     )

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .spark_util import cut, width
+from .spark_util import cut, let_go, width
 from .text_arrays import release, slices
 
 #: Quantile of held-out trusted documents, and how far a perplexity may lie beyond it.
@@ -45,7 +45,7 @@ SLICES_A_COPY = 256
 #: Distinct n-grams that a task holds before it hands its counts on.
 _HELD = 3 << 19
 #: Bytes of text that are worked on at a time.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 3 << 19
 #: Steps of the answers: log probabilities and evidence travel as single bytes.
 STEP = 1 / 16
 
@@ -411,6 +411,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     answered = cut(answers(questions(packed, shards), model, copies))
     del model, marked  # their files go with them
     scores = cut(score(packed, answered, shards))
+    del answered
+    let_go(docs.sparkSession)
     found = limits(scores.join(marks, F.col("id") == F.col("label_id")), quantile, margin)
     everyone = found.filter(F.col("model") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in found.columns if c != "model"])
     judged = scores.withColumn("model", F.concat(F.lit("="), "lang")).join(found, "model", "left").join(F.broadcast(everyone), how="left")

@@ -17,16 +17,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it from there.
 
     The folder is the session's ``spark.checkpoint.dir``, or the one given to
-    ``setCheckpointDir``; see ``lineage.checkpoint_folder``.  The shuffles that fed ``df``
-    are not needed afterwards, so the driver is asked to let go of them.
+    ``setCheckpointDir``; see ``lineage.checkpoint_folder``.  Before it writes, the driver is
+    asked to let go of what fed earlier cuts; while this call runs, its caller still holds
+    ``df``, so its own shuffles go with the next cut or ``let_go``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    kept = df.checkpoint(eager=True)
-    del df  # its plan holds on to the shuffles
-    let_go(kept.sparkSession)
-    return kept
+    let_go(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def let_go(spark: SparkSession) -> None:
