@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Have the driver drop shuffles and checkpoints that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver drop shuffles and checkpoints that nothing refers to any more.
+
+    Twice: what the first round lets go of holds on to the shuffles.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def width(spark: SparkSession) -> int:
