@@ -42,6 +42,8 @@ ALL = "*"
 SLICE, SHARD, SHARDS = 32 << 20, 32 << 20, 4096
 #: Slices that one copy of the model answers.
 SLICES_A_COPY = 256
+#: Seconds to wait where the files of earlier steps must be gone.
+WAIT = 1.5
 #: Distinct n-grams that a task holds before it hands its counts on.
 _HELD = 3 << 19
 #: Bytes of text that are worked on at a time.
@@ -339,7 +341,7 @@ def score(packed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
 
 def train(marked: DataFrame, shards: int) -> DataFrame:
     """shard, model, body, base, good, bad: the model, from (lang, mark, text) of marked documents."""
-    merged = cut(cut(count_ngrams(marked, shards)).groupBy("shard").applyInArrow(merge, "shard int, model string, body binary, part binary"))
+    merged = cut(count_ngrams(marked, shards).groupBy("shard").applyInArrow(merge, "shard int, model string, body binary, part binary"))
     base = merged.select("model", "part").groupBy("model").applyInArrow(base_of, "model string, base binary")
     number = lambda m: F.sum((F.col("mark") == m).cast("long"))
     own = marked.groupBy(F.concat(F.lit("="), F.coalesce("lang", F.lit(""))).alias("model")).agg(number(TRUSTED).alias("good"), number(BAD).alias("bad"))
@@ -406,13 +408,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # Always by shuffle, whatever the labels' size: their number grows with the corpus.
     marked = read.select("id", "lang", "text").join(marks.hint("merge"), F.col("id") == F.col("label_id"))
     model = train(marked.filter(F.col("mark").isin(TRUSTED, BAD)), shards)
+    let_go(docs.sparkSession, WAIT)
     packed = pack(read)
     copies = 1 + packed.count() // SLICES_A_COPY
     answered = cut(answers(questions(packed, shards), model, copies))
     del model, marked  # their files go with them
+    let_go(docs.sparkSession, WAIT)
     scores = cut(score(packed, answered, shards))
     del answered
-    let_go(docs.sparkSession)
+    let_go(docs.sparkSession, WAIT)
     found = limits(scores.join(marks, F.col("id") == F.col("label_id")), quantile, margin)
     everyone = found.filter(F.col("model") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in found.columns if c != "model"])
     judged = scores.withColumn("model", F.concat(F.lit("="), "lang")).join(found, "model", "left").join(F.broadcast(everyone), how="left")

@@ -29,15 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def let_go(spark: SparkSession) -> None:
+def let_go(spark: SparkSession, wait: float = 0.0) -> None:
     """Have the driver drop shuffles and checkpoints that nothing refers to any more.
 
-    Twice: what the first round lets go of holds on to the shuffles.
+    Python tells the JVM in the background, up to a second later, which objects it has
+    given up; with ``wait`` (seconds) their files go now, else with a later call.
     """
-    for _ in range(2):
-        gc.collect()
+    gc.collect()
+    time.sleep(wait)
+    for _ in range(2):  # what goes first holds on to the shuffles
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+        time.sleep(wait / 4)
 
 
 def width(spark: SparkSession) -> int:
