@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kneser_ney as kn
-from .spark_util import cut, let_go, width
+from .spark_util import bucketed, cut, discard, let_go, width
 from .text_arrays import release, slices
 
 #: Quantile of held-out trusted documents, and how far a perplexity may lie beyond it.
@@ -40,6 +40,8 @@ TRUSTED, BAD, HELD = 1, 2, 3
 ALL = "*"
 #: Bytes of text in a slice, and for each shard of the model at most (SHARDS shards at most).
 SLICE, SHARD, SHARDS = 32 << 20, 32 << 20, 4096
+#: Most buckets of the table of slices (Spark allows 100,000); a bucket's slices are read one by one.
+BUCKETS = 1 << 16
 #: Slices that one copy of the model answers.
 SLICES_A_COPY = 256
 #: Seconds to wait where the files of earlier steps must be gone.
@@ -76,8 +78,11 @@ def _written(batches: list[pa.RecordBatch], schema: pa.Schema, level: int) -> by
     return sink.getvalue().to_pybytes()
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """sid, body: ``docs`` in slices of about SLICE bytes of text, each of several batches."""
+def pack(docs: DataFrame, buckets: int) -> tuple[DataFrame, str]:
+    """sid, body: ``docs`` in slices of about SLICE bytes of text, each of several batches.
+
+    Table and path; it is bucketed by sid, so that answers come to the slices.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, held, size = TaskContext.get().partitionId() << 32, [], 0
@@ -97,7 +102,7 @@ def pack(docs: DataFrame) -> DataFrame:
         if held:
             yield out(number)
 
-    return cut(docs.mapInArrow(run, "sid long, body binary"))
+    return bucketed(docs.mapInArrow(run, "sid long, body binary"), "sid", buckets)
 
 
 def opened(body: bytes) -> Iterator[pa.RecordBatch]:
@@ -409,13 +414,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = read.select("id", "lang", "text").join(marks.hint("merge"), F.col("id") == F.col("label_id"))
     model = train(marked.filter(F.col("mark").isin(TRUSTED, BAD)), shards)
     let_go(docs.sparkSession, WAIT)
-    packed = pack(read)
+    packed, place = pack(read, max(width(docs.sparkSession), min(BUCKETS, -(-size // SLICE))))
     copies = 1 + packed.count() // SLICES_A_COPY
     answered = cut(answers(questions(packed, shards), model, copies))
     del model, marked  # their files go with them
     let_go(docs.sparkSession, WAIT)
     scores = cut(score(packed, answered, shards))
     del answered
+    if not carry:  # else the rows come from the slices
+        discard(docs.sparkSession, place)
     let_go(docs.sparkSession, WAIT)
     found = limits(scores.join(marks, F.col("id") == F.col("label_id")), quantile, margin)
     everyone = found.filter(F.col("model") == ALL).select(*[F.col(c).alias(f"all_{c}") for c in found.columns if c != "model"])

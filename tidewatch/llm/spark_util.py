@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,28 @@ def let_go(spark: SparkSession, wait: float = 0.0) -> None:
         time.sleep(wait / 4)
 
 
+def bucketed(df: DataFrame, key: str, number: int) -> tuple[DataFrame, str]:
+    """Write ``df`` in ``number`` buckets of ``key`` to the checkpoint folder: table and path.
+
+    A join on ``key`` then reads it where it lies and moves the other side only, as long as
+    ``number`` is not below the session's shuffle partitions.  Each task writes its own rows;
+    there is no shuffle before.  Nothing deletes the files but ``discard``.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/tables/{name}"
+    df.write.bucketBy(number, key).options(path=path, compression="uncompressed").saveAsTable(name, format="parquet")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only: the files lie outside the warehouse
+    return found, path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``bucketed`` wrote."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
