@@ -50,6 +50,13 @@ def test_cooldown_counts_from_the_last_alert_kept(spark):
     assert [r["t_us"] // 1_000_000 for r in alerts.cooldown(df).orderBy("t_us").collect()] == [0, 10, 20, 31]
 
 
+def test_cooldown_with_null_and_repeated_ids(spark):
+    rows = [(i, t * 1_000_000 if t is not None else None, src) for i, t, src in [(1, 0, "a"), (1, 5, "a"), (None, 10, "a"), (None, 12, "a"), (7, None, "a"), (8, 20, "a"), (9, 20, "a"), (1, 5, None), (2, 6, None)]]
+    out = alerts.cooldown(spark.createDataFrame(rows, "row_id long, t_us long, src_ip string").repartition(3), 10, ["src_ip"]).collect()
+    found = sorted((r["src_ip"] or "", -1 if r["t_us"] is None else r["t_us"] // 1_000_000, r["row_id"] or 0) for r in out)
+    assert found == [("", 5, 1), ("a", -1, 7), ("a", 0, 1), ("a", 10, 0), ("a", 20, 8)]
+
+
 def test_zero_byte_burst_needs_three_above_the_rate(spark):
     rows = [(0, "s", 0, 0), (1, "s", 1_000_000, 0), (2, "s", 2_000_000, 0), (3, "s", 2_500_000, 0), (4, "s", 2_600_000, 9)]
     df = spark.createDataFrame(rows, "row_id long, saddr string, t_us long, total_fwd_bytes long").withColumns({"total_bwd_bytes": F.lit(0), "daddr": F.lit("d"), "dport": F.lit(1), "proto": F.lit("TCP")})

@@ -1,10 +1,12 @@
 """Stream and batch give the same, also for rows that arrive out of order."""
 
+import json
 import random
 
+from pyspark.sql import functions as F
 
 from tidewatch.operators import alerts
-from tidewatch.streaming import stateful
+from tidewatch.streaming import live, stateful
 
 
 def run(spark, tmp_path, batches, schema, build):
@@ -50,3 +52,17 @@ def test_session_stream_ends_by_state_and_timeout(spark, tmp_path):
     got = run(spark, tmp_path, [rows[:3], rows[3:], end[:1], end[1:]], schema, lambda x: stateful.sessions(x, 60, "200 seconds"))
     found = sorted((r["epoch_start_us"] // s, r["last_us"] // s, r["events"], r["total_bytes"], r["closed"]) for r in got if r["epoch_start_us"] < 1_000_000_000)
     assert found == [(1, 9, 3, 8, True), (3, 3, 1, 4, False), (11, 11, 1, 0, False), (80, 80, 1, 0, False)]
+
+
+def test_live_stream_equals_batch(spark, tmp_path):
+    """Lines to alerts with the cooldown in between; times keep their microseconds."""
+    flow = {"event_type": "flow", "dest_ip": "5.6.7.8", "dest_port": 80, "proto": "TCP", "flow": {"pkts_toserver": 500, "age": 1}}
+    line = lambda t, src: (json.dumps(flow | {"timestamp": f"2024-01-01T00:{t // 60:02}:{t % 60:02}.000007+0000", "flow_id": t, "src_ip": src}),)
+    score = lambda df: df.withColumns({"is_attack": F.col("total_packets") > 100, "predicted_class": F.lit("DoS"), "confidence": F.lit(0.9)})
+    rows = [line(t, src) for t, src in [(0, "a"), (12, "a"), (3, "b"), (5, "a"), (19, "a"), (22, "a"), (4, "b")]]
+    untimed = (json.dumps(flow | {"flow_id": 99, "src_ip": "c"}),)
+    got = run(spark, tmp_path, [rows[:4], [*rows[4:], untimed], [line(3000, "z")], [line(3020, "z")]], "value string", lambda s: live.detect(s, score, (), 10, "200 seconds"))
+    batch = live.detect(spark.createDataFrame([*rows, untimed], "value string"), score).collect()
+    told = lambda found: sorted((r["uid"], r["src_ip"], str(r["ts"]), r["confidence"]) for r in found if r["src_ip"] != "z")
+    assert told(got) == told(batch) and sorted(int(r["uid"]) for r in batch) == [0, 3, 12, 22, 99]
+    assert {str(r["ts"])[-7:] for r in batch if r["ts"]} == {".000007"}

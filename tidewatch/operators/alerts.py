@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import COOLDOWN_S, SIGNATURE_CLASS, ZERO_BYTE_COUNT, ZERO_BYTE_RATE
@@ -27,30 +30,30 @@ def zero_byte_bursts(sessions: DataFrame, least: int = ZERO_BYTE_COUNT, rate: fl
     return counted.withColumn("zero_detected", (F.col("zero_count") >= least) & (F.col("zero_rate") > rate))
 
 
-def cooldown(alerts: DataFrame, seconds: float = COOLDOWN_S, key: list[str] | None = None, time: str = "t_us", block_s: int = 86_400) -> DataFrame:
-    """Drop an alert less than ``seconds`` after the last one that was kept.
+def cooldown(alerts: DataFrame, seconds: float = COOLDOWN_S, key: list[str] | None = None, time: str = "t_us") -> DataFrame:
+    """Drop an alert less than ``seconds`` after the last one of its key that was kept.
 
-    A quiet gap of ``seconds`` before an alert always lets it pass, whatever came before.
-    So alerts fall into bursts without such gaps, found by one window; only within a
-    burst is there a fold, over times and row ids, not rows.  Needs row_id.
+    One shuffle on the key; its rows then stream by in time order, with nothing held but the
+    last time.  Of one instant the smallest row_id passes, null first; repeated row ids are
+    different alerts.  An alert without a time passes and holds nothing back.
     """
     key = key or ALERT_KEY
     gap = int(seconds * SECOND)
-    w = Window.partitionBy(*key).orderBy(time, "row_id")
-    starts = F.coalesce(F.col(time) - F.lag(time).over(w) >= gap, F.lit(True)).cast("int")
-    bursts = alerts.withColumn("_starts", starts).withColumn("_burst", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_starts")
-    kind = "struct<last: bigint, ids: array<bigint>>"
-    empty = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("ids")).cast(kind)
-
-    def step(state: Column, x: Column) -> Column:
-        passes = state["last"].isNull() | (x["t"] - state["last"] >= gap)
-        kept = F.struct(x["t"].alias("last"), F.array_append(state["ids"], x["i"]).alias("ids")).cast(kind)
-        return F.when(passes, kept).otherwise(state)
-
-    times = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col("row_id").cast("bigint").alias("i"))))
-    folded = bursts.groupBy(*key, "_burst").agg(F.aggregate(times, empty, step)["ids"].alias("ids"))
-    passed = folded.select(F.explode("ids").alias("_id"))
-    return alerts.join(passed, alerts["row_id"] == F.col("_id"), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            passes = []
+            for k, t in zip(zip(*[batch.column(c).to_pylist() for c in key], strict=True), batch.column(time).to_pylist(), strict=True):
+                if k != now:
+                    now, last = k, None
+                passes.append(t is None or last is None or t - last >= gap)
+                if passes[-1] and t is not None:
+                    last = t
+            yield batch.filter(pa.array(passes, pa.bool_()))
+
+    order = [*key, time, *[c for c in ("row_id",) if c in alerts.columns]]
+    return alerts.repartition(*key).sortWithinPartitions(*order).mapInArrow(run, alerts.schema)
 
 
 def signature_alerts(events: DataFrame, *keep: str, v2: bool = False) -> DataFrame:

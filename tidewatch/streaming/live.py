@@ -5,25 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.fixed import COOLDOWN_S
 from ..operators import alerts, features, parse
 from ..operators.whitelist import drop_sources
+from . import stateful
 
 Score = Callable[[DataFrame], DataFrame]
 
 
-def detect(lines: DataFrame, score: Score, local: Iterable[str] = ()) -> DataFrame:
-    """Alert rows of a batch or a stream of lines.
+def detect(lines: DataFrame, score: Score, local: Iterable[str] = (), seconds: float = COOLDOWN_S, delay: str = "30 seconds") -> DataFrame:
+    """Alert rows of a batch or a stream of lines, less those held back by the cooldown.
 
     Signature events go past the local-source filter; flows of local sources are left out.
     ``score`` adds is_attack, predicted_class and confidence to the serving features; it
-    has no state, so there is no shuffle before the cooldown.
+    has no state, so there is no shuffle before the cooldown.  That is by event time
+    (``delay`` is the watermark's in a stream); 0 seconds let every alert pass.
     """
     events = parse.decode(lines)
     flows = drop_sources(parse.flows(events), local)
     models = alerts.model_alerts(score(features.serve_v3(flows)))
-    return alerts.all_alerts(alerts.signature_alerts(events), models)
+    found = alerts.all_alerts(alerts.signature_alerts(events), models)
+    if seconds <= 0:
+        return found
+    # Lines have no number: alerts of one key and instant are told apart by what they say.
+    timed = found.withColumns({"t_us": F.unix_micros("ts"), "row_id": F.xxhash64("detection_method", "signature", "confidence")})
+    quiet = stateful.cooldown(timed, alerts.ALERT_KEY, seconds, delay) if lines.isStreaming else alerts.cooldown(timed, seconds)
+    return quiet.drop("t_us", "row_id")
 
 
 def write_json(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

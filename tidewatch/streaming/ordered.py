@@ -15,7 +15,8 @@ class Ordered(StatefulProcessor):
 
     Subclasses give ``fold(state, row) -> (state, outputs)``, ``expire(state, now_ms) ->
     (state, outputs)`` for state that ends by itself at ``deadline(state)`` (ms), and the
-    output columns.  Rows are dicts with ``t_us`` and ``row_id``; state is JSON.
+    output columns.  Rows are dicts with ``t_us`` and ``row_id`` (absent
+    if null, and then first); state is JSON.
     """
 
     columns: list[str] = []
@@ -43,6 +44,10 @@ class Ordered(StatefulProcessor):
     def _current(self) -> Any:
         return json.loads(self.state.get()[0]) if self.state.exists() else None
 
+    def _frame(self, rows: list[dict]) -> pd.DataFrame:
+        """Columns of objects, as an empty column of numbers is no empty column of strings."""
+        return pd.DataFrame({c: [r.get(c) for r in rows] for c in self.columns}, dtype=object)
+
     def _timer(self, held: list[dict], state: Any) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
@@ -58,11 +63,11 @@ class Ordered(StatefulProcessor):
         if new:
             self.waiting.appendList([(json.dumps(r),) for r in new])
         self._timer(self._held(), self._current())
-        yield pd.DataFrame({c: [] for c in self.columns})
+        yield self._frame([])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self._held(), key=lambda r: (r["t_us"], r["row_id"]))
+        held = sorted(self._held(), key=lambda r: (r["t_us"], r.get("row_id", -(2**63))))
         ready = [r for r in held if r["t_us"] // 1000 < now]
         rest = held[len(ready) :]
         state, out = self._current(), []
@@ -85,4 +90,4 @@ class Ordered(StatefulProcessor):
         else:
             self.state.update((json.dumps(state),))
         self._timer(rest, state)
-        yield pd.DataFrame({c: [r.get(c) for r in out] for c in self.columns})
+        yield self._frame(out)

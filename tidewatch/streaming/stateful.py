@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -11,19 +12,21 @@ from ..functions.fixed import CLOSING_STATES, COOLDOWN_S, SESSION_TIMEOUT_S, ZER
 from .ordered import Ordered
 
 SECOND = 1_000_000
+#: Times keep their microseconds in the rows that wait as JSON.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 class Cooldown(Ordered):
     """The last alert that passed; forgotten when nothing it could hold back is left."""
 
-    columns = ["row_id", "t_us"]
+    columns = ["row"]
 
     def __init__(self, seconds: float):
         self.gap = int(seconds * SECOND)
 
     def fold(self, state: Any, row: dict) -> tuple[Any, list[dict]]:
         if state is None or row["t_us"] - state["last"] >= self.gap:
-            return {"last": row["t_us"]}, [row]
+            return {"last": row["t_us"]}, [{"row": json.dumps(row)}]
         return state, []
 
     def deadline(self, state: Any) -> int | None:
@@ -73,15 +76,17 @@ class Sessions(Ordered):
 
 def _run(rows: DataFrame, key: list[str], processor: Ordered, schema: str, delay: str) -> DataFrame:
     """Rows (t_us, row_id and the key) through ``processor``; ``delay`` is the watermark's."""
-    packed = rows.select(*key, F.timestamp_micros("t_us").alias("ts"), F.to_json(F.struct("*")).alias("row")).withWatermark("ts", delay)
+    packed = rows.select(*key, F.timestamp_micros("t_us").alias("ts"), F.to_json(F.struct("*"), JSON).alias("row")).withWatermark("ts", delay)
     keys = [f"coalesce(cast({k} as string), '')" for k in key]
     named = packed.withColumn("key", F.expr(f"concat_ws('\\u0001', {', '.join(keys)})"))
     return named.groupBy("key").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventtime")
 
 
 def cooldown(alerts: DataFrame, key: list[str], seconds: float = COOLDOWN_S, delay: str = "30 seconds") -> DataFrame:
-    """row_id and t_us of the alerts that pass."""
-    return _run(alerts.select("t_us", "row_id", *key), key, Cooldown(seconds), "row_id long, t_us long", delay)
+    """The alerts that pass, with all their columns.  Needs t_us and row_id; an alert without a time passes."""
+    timed = _run(alerts.filter("t_us is not null"), key, Cooldown(seconds), "row string", delay)
+    passed = timed.select(F.from_json("row", alerts.schema, JSON).alias("r")).select("r.*")
+    return passed.unionByName(alerts.filter("t_us is null"))
 
 
 def zero_byte_bursts(sessions: DataFrame, delay: str = "30 seconds") -> DataFrame:
