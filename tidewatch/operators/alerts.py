@@ -128,18 +128,23 @@ def finalized(sessions: DataFrame, scored: DataFrame, bursts: DataFrame) -> Data
     """K6, K7: sessions with their detection and hints; a hint never changes the class.
 
     ``scored`` and ``bursts`` have row_id.  A session without a score is Unknown, with the
-    note that extraction failed; the burst note gives its rate.
+    note that extraction failed; the burst note gives its rate.  Flow id, start, application
+    protocol and duration are null where the sessions have no such column; zero_byte_info
+    is null without a burst.
     """
     hints = bursts.filter("zero_detected").select("row_id", "zero_rate", "zero_count", "dest_key")
     joined = sessions.join(scored.select("row_id", "is_attack", "predicted_class", "confidence"), "row_id", "left").join(hints, "row_id", "left")
     missing = F.col("predicted_class").isNull()
     burst = F.format_string("zero-byte pattern detected (rate=%.1f/s)", "zero_rate")
     none = F.array().cast("array<string>")
+    own = lambda c, kind: (F.col(c) if c in sessions.columns else F.lit(None)).cast(kind)
+    info = F.struct(F.col("zero_count").alias("count"), F.col("zero_rate").alias("rate"), F.col("dest_key").alias("destination"))
     return joined.select(
-        "row_id", F.col("saddr").alias("src_ip"), F.col("daddr").alias("dst_ip"), F.col("dport").alias("dst_port"), "proto",
+        "row_id", own("uid", "string").alias("flow_id"), own("starttime", "timestamp").alias("timestamp"), own("appproto", "string").alias("app_proto"), own("duration", "double").alias("duration"), F.col("saddr").alias("src_ip"), F.col("daddr").alias("dst_ip"), F.col("dport").alias("dst_port"), "proto",
         (F.col("total_fwd_bytes") + F.col("total_bwd_bytes")).alias("total_bytes"), (F.col("total_fwd_packets") + F.col("total_bwd_packets")).alias("total_packets"),
         F.coalesce("is_attack", F.lit(False)).alias("is_attack"), F.coalesce("predicted_class", F.lit("Unknown")).alias("predicted_class"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         F.coalesce(F.col("zero_rate").isNotNull() & ~missing, F.lit(False)).alias("zero_byte"),
+        F.when(F.col("zero_rate").isNotNull() & ~missing, info).alias("zero_byte_info"),
         F.when(missing, F.array(F.lit("feature extraction failed"))).when(F.col("zero_rate").isNotNull(), F.array(burst)).otherwise(none).alias("notes"),
     )
 

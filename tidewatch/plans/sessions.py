@@ -170,14 +170,16 @@ SELECT row_id, alert_no, '[' || alert_no || '] ' || saddr || ' -> ' || daddr ||
 
 
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = as_sessions(spark, sf_dir)
+    s = as_sessions(spark, sf_dir).withColumns({"uid": F.col("flow_id"), "starttime": F.timestamp_micros("t_us"), "appproto": F.when(F.col("dport") == 80, "http"), "duration": F.col("age_s")})
     scored = scored_flows(spark, sf_dir).filter("row_id % 10 != 0")  # the others stand for failed extraction
     out = alerts.finalized(s, scored, alerts.zero_byte_bursts(s))
-    return rounded(out.withColumn("n_notes", F.size("notes")), "row_id", "src_ip", "dst_port", "total_bytes", "total_packets", "is_attack", "predicted_class", "zero_byte", "n_notes", confidence="confidence")
+    told = out.withColumns({"n_notes": F.size("notes"), "start_us": F.unix_micros("timestamp"), "zero_count": F.col("zero_byte_info.count"), "zero_destination": F.col("zero_byte_info.destination"), "zero_rate": F.col("zero_byte_info.rate")})
+    return rounded(told, "row_id", "flow_id", "start_us", "app_proto", "zero_count", "zero_destination", "src_ip", "dst_port", "total_bytes", "total_packets", "is_attack", "predicted_class", "zero_byte", "n_notes", confidence="confidence", duration="duration", zero_rate="zero_rate")
 
 
-FINALIZED = f"""WITH {FLOWS_SQL}, {SCORES_SQL}, {_DECIDED}, {_ZERO}, hit AS (SELECT row_id FROM z WHERE zero_count >= 3 AND zero_count / since > 1.0)
-SELECT f.row_id, f.saddr AS src_ip, f.dport AS dst_port, sbytes + dbytes AS total_bytes, spkts + dpkts AS total_packets, f.row_id % 10 <> 0 AND is_attack AS is_attack,
+FINALIZED = f"""WITH {FLOWS_SQL}, {SCORES_SQL}, {_DECIDED}, {_ZERO}, hit AS (SELECT row_id, zero_count, zero_count / since AS zero_rate, dest_key FROM z WHERE zero_count >= 3 AND zero_count / since > 1.0)
+SELECT f.row_id, f.flow_id, f.t_us AS start_us, CASE WHEN f.dport = 80 THEN 'http' END AS app_proto, CAST(f.age_s AS DOUBLE) AS duration, CASE WHEN f.row_id % 10 <> 0 THEN hit.zero_count END AS zero_count,
+  CASE WHEN f.row_id % 10 <> 0 THEN hit.dest_key END AS zero_destination, round(CASE WHEN f.row_id % 10 <> 0 THEN hit.zero_rate END, 6) AS zero_rate, f.saddr AS src_ip, f.dport AS dst_port, sbytes + dbytes AS total_bytes, spkts + dpkts AS total_packets, f.row_id % 10 <> 0 AND is_attack AS is_attack,
   CASE WHEN f.row_id % 10 = 0 THEN 'Unknown' WHEN is_attack THEN best_label ELSE 'Benign' END AS predicted_class, hit.row_id IS NOT NULL AND f.row_id % 10 <> 0 AS zero_byte,
   CASE WHEN f.row_id % 10 = 0 OR hit.row_id IS NOT NULL THEN 1 ELSE 0 END AS n_notes, round(CASE WHEN f.row_id % 10 = 0 THEN 0.0 WHEN is_attack THEN top ELSE 1.0 - top END, 6) AS confidence
 FROM flows f JOIN d USING (row_id) LEFT JOIN hit ON hit.row_id = f.row_id"""
