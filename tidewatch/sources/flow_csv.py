@@ -54,8 +54,8 @@ def list_csv(spark: SparkSession, folder: str) -> list[str]:
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The union of a folder's files that have a label column, mapped columns only.
 
-    Headers differ between files, so each file has its own reader; only headers are
-    looked at here, the rows are read by the union's tasks.
+    Headers differ between files, so each file has its own reader.  Types are inferred, which
+    reads each file once more, file after file, before the union's tasks read the rows.
     """
     frames = [df for df in (read_csv(spark, f) for f in list_csv(spark, folder)) if "Label" in df.columns]
     if not frames:
