@@ -10,6 +10,7 @@ from ..operators import sessions as ops
 from .events import rounded, signature_lines
 from .fixtures import EVENTS_SQL, FLOWS_SQL, SCORES_SQL, event_lines, flows, scores
 
+CLOSER = 10_000  # sessions without bytes lie too far apart for bursts; so many times closer some are
 TIMEOUT_S = 0.5  # the tables' events lie close together; so some sessions expire
 
 
@@ -108,11 +109,12 @@ def as_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zero_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(alerts.zero_byte_bursts(as_sessions(spark, sf_dir)), "row_id", "dest_key", "zero_count", "zero_detected", zero_rate="zero_rate")
+    closer = as_sessions(spark, sf_dir).withColumn("t_us", F.expr(f"t_us div {CLOSER}"))
+    return rounded(alerts.zero_byte_bursts(closer), "row_id", "dest_key", "zero_count", "zero_detected", zero_rate="zero_rate")
 
 
-_ZERO = """z AS (SELECT *, daddr || ':' || dport || ':' || proto AS dest_key, CAST(row_number() OVER w AS INTEGER) AS zero_count, greatest((t_us - min(t_us) OVER w) / 1e6, 0.001) AS since FROM flows WHERE sbytes + dbytes <= 0
-  WINDOW w AS (PARTITION BY saddr, daddr || ':' || dport || ':' || proto ORDER BY t_us, row_id))"""
+_ZERO = f"""z AS (SELECT *, daddr || ':' || dport || ':' || proto AS dest_key, CAST(row_number() OVER w AS INTEGER) AS zero_count, greatest(((t_us // {CLOSER}) - min((t_us // {CLOSER})) OVER w) / 1e6, 0.001) AS since FROM flows WHERE sbytes + dbytes <= 0
+  WINDOW w AS (PARTITION BY saddr, daddr || ':' || dport || ':' || proto ORDER BY (t_us // {CLOSER}), row_id))"""
 ZERO_BYTES = f"WITH {FLOWS_SQL}, {_ZERO} SELECT row_id, dest_key, zero_count, zero_count >= 3 AND zero_count / since > 1.0 AS zero_detected, round(zero_count / since, 6) AS zero_rate FROM z"
 
 
@@ -172,7 +174,8 @@ SELECT row_id, alert_no, '[' || alert_no || '] ' || saddr || ' -> ' || daddr ||
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = as_sessions(spark, sf_dir).withColumns({"uid": F.col("flow_id"), "starttime": F.timestamp_micros("t_us"), "appproto": F.when(F.col("dport") == 80, "http"), "duration": F.col("age_s")})
     scored = scored_flows(spark, sf_dir).filter("row_id % 10 != 0")  # the others stand for failed extraction
-    out = alerts.finalized(s, scored, alerts.zero_byte_bursts(s))
+    closer = s.withColumn("t_us", F.expr(f"t_us div {CLOSER}"))
+    out = alerts.finalized(s, scored, alerts.zero_byte_bursts(closer))
     told = out.withColumns({"n_notes": F.size("notes"), "start_us": F.unix_micros("timestamp"), "zero_count": F.col("zero_byte_info.count"), "zero_destination": F.col("zero_byte_info.destination"), "zero_rate": F.col("zero_byte_info.rate")})
     return rounded(told, "row_id", "flow_id", "start_us", "app_proto", "zero_count", "zero_destination", "src_ip", "dst_port", "total_bytes", "total_packets", "is_attack", "predicted_class", "zero_byte", "n_notes", confidence="confidence", duration="duration", zero_rate="zero_rate")
 
