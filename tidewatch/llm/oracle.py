@@ -38,3 +38,39 @@ k AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(1000.0, greatest(1.0, mea
 r AS (SELECT source, docs, weight, mean, (failed + mean * weight) / (docs + weight) AS rate FROM h, k),
 v AS (SELECT source, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (docs + weight + 1)) <= least({TIMES_MEAN} * mean, (1 + mean) / 2) AS ok FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept FROM b LEFT JOIN v USING (source)"""
+
+
+def product_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """``vector_codes.product_codes`` over the table embeddings, one round after another."""
+    steps = [
+        "ok AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id, v) AS r FROM ok)",
+        f"part AS MATERIALIZED (SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM numbered, range({parts}) t(p))",
+        f"book0 AS MATERIALIZED (SELECT p, r - 1 AS e, x AS c FROM part WHERE r <= {entries})",
+    ]
+    near = "(SELECT r, part.p, x, unnest(list_sort(list({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': e}}))[1:1]) AS n FROM part JOIN book{} b ON b.p = part.p GROUP BY r, part.p, x)"
+    for i in range(rounds):
+        steps += [
+            f"sums{i} AS (SELECT p, n.e AS e, j, CAST(floor(CAST(sum(x[j]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM {near.format(i)}, unnest(range(1, len(x) + 1)) u(j) GROUP BY ALL)",
+            f"book{i + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(new.c, b.c) AS c FROM book{i} b LEFT JOIN (SELECT p, e, list(m ORDER BY j) AS c FROM sums{i} GROUP BY p, e) new ON new.p = b.p AND new.e = b.e)",
+        ]
+    steps += [
+        f"coded AS (SELECT r, string_agg(printf('%02x', CAST(n.e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(n.d) AS BIGINT) AS error FROM {near.format(rounds)} GROUP BY r)",
+        f"digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})",
+    ]
+    return "WITH " + ",\n".join(steps) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM numbered JOIN coded USING (r), digest"
+
+
+OP13 = product_codes_sql()
+
+_TERM = r"'[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+'"
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11 = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), {_TERM}) AS ts FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), {_TERM})) AS t FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t),
+f AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN w USING (t), s GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""

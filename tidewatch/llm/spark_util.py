@@ -65,6 +65,12 @@ def discard(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def discard_table(df: DataFrame) -> None:
+    """Delete the files of a table that ``lineage.cut`` wrote."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()[:1]}:
+        discard(df.sparkSession, path)
+
+
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
