@@ -74,3 +74,25 @@ w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) /
 f AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN w USING (t), s GROUP BY item_id, doc_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50"""
+
+_GRAMS = "(SELECT DISTINCT w, n, substr(p, i, n) AS g FROM (SELECT w, n, p, unnest(range(1, length(p) - n + 2)) AS i FROM (SELECT w, chr(2) || w || chr(3) AS p FROM {}), (VALUES (1), (2), (3), (4)) l(n)) WHERE substr(p, i, n) NOT IN (chr(2), chr(3)))"
+
+OP12 = rf"""WITH crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+b AS (SELECT *, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, text, lang, xor(list_reduce(bytes, lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 5 = 0 AS held_out, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '[a-z\x{{80}}-\x{{10FFFF}}]+') AS ws, coalesce(regexp_matches(text, '\p{{L}}'), false) AS spoken FROM b, crc_table),
+dw AS MATERIALIZED (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+train AS MATERIALIZED (SELECT w, lang, sum(k) AS c FROM dw JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+langs AS (SELECT DISTINCT lang FROM d WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL),
+known AS (SELECT DISTINCT w FROM train),
+total AS (SELECT lang, coalesce(sum(c), 0) AS t FROM langs LEFT JOIN train USING (lang) GROUP BY lang),
+gc AS MATERIALIZED (SELECT n, g, lang, count(*) AS c FROM {_GRAMS.format('known')} JOIN train USING (w) GROUP BY ALL),
+gs AS (SELECT n, lang, sum(c) AS s FROM gc GROUP BY ALL),
+gk AS (SELECT n, count(DISTINCT g) AS distinct_grams FROM gc GROUP BY n),
+ug AS MATERIALIZED (SELECT * FROM {_GRAMS.format('(SELECT DISTINCT w FROM dw ANTI JOIN known USING (w))')} SEMI JOIN gc USING (n, g)),
+level AS (SELECT w, max(n) AS n, count(*) FILTER (n = m) AS k FROM (SELECT *, max(n) OVER (PARTITION BY w) AS m FROM ug) WHERE n = m GROUP BY w),
+gain AS (SELECT w, lang, sum(ln((c + 0.5::DOUBLE) / 0.5::DOUBLE)) AS gain FROM ug JOIN level USING (w, n) JOIN gc USING (n, g) GROUP BY ALL),
+v AS (SELECT w, lang, ln((coalesce(c, 0) + 0.5::DOUBLE) / (t + 0.5::DOUBLE * (SELECT count(*) FROM known))) AS v FROM (SELECT * FROM known, total) LEFT JOIN train USING (w, lang)
+  UNION ALL SELECT w, lang, coalesce(gain, 0) / k + ln(0.5::DOUBLE / (coalesce(s, 0) + 0.5::DOUBLE * distinct_grams)) FROM (SELECT * FROM level JOIN gk USING (n), langs) LEFT JOIN gain USING (w, lang) LEFT JOIN gs USING (n, lang)),
+s AS (SELECT doc_id, lang, coalesce(x, 0) AS x FROM (SELECT doc_id, lang FROM (SELECT doc_id FROM d WHERE spoken), langs) LEFT JOIN (SELECT doc_id, lang, sum(k * v) AS x FROM dw JOIN v USING (w) GROUP BY ALL) USING (doc_id, lang)),
+best AS (SELECT doc_id, first(lang ORDER BY x DESC, lang) AS lang_pred, round(1 / sum(exp(x - top)), 6) AS score FROM (SELECT *, max(x) OVER (PARTITION BY doc_id) AS top FROM s) GROUP BY doc_id)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, coalesce(score, 0.0::DOUBLE) AS score FROM d LEFT JOIN best USING (doc_id)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lexical_search, line_dedup, ngram_join, oracle, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, vector_codes
+from . import bpe, exact_dedup, language_id, lexical_search, line_dedup, ngram_join, oracle, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, vector_codes
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -74,15 +74,19 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vector_codes.product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_ngram_join, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_line_dedup, op9_quality_classifier, op10_bpe, op11_lexical_search, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_sharding, op2_ngram_join, op3_exact_dedup, op4_substring_dedup, op5_packing, op6_quality_rules, op7_suffix_dedup, op8_line_dedup, op9_quality_classifier, op10_bpe, op11_lexical_search, op12_language_id, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are tested against plain Python (``tests/llm``)."""
-    return {"op1_sharding": oracle.OP1, "op3_exact_dedup": oracle.OP3, "op4_substring_dedup": oracle.OP4, "op6_quality_rules": oracle.OP6, "op11_lexical_search": oracle.OP11, "op13_vector_codes": oracle.OP13}
+    return {"op1_sharding": oracle.OP1, "op3_exact_dedup": oracle.OP3, "op4_substring_dedup": oracle.OP4, "op6_quality_rules": oracle.OP6, "op11_lexical_search": oracle.OP11, "op12_language_id": oracle.OP12, "op13_vector_codes": oracle.OP13}
