@@ -170,13 +170,13 @@ def product_codes(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds:
     size = first["size"] if first else parts
     rows = rows.filter(F.col("size") == size)
     start = [np.frombuffer(r["body"], "<i4").astype(np.int64).reshape(parts, -1) for r in rows.orderBy(*order).limit(entries).collect()]
-    books = [np.array([s[p] for s in start]).reshape(len(start), -1) for p in range(parts)]
-    for _ in range(rounds if start else 0):
+    books = [np.array([s[p] for s in start]) for p in range(parts)] if start else []
+    for _ in range(rounds if books else 0):
         books = renewed(books, sums_by_entry(rows, books))
     digest = hashlib.sha256(",".join(str(x) for b in books for x in b.ravel().tolist()).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Codebook(b) for b in books] if start else []
+        own = [Codebook(b) for b in books]
         for batch in batches:
             if not batch.num_rows:
                 continue
