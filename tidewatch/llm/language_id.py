@@ -3,7 +3,8 @@
 Documents are cut into slices; a slice keeps its distinct words and how often each
 document has them.  Words go by hash to shards, where the counts of all slices are
 summed, and the sums come back to the slices that asked: what travels is a slice's
-distinct words, not its text.  Words that no training document has are looked up by
+distinct words, not its text; the slices lie in buckets (a catalog table that is dropped
+at once), so that they stay where they are.  Words that no training document has are looked up by
 their n-grams: the longest ones of which the training words have any decide.  The
 n-grams are counted over the distinct training words of a language and joined with
 those of the unseen words.  Model and questions are spread over tasks; the driver only
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .spark_util import discard_table, width
+from .spark_util import bucketed, discard, discard_table, width
 from .text_arrays import doc_of, mix, ranges, release, runs, slices, span_hashes, text_bytes, window_hashes, windows_inside
 
 #: Bytes of text in a slice, and in the slices that one shard answers for.
@@ -42,16 +43,37 @@ _LOWER[65:91] += 32
 #: First byte of the keys of words beyond 8 bytes; no text has it.
 _LONG = np.uint64(0xFF << 56)
 _BEGIN, _END = 2, 3
+_ZSTD = pa.Codec("zstd", 3)
 
 
 def narrow(values: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes that hold them all, after one byte of their size."""
+    """Whole numbers in the fewest bytes that hold them all, byte by byte of all, compressed.
+
+    Their size (with 128 added where they are not compressed) and number come first.
+    """
     kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
-    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+    raw = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T).tobytes()
+    small = _ZSTD.compress(raw, asbytes=True) if len(raw) > 64 else raw
+    return bytes([kind.itemsize + 128 * (len(raw) <= 64)]) + len(values).to_bytes(8, "little") + small
 
 
 def widened(body: bytes) -> np.ndarray:
-    return np.frombuffer(body, f"<u{body[0]}", offset=1).astype(np.int64)
+    size, n = body[0] % 128, int.from_bytes(body[1:9], "little")
+    raw = body[9:] if body[0] >= 128 else _ZSTD.decompress(body[9:], n * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(f"<u{size}").ravel().astype(np.int64)
+
+
+def keys_of(body: bytes) -> np.ndarray:
+    return widened(body).view(np.uint64)
+
+
+def bytes_of(body: bytes) -> np.ndarray:
+    return widened(body).astype(np.uint8)
+
+
+def ascending(values: np.ndarray) -> bytes:
+    """Ascending numbers by their steps."""
+    return narrow(np.diff(values, prepend=0))
 
 
 def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -95,9 +117,9 @@ def _counted(sid: int, batch: pa.RecordBatch) -> dict:
     gaps = np.diff(word, prepend=0)
     return {
         "sid": sid, "ids": batch.column("id").to_pylist(), "held": batch.column("held").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), "spoken": batch.column("spoken").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
-        "keys": keys.tobytes(), "long_sizes": narrow((end - start)[first[long]]), "longs": joined(data, start[first[long]], end[first[long]]).tobytes(),
+        "keys": narrow(keys), "long_sizes": narrow((end - start)[first[long]]), "longs": narrow(joined(data, start[first[long]], end[first[long]])),
         "sizes": narrow(np.bincount(doc, minlength=batch.num_rows)), "words": narrow(np.where(head, word, gaps)), "counts": narrow(count),
-        "train_words": narrow(train // langs), "train_langs": narrow(train % langs), "train_counts": narrow(total),
+        "train_words": ascending(train // langs), "train_langs": narrow(train % langs), "train_counts": narrow(total),
     }
 
 
@@ -121,7 +143,7 @@ def _part(keys: np.ndarray, sizes: np.ndarray, longs: np.ndarray, chosen: np.nda
     """The chosen ones (ascending places) of ascending keys, with the bytes of the long ones."""
     at = np.concatenate([[0], np.cumsum(sizes)])
     own = chosen[keys[chosen] >= _LONG] - (len(keys) - len(sizes))
-    return {"keys": keys[chosen].tobytes(), "long_sizes": narrow(sizes[own]), "longs": joined(longs, at[own], at[own + 1]).tobytes()}
+    return {"keys": narrow(keys[chosen]), "long_sizes": narrow(sizes[own]), "longs": narrow(joined(longs, at[own], at[own + 1]))}
 
 
 def ask(counted: DataFrame, shards: int) -> DataFrame:
@@ -130,8 +152,8 @@ def ask(counted: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
-            keys, sizes, longs = np.frombuffer(r["keys"], np.uint64), widened(r["long_sizes"]), np.frombuffer(r["longs"], np.uint8)
-            word, lang, count = (widened(r[c]) for c in ("train_words", "train_langs", "train_counts"))
+            keys, sizes, longs = keys_of(r["keys"]), widened(r["long_sizes"]), bytes_of(r["longs"])
+            word, lang, count = np.cumsum(widened(r["train_words"])), widened(r["train_langs"]), widened(r["train_counts"])
             shard = _shard_of(keys, shards)
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -142,7 +164,7 @@ def ask(counted: DataFrame, shards: int) -> DataFrame:
             rows = []
             for s in np.flatnonzero(np.diff(edge)).tolist():
                 t = mine[train_edge[s] : train_edge[s + 1]]
-                rows.append({"shard": s, "sid": r["sid"], **_part(keys, sizes, longs, order[edge[s] : edge[s + 1]]), "train_words": narrow(place[word[t]]), "train_langs": narrow(lang[t]), "train_counts": narrow(count[t])})
+                rows.append({"shard": s, "sid": r["sid"], **_part(keys, sizes, longs, order[edge[s] : edge[s + 1]]), "train_words": ascending(place[word[t]]), "train_langs": narrow(lang[t]), "train_counts": narrow(count[t])})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return counted.select("sid", "keys", "long_sizes", "longs", "train_words", "train_langs", "train_counts").mapInArrow(run, ASKED)
@@ -157,10 +179,10 @@ def _summed(languages: int):
 
     def run(table: pa.Table) -> pa.Table:
         asked = table.to_pylist()
-        own = [np.frombuffer(r["keys"], np.uint64) for r in asked]
+        own = [keys_of(r["keys"]) for r in asked]
         keys, first, where = np.unique(np.concatenate(own), return_index=True, return_inverse=True)
         at = np.concatenate([[0], np.cumsum([len(k) for k in own])])
-        codes = np.concatenate([where[a + widened(r["train_words"])] * languages + widened(r["train_langs"]) for a, r in zip(at, asked, strict=False)])
+        codes = np.concatenate([where[a + np.cumsum(widened(r["train_words"]))] * languages + widened(r["train_langs"]) for a, r in zip(at, asked, strict=False)])
         code, back = np.unique(codes, return_inverse=True)
         total = np.bincount(back, np.concatenate([widened(r["train_counts"]) for r in asked]), len(code)).astype(np.int64)
         lang = code % languages
@@ -170,11 +192,11 @@ def _summed(languages: int):
         long = np.flatnonzero(keys >= _LONG)
         sizes, parts, slice_of = np.zeros(len(long), np.int64), [b""] * len(long), np.searchsorted(at, first[long], "right") - 1
         for s in np.unique(slice_of).tolist():
-            size = widened(asked[s]["long_sizes"])
+            size, text = widened(asked[s]["long_sizes"]), bytes_of(asked[s]["longs"]).tobytes()
             end, bare = np.cumsum(size), len(own[s]) - len(size)
             for k in np.flatnonzero(slice_of == s).tolist():
                 i = int(first[long[k]] - at[s]) - bare
-                parts[k], sizes[k] = asked[s]["longs"][int(end[i] - size[i]) : int(end[i])], size[i]
+                parts[k], sizes[k] = text[int(end[i] - size[i]) : int(end[i])], size[i]
         longs = np.frombuffer(b"".join(parts), np.uint8)
         shard = asked[0]["shard"]
         known = np.flatnonzero(n > 0)
@@ -185,7 +207,7 @@ def _summed(languages: int):
         for a, z, r in zip(at[:-1].tolist(), at[1:].tolist(), asked, strict=True):
             w = where[a:z]
             got = np.repeat(edge[w], n[w]) + ranges(n[w])
-            rows.append({"kind": ANSWER, "shard": shard, "sid": r["sid"], "keys": keys[w[n[w] == 0]].tobytes(), "n": narrow(n[w]), "langs": narrow(lang[got]), "counts": narrow(total[got])})
+            rows.append({"kind": ANSWER, "shard": shard, "sid": r["sid"], "keys": narrow(keys[w[n[w] == 0]]), "n": narrow(n[w]), "langs": narrow(lang[got]), "counts": narrow(total[got])})
         return pa.Table.from_pylist(rows, schema)
 
     return run
@@ -193,10 +215,10 @@ def _summed(languages: int):
 
 def _windows(r: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Word's place and hash of each distinct n-gram of the padded words of a row."""
-    keys, sizes = np.frombuffer(r["keys"], np.uint64), widened(r["long_sizes"])
+    keys, sizes = keys_of(r["keys"]), widened(r["long_sizes"])
     short = keys[: len(keys) - len(sizes)].astype(">u8").view(np.uint8)
     lengths = np.concatenate([(short.reshape(-1, 8) != 0).sum(1), sizes]).astype(np.int64)
-    raw = np.concatenate([short[short != 0], np.frombuffer(r["longs"], np.uint8)])
+    raw = np.concatenate([short[short != 0], bytes_of(r["longs"])])
     lead = (raw & 0xC0) != 0x80
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     whole = np.concatenate([[0], np.cumsum(lead)])
@@ -249,7 +271,7 @@ def word_grams(unseen: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in (r for b in batches for r in b.to_pylist()):
             word, gram = _windows(r, n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r["keys"], np.int64)[word]), pa.array(gram.view(np.int64))], names=["key", "gram"])
+            yield pa.RecordBatch.from_arrays([pa.array(widened(r["keys"])[word]), pa.array(gram.view(np.int64))], names=["key", "gram"])
 
     return unseen.select("keys", "long_sizes", "longs").mapInArrow(run, "key long, gram long")
 
@@ -272,10 +294,10 @@ def back_off(model: DataFrame, unseen: DataFrame, languages: int) -> tuple[DataF
         sums = {r["lang"]: r["s"] for r in counts.groupBy("lang").agg(F.sum("c").alias("s")).collect()}
         distinct = counts.agg(F.count_distinct("gram")).first()[0]
         base[n] = np.log(SMOOTH / (np.array([sums.get(i, 0) for i in range(languages)]) + SMOOTH * max(distinct, 1)))
-        hits = grams.join(counts, "gram").groupBy("key", "lang").agg(F.sum(F.log((F.col("c") + SMOOTH) / SMOOTH)).alias("gain"))
-        seen = grams.join(counts.select("gram").distinct(), "gram").groupBy(F.col("key").alias("of")).agg(F.count("*").alias("k"))
-        own = hits.join(seen, F.col("key") == F.col("of")).groupBy("key").agg(F.lit(n).alias("n"), F.collect_list(F.struct("lang", (F.col("gain") / F.col("k")).alias("gain"))).alias("gains"))
-        own = cut(own.select("key", "n", "gains"))
+        by_gram = counts.groupBy("gram").agg(F.collect_list(F.struct("lang", "c")).alias("counts"))
+        hits = grams.join(by_gram, "gram").groupBy("key").agg(F.count("*").alias("k"), F.flatten(F.collect_list("counts")).alias("counts"))
+        hits = hits.select("key", "k", F.explode("counts").alias("g")).groupBy("key", "g.lang").agg((F.sum(F.log((F.col("g.c") + SMOOTH) / SMOOTH)) / F.first("k")).alias("gain"))
+        own = cut(hits.groupBy("key").agg(F.lit(n).alias("n"), F.collect_list(F.struct("lang", "gain")).alias("gains")))
         out = own if out is None else out.union(own)
     return out, base
 
@@ -290,7 +312,7 @@ def _scored(base: dict[int, np.ndarray], names: list[str]):
         total = np.cumsum(word)
         before = np.concatenate([[0], total])[at[:-1]]
         word = total - np.repeat(before, size)
-        keys = np.frombuffer(r["keys"], np.uint64)
+        keys = keys_of(r["keys"])
         shards = {a["shard"]: a for a in r["answers"] or []}
         level = np.full(len(keys), -1, np.int64)
         at_word, at_lang, gain = [], [], []
@@ -366,7 +388,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(width(docs.sparkSession), -(-size // SHARD))
     number = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]), F.col("lang")) - 1, F.lit(-1)) if names else F.lit(-1)
-    counted = cut(count_words(read.select("id", "held", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("spoken"), F.when(learnt, number).otherwise(-1).cast("int").alias("lang"), "text")))
+    counted, place = bucketed(count_words(read.select("id", "held", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("spoken"), F.when(learnt, number).otherwise(-1).cast("int").alias("lang"), "text")), "sid", max(width(docs.sparkSession), -(-size // SLICE)))
     summed = cut(ask(counted, shards).groupBy("shard").applyInArrow(_summed(max(len(names), 1)), SUMMED))
     model, unseen = summed.filter(F.col("kind") == MODEL), summed.filter(F.col("kind") == UNSEEN)
     tokens = {r["pos"]: r["s"] for r in model.select(F.posexplode("tokens")).groupBy("pos").agg(F.sum("col").alias("s")).collect()}
@@ -382,13 +404,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     else:
         judged = judged.withColumn("unseen", F.lit(None).cast("array<struct<key:bigint,n:int,gains:array<struct<lang:int,gain:double>>>>"))
     out = cut(judged.withColumn("shards", F.lit(shards)).mapInArrow(_scored(base, names), "id long, held_out boolean, lang_pred string, score double"))
-    for table in (counted, summed):
-        discard_table(table)
+    discard(docs.sparkSession, place)
+    discard_table(summed)
     return out
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for sid, keys in zip(batch.column("sid").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-            own = np.frombuffer(keys, np.int64)
+            own = widened(keys)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), sid)), pa.array(own)], names=["sid", "key"])
