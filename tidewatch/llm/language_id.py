@@ -26,7 +26,7 @@ from .spark_util import bucketed, discard, discard_table, width
 from .text_arrays import doc_of, mix, ranges, release, runs, slices, span_hashes, text_bytes, window_hashes, windows_inside
 
 #: Bytes of text in a slice, and in the slices that one shard answers for.
-SLICE, SHARD = 8 << 20, 32 << 20
+SLICE, SHARD = 6 << 20, 24 << 20
 #: Languages that sums are held for; more distinct values are no languages.
 LANGUAGES = 4096
 #: Added to every count.
@@ -166,6 +166,7 @@ def ask(counted: DataFrame, shards: int) -> DataFrame:
                 t = mine[train_edge[s] : train_edge[s + 1]]
                 rows.append({"shard": s, "sid": r["sid"], **_part(keys, sizes, longs, order[edge[s] : edge[s + 1]]), "train_words": ascending(place[word[t]]), "train_langs": narrow(lang[t]), "train_counts": narrow(count[t])})
             yield pa.RecordBatch.from_pylist(rows, schema)
+        release()
 
     return counted.select("sid", "keys", "long_sizes", "longs", "train_words", "train_langs", "train_counts").mapInArrow(run, ASKED)
 
@@ -208,7 +209,9 @@ def _summed(languages: int):
             w = where[a:z]
             got = np.repeat(edge[w], n[w]) + ranges(n[w])
             rows.append({"kind": ANSWER, "shard": shard, "sid": r["sid"], "keys": narrow(keys[w[n[w] == 0]]), "n": narrow(n[w]), "langs": narrow(lang[got]), "counts": narrow(total[got])})
-        return pa.Table.from_pylist(rows, schema)
+        out = pa.Table.from_pylist(rows, schema)
+        release()
+        return out
 
     return run
 
@@ -272,6 +275,7 @@ def word_grams(unseen: DataFrame, n: int) -> DataFrame:
         for r in (r for b in batches for r in b.to_pylist()):
             word, gram = _windows(r, n)
             yield pa.RecordBatch.from_arrays([pa.array(widened(r["keys"])[word]), pa.array(gram.view(np.int64))], names=["key", "gram"])
+        release()
 
     return unseen.select("keys", "long_sizes", "longs").mapInArrow(run, "key long, gram long")
 
