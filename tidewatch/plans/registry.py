@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import behavior, events, rows, sessions, training
+from . import behavior, boosting, events, rows, sessions, training
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (events, rows, sessions, behavior, training)
+MODULES = (events, rows, sessions, behavior, boosting, training)
 
 flagship = behavior.scan_alerts
 
