@@ -38,10 +38,10 @@ def _sql() -> str:
                 f"s{t}_{d} AS (SELECT node, f, bin, sum(g) AS g, sum(h) AS h FROM (SELECT node, g, h, unnest(range({len(EDGES)})) AS f, unnest(b) AS bin FROM n{t}_{d} WHERE node BETWEEN {low} AND {high}) GROUP BY ALL)",
                 f"c{t}_{d} AS (SELECT node, f, bin, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER a AS gn, sum(h) OVER a AS hn FROM s{t}_{d} WINDOW w AS (PARTITION BY node, f ORDER BY bin), a AS (PARTITION BY node, f))",
                 f"g{t}_{d} AS (SELECT *, 0.5 * ({strength('gl', 'hl')} + {strength('(gn - gl)', '(hn - hl)')} - {strength('gn', 'hn')}) AS gain FROM c{t}_{d} WHERE hl >= {p.least_hessian * unit} AND hn - hl >= {p.least_hessian * unit})",
-                f"b{t}_{d} AS MATERIALIZED (SELECT node AS at, f, bin FROM g{t}_{d} WHERE gain > {boosting.LEAST_GAIN} QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1)",
-                f"n{t}_{d + 1} AS MATERIALIZED (SELECT i, y, b, m, g, h, CASE WHEN f IS NULL THEN node ELSE 2 * node + 1 + (b[f + 1] > bin)::INT END AS node FROM n{t}_{d} LEFT JOIN b{t}_{d} ON at = node)",
+                f"b{t}_{d} AS MATERIALIZED (SELECT node AS spot, f, bin FROM g{t}_{d} WHERE gain > {boosting.LEAST_GAIN} QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin) = 1)",
+                f"n{t}_{d + 1} AS MATERIALIZED (SELECT i, y, b, m, g, h, CASE WHEN f IS NULL THEN node ELSE 2 * node + 1 + (b[f + 1] > bin)::INT END AS node FROM n{t}_{d} LEFT JOIN b{t}_{d} ON spot = node)",
             ]
-            nodes.append(f"SELECT {t} AS tree, at AS node, CAST(f AS INTEGER) AS feature, bin, 0.0::DOUBLE AS value FROM b{t}_{d}")
+            nodes.append(f"SELECT {t} AS tree, spot AS node, CAST(f AS INTEGER) AS feature, bin, 0.0::DOUBLE AS value FROM b{t}_{d}")
         parts += [
             f"v{t} AS MATERIALIZED (SELECT node, -{p.rate}::DOUBLE * {zero('sum(g)')} / (sum(h) / {unit}::DOUBLE + {p.l2}::DOUBLE) AS v FROM n{t}_{p.depth} GROUP BY node)",
             f"rows{t + 1} AS MATERIALIZED (SELECT i, y, b, m + v AS m FROM n{t}_{p.depth} JOIN v{t} USING (node))",
