@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import COOLDOWN_S, SIGNATURE_CLASS, ZERO_BYTE_COUNT, ZERO_BYTE_RATE
+from ..functions.lineage import cut
 from .whitelist import loud_alerts
 
 SECOND = 1_000_000
@@ -30,30 +35,113 @@ def zero_byte_bursts(sessions: DataFrame, least: int = ZERO_BYTE_COUNT, rate: fl
     return counted.withColumn("zero_detected", (F.col("zero_count") >= least) & (F.col("zero_rate") > rate))
 
 
-def cooldown(alerts: DataFrame, seconds: float = COOLDOWN_S, key: list[str] | None = None, time: str = "t_us") -> DataFrame:
+def cooldown(alerts: DataFrame, seconds: float = COOLDOWN_S, key: list[str] | None = None, time: str = "t_us", blocks: int = 6) -> DataFrame:
     """Drop an alert less than ``seconds`` after the last one of its key that was kept.
 
-    One shuffle on the key; its rows then stream by in time order, with nothing held but the
-    last time.  Of one instant the smallest row_id passes, null first; repeated row ids are
-    different alerts.  An alert without a time passes and holds nothing back.
+    A key's time is cut into blocks of ``blocks`` cooldowns, and no task holds more than a
+    block's alerts.  What a block does is a function of the time from which its alerts may
+    pass: the last alert that it keeps, a few steps over the alerts of its first cooldown.
+    These functions are put one after another for each key, which gives each block its time,
+    and the blocks are then gone through by themselves.
+
+    Of one instant the smallest row_id passes, null first; repeated row ids are different
+    alerts.  An alert without a time passes and holds nothing back.
     """
     key = key or ALERT_KEY
     gap = int(seconds * SECOND)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, None
-        for batch in batches:
-            passes = []
-            for k, t in zip(zip(*[batch.column(c).to_pylist() for c in key], strict=True), batch.column(time).to_pylist(), strict=True):
-                if k != now:
-                    now, last = k, None
-                passes.append(t is None or last is None or t - last >= gap)
-                if passes[-1] and t is not None:
-                    last = t
-            yield batch.filter(pa.array(passes, pa.bool_()))
-
-    order = [*key, time, *[c for c in ("row_id",) if c in alerts.columns]]
-    return alerts.repartition(*key).sortWithinPartitions(*order).mapInArrow(run, alerts.schema)
+    if gap <= 0:
+        return alerts
+    size = gap * max(1, blocks)
+    names = [f"_k{i}" for i in range(len(key))]
+    own = [F.col(k).alias(n) for k, n in zip(key, names, strict=True)]
+    tie = F.col("row_id").cast("string") if "row_id" in alerts.columns and alerts.schema["row_id"].dataType.simpleString() not in ("bigint", "int") else F.col("row_id").cast("long") if "row_id" in alerts.columns else F.lit(0)
+    row = F.struct(F.col(time).cast("long").alias("t"), tie.alias("tie"), F.struct(*[F.col(c) for c in alerts.columns]).alias("row"))
+    timed = alerts.filter(F.col(time).isNotNull())
+    groups = cut(timed.groupBy(*own, F.floor(F.col(time) / size).cast("long").alias("block")).agg(F.collect_list(row).alias("rows")))
+    times = groups.select(*names, "block", F.col("rows.t").alias("times"))
+    kinds = ", ".join(f"{n} {groups.schema[n].dataType.simpleString()}" for n in names)
+    steps = times.mapInArrow(partial(_block_steps, gap, size), f"{kinds}, block long, starts array<long>, ends array<long>")
+    chains = steps.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("block", "starts", "ends"))).alias("steps")).filter(F.size("steps") > 1)
+    opened = chains.mapInArrow(partial(_opening_times, gap), f"{kinds}, opened array<struct<block:bigint,free:bigint>>").select(*[F.col(n).alias(f"of{n}") for n in names], F.explode("opened").alias("o"))
+    same = reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"of{n}")) for n in names])
+    ready = groups.join(opened, same & (F.col("block") == F.col("o.block")), "left").select(groups["block"], "rows", F.col("o.free").alias("free"))
+    return ready.mapInArrow(partial(_passing, gap, size), alerts.schema).unionByName(alerts.filter(F.col(time).isNull()))
+
+
+def _in_order(batch: pa.RecordBatch, times: np.ndarray, lengths: np.ndarray, size: int, tie: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of all blocks in order, their block's place, and their time on one scale for all blocks."""
+    group = np.repeat(np.arange(len(lengths)), lengths)
+    scale = times - np.repeat(batch.column("block").to_numpy(), lengths) * size + group * (2 * size)
+    keys = [scale, group] if tie is None else [pc.rank(tie, null_placement="at_start", tiebreaker="first").to_numpy(), scale, group]
+    order = np.lexsort(keys)
+    return order, group[order], scale[order]
+
+
+def _next_kept(scale: np.ndarray, group: np.ndarray, gap: int) -> np.ndarray:
+    """The alert of the same block that is kept after each one, itself where there is none."""
+    after = np.searchsorted(scale, scale + gap)
+    there = np.minimum(after, len(scale) - 1)
+    return np.where((after < len(scale)) & (group[there] == group), there, np.arange(len(scale)))
+
+
+def _block_steps(gap: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block as a function: free from a time up to starts[i] (and above the one before), it keeps ends[i] last."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column("times")
+        times, lengths = column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        order, group, scale = _in_order(batch, times, lengths, size)
+        last = _next_kept(scale, group, gap)
+        for _ in range(max(1, (size // gap + 1).bit_length())):  # a pointer to the end, doubled each time
+            last = last[last]
+        late = scale - group * (2 * size) >= gap
+        first_late = late & (np.concatenate([[True], ~late[:-1]]) | np.concatenate([[True], group[1:] != group[:-1]]))
+        held = np.flatnonzero(~late | first_late)
+        same = np.zeros(len(held), bool)  # of starts with one end the last says all
+        same[:-1] = (group[held[1:]] == group[held[:-1]]) & (last[held[1:]] == last[held[:-1]])
+        held = held[~same]
+        at = np.concatenate([[0], np.cumsum(np.bincount(group[held], minlength=len(lengths)))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(times[order[i]])) for i in (held, last[held])]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *lists], names=[*batch.schema.names[:-1], "starts", "ends"])
+
+
+def _opening_times(gap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From when on the alerts of each block of a key may pass, for blocks that others hold back."""
+    for batch in batches:
+        out = []
+        for steps in batch.column("steps").to_pylist():
+            free, opened = None, []
+            for s in steps:
+                if free is not None:
+                    opened.append({"block": s["block"], "free": free})
+                i = 0 if free is None else bisect_left(s["starts"], free)
+                if i < len(s["starts"]):
+                    free = s["ends"][i] + gap
+            out.append(opened)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.struct([("block", pa.int64()), ("free", pa.int64())])))], names=[*batch.schema.names[:-1], "opened"])
+
+
+def _passing(gap: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The alerts that pass."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch.column("rows")
+        lengths, flat = pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64), rows.flatten()
+        order, group, scale = _in_order(batch, flat.field("t").to_numpy(zero_copy_only=False), lengths, size, flat.field("tie"))
+        after = _next_kept(scale, group, gap)
+        start = batch.column("block").to_numpy() * size
+        free = pc.fill_null(batch.column("free"), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        number = np.arange(len(lengths))
+        now = np.searchsorted(scale, np.clip(free - start, 0, 2 * size - 1) + number * (2 * size))
+        now = now[now < np.cumsum(lengths)]
+        passes = np.zeros(len(order), bool)
+        while len(now):
+            passes[now] = True
+            now = after[now][after[now] != now]
+        kept = flat.field("row").take(pa.array(order[passes]))
+        yield pa.RecordBatch.from_arrays(kept.flatten(), names=[f.name for f in kept.type])
 
 
 def signature_alerts(events: DataFrame, *keep: str, v2: bool = False) -> DataFrame:
