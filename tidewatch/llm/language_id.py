@@ -26,7 +26,7 @@ from .spark_util import bucketed, discard, discard_table, width
 from .text_arrays import doc_of, mix, ranges, release, runs, slices, span_hashes, text_bytes, window_hashes, windows_inside
 
 #: Bytes of text in a slice, and in the slices that one shard answers for.
-SLICE, SHARD = 6 << 20, 24 << 20
+SLICE, SHARD = 4 << 20, 16 << 20
 #: Languages that sums are held for; more distinct values are no languages.
 LANGUAGES = 4096
 #: Added to every count.
