@@ -380,3 +380,11 @@ def test_classifier_finds_toxic_words_and_repetition(spark):
     kept = {i: k for i, (k,) in by_id(quality_classifier.classify(docs, labels), "kept").items()}
     assert not any(kept[i] for i in range(150, 200) if i % 5 == 4) and not kept[999]
     assert sum(kept[i] for i in range(150, 200) if i % 5 != 4) >= 38
+
+
+def test_steps_of_answers_are_not_clipped():
+    log_p, evidence = -np.array([0.0, 1.5, 15.9375, 16.0, 25.125, 90.0]), np.array([0.0, 3.0, 0.0, 17.5, 0.0, 1.0])
+    p, e = quality_classifier.from_steps(*quality_classifier.in_steps(log_p, evidence))
+    assert (p * quality_classifier.STEP == -log_p).all() and (e * quality_classifier.STEP == evidence).all()
+    whole, more = quality_classifier.in_steps(log_p[:3], evidence[:3])
+    assert more is None and (quality_classifier.from_steps(whole, more)[0] * quality_classifier.STEP == -log_p[:3]).all()

@@ -50,7 +50,7 @@ WAIT = 1.5
 _HELD = 3 << 19
 #: Bytes of text that are worked on at a time.
 _AT_ONCE = 3 << 19
-#: Steps of the answers: log probabilities and evidence travel as single bytes.
+#: Steps of the answers: log probabilities and evidence travel as single bytes, with two bytes beyond 255 steps.
 STEP = 1 / 16
 
 
@@ -293,10 +293,28 @@ def answers(asked: DataFrame, model: DataFrame, copies: int) -> DataFrame:
                     ready[name] = _shard_from(held, name)
                 codes = thawed(r["body"])["gram"]
                 log_p, evidence = ready[name].answer(codes) if ready[name] else (np.zeros(len(codes)), np.zeros(len(codes)))
-                whole = frozen(p=np.minimum(np.rint(-log_p / STEP), 255).astype(np.uint8), e=np.minimum(np.rint(evidence / STEP), 255).astype(np.uint8))
-                yield pa.RecordBatch.from_arrays([pa.array([r["sid"]], pa.int64()), pa.array([r["shard"]], pa.int32()), pa.array([r["model"]]), pa.array([whole], pa.binary())], names=["sid", "shard", "model", "answer"])
+                whole, more = in_steps(log_p, evidence)
+                yield pa.RecordBatch.from_arrays([pa.array([r["sid"]], pa.int64()), pa.array([r["shard"]], pa.int32()), pa.array([r["model"]]), pa.array([whole], pa.binary()), pa.array([more], pa.binary())], names=["sid", "shard", "model", "answer", "more"])
 
-    return rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind").mapInArrow(run, "sid long, shard int, model string, answer binary")
+    return rows.repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind").mapInArrow(run, "sid long, shard int, model string, answer binary, more binary")
+
+
+def in_steps(log_p: np.ndarray, evidence: np.ndarray) -> tuple[bytes, bytes | None]:
+    """Both figures in steps: a byte each, and two bytes each for the few n-grams where a byte is too short."""
+    p, e = np.rint(-log_p / STEP), np.rint(evidence / STEP)
+    long = np.flatnonzero((p > 255) | (e > 255))
+    more = frozen(at=long.astype(np.int32), p=p[long].astype(np.uint16), e=e[long].astype(np.uint16)) if len(long) else None
+    p[long], e[long] = 0, 0
+    return frozen(p=p.astype(np.uint8), e=e.astype(np.uint8)), more
+
+
+def from_steps(whole: bytes, more: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    answer = thawed(whole)
+    p, e = answer["p"].astype(np.uint16), answer["e"].astype(np.uint16)
+    if more is not None:
+        long = thawed(more)
+        p[long["at"]], e[long["at"]] = long["p"], long["e"]
+    return p, e
 
 
 def _shard_from(held: dict[str, tuple], name: str) -> Shard | None:
@@ -312,13 +330,12 @@ def score(packed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sid, body, got in ((b.column("sid")[k].as_py(), b.column("body")[k].as_py(), b.column("got")[k].as_py()) for b in batches for k in range(b.num_rows)):
-            found = {(g["model"], g["shard"]): g["answer"] for g in got or []}
+            found = {(g["model"], g["shard"]): (g["answer"], g["more"]) for g in got or []}
             known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
             for lang, codes in distinct(body).items():
-                shard, p, e = kn.shard_of(codes, shards), np.zeros(len(codes), np.uint8), np.zeros(len(codes), np.uint8)
+                shard, p, e = kn.shard_of(codes, shards), np.zeros(len(codes), np.uint16), np.zeros(len(codes), np.uint16)
                 for s in np.unique(shard).tolist():
-                    answer = thawed(found["=" + lang, s])
-                    p[shard == s], e[shard == s] = answer["p"], answer["e"]
+                    p[shard == s], e[shard == s] = from_steps(*found["=" + lang, s])
                 known[lang] = codes, p, e
             first = 0
             for batch in opened(body):
@@ -340,7 +357,7 @@ def score(packed: DataFrame, answered: DataFrame, shards: int) -> DataFrame:
                 first += batch.num_rows
         release()
 
-    got = answered.groupBy("sid").agg(F.collect_list(F.struct("model", "shard", "answer")).alias("got"))
+    got = answered.groupBy("sid").agg(F.collect_list(F.struct("model", "shard", "answer", "more")).alias("got"))
     return packed.join(got, "sid", "left").select("sid", "body", "got").mapInArrow(run, "sid long, row long, id long, lang string, n_symbols long, log_likelihood double, evidence double")
 
 
