@@ -21,6 +21,7 @@ def test_blocks_equal_a_loop(spark, seconds, blocks):
     rng = random.Random(blocks)
     rows = [(rng.choice([None, 3, i]), None if i % 97 == 0 else rng.randrange(-40_000_000, 900_000_000) // rng.choice([1, 1_000_000]) * 1, rng.choice(["hot", "hot", "hot", None, f"k{i % 30}"]), {"a": str(i)}) for i in range(1500)]
     rows += [(i, i * 900_000, "steady", {}) for i in range(600)] + [(i, i * 10_000_000, "edge", {}) for i in range(40)] + [(i, i * 9_999_999, "under", {}) for i in range(40)]
+    rows += [(i, 500_000_000_000 + i * 3_000_000_000, f"late{i % 3}", {}) for i in range(30)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "row_id long, t_us long, src_ip string, more map<string,string>, block string").repartition(4)
     got = alerts.cooldown(df, seconds, ["src_ip"], blocks=blocks)
     assert got.schema == df.schema

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import COOLDOWN_S, SIGNATURE_CLASS, ZERO_BYTE_COUNT, ZERO_BYTE_RATE
 from ..functions.lineage import cut
+from .behavior import running
 from .whitelist import loud_alerts
 
 SECOND = 1_000_000
@@ -24,14 +25,15 @@ def zero_byte_bursts(sessions: DataFrame, least: int = ZERO_BYTE_COUNT, rate: fl
     """Sessions without bytes, numbered per (source, destination:port:protocol).
 
     Adds dest_key, zero_count, zero_rate (per second since the first, at least 0.001 s)
-    and zero_detected.  Needs t_us and row_id.
+    and zero_detected.  Needs t_us and row_id.  Counts are running sums in blocks of time.
     """
     quiet = sessions.filter(F.coalesce("total_fwd_bytes", F.lit(0)) + F.coalesce("total_bwd_bytes", F.lit(0)) <= 0)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     keyed = quiet.withColumn("dest_key", F.concat_ws(":", text("daddr"), text("dport"), text("proto")))
-    w = Window.partitionBy("saddr", "dest_key").orderBy("t_us", "row_id")
-    since = F.greatest((F.col("t_us") - F.min("t_us").over(w)) / SECOND, F.lit(0.001))
-    counted = keyed.withColumn("zero_count", F.row_number().over(w)).withColumn("zero_rate", F.col("zero_count") / since)
+    source = F.coalesce(F.concat(F.lit("="), F.col("saddr")), F.lit(""))
+    counted = running(keyed.withColumn("_source", source), {"zero_count": F.lit(1).cast("long")}, ["_source", "dest_key"], order=["t_us", "row_id"], least={"_first": F.col("t_us")})
+    since = F.greatest((F.col("t_us") - F.col("_first")) / SECOND, F.lit(0.001))
+    counted = counted.withColumn("zero_rate", F.col("zero_count") / since).drop("_source", "_first")
     return counted.withColumn("zero_detected", (F.col("zero_count") >= least) & (F.col("zero_rate") > rate))
 
 
@@ -132,7 +134,7 @@ def _passing(gap: int, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator
         order, group, scale = _in_order(batch, flat.field("t").to_numpy(zero_copy_only=False), lengths, size, flat.field("tie"))
         after = _next_kept(scale, group, gap)
         start = batch.column("block").to_numpy() * size
-        free = pc.fill_null(batch.column("free"), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        free = np.where(pc.is_null(batch.column("free")).to_numpy(zero_copy_only=False), start, pc.fill_null(batch.column("free"), 0).to_numpy(zero_copy_only=False))
         number = np.arange(len(lengths))
         now = np.searchsorted(scale, np.clip(free - start, 0, 2 * size - 1) + number * (2 * size))
         now = now[now < np.cumsum(lengths)]

@@ -9,15 +9,21 @@ all window figures, distinct counts included, are running sums:
   300 s after an occurrence that no other follows in time.
 
 Running sums are cut into blocks of time, so one busy source is spread over many tasks:
-sums within a block, plus the totals of the source's earlier blocks.
+sums within a block, plus the totals of the source's earlier blocks.  Where values enter
+and leave is found from cells of the window's length: occurrences in one cell are never
+further apart, so a cell's first and last time say all, and a hot pair of source and
+value is summed up before it meets in a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import BEHAVIOR_WINDOW_S, MAX_SOURCES
+from ..functions.lineage import cut
 
 SECOND = 1_000_000
 #: Length of a block of running sums.
@@ -26,20 +32,34 @@ BLOCK_US = 3600 * SECOND
 LEVELS = range(4, 21)
 
 
-def running(rows: DataFrame, sums: dict[str, Column], key: str = "saddr", block_us: int = BLOCK_US) -> DataFrame:
-    """Running sums per key up to and with each instant ``t_us``.
+def running(rows: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = ("saddr",), block_us: int = BLOCK_US, order: Sequence[str] = (), least: Mapping[str, Column] | None = None) -> DataFrame:
+    """Running sums per key (not null) up to and with each instant ``t_us``, or each row of ``order``.
 
-    Blocks make the sort and the scan of a key divisible; a key's block totals are few
-    (its time span over the block length), and their sums go back by an equi-join.
+    ``least`` are running minima.  Blocks make the sort and the scan of a key divisible; a
+    key's block totals are few (its time span over the block length), and their sums go
+    back by an equi-join.  ``rows`` is read twice.
     """
-    rows = rows.withColumn("_block", F.floor(F.col("t_us") / block_us)).withColumns({f"_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()})
-    inside = Window.partitionBy(key, "_block").orderBy("t_us").rangeBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(key, "_block").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums])
-    starts = totals.select(F.col(key).alias("_k"), F.col("_block").alias("_kb"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums])
-    local = rows.withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums})
-    joined = local.join(starts, (F.col(key) == F.col("_k")) & (F.col("_block") == F.col("_kb")))
-    return joined.withColumns({n: F.col(f"_{n}") + F.col(f"_start_{n}") for n in sums}).drop("_k", "_kb", "_block", *[f"_{n}" for n in sums], *[f"_start_{n}" for n in sums])
+    keys, least = list(keys), least or {}
+    rows = rows.withColumn("_block", F.floor(F.col("t_us") / block_us)).withColumns({f"_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()} | {f"_{n}": c for n, c in least.items()})
+    within = Window.partitionBy(*keys, "_block")
+    inside = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if order else within.orderBy("t_us").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums], *[F.min(f"_{n}").alias(f"_{n}") for n in least])
+    starts = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums], *[F.min(f"_{n}").over(before).alias(f"_start_{n}") for n in least]
+    )
+    local = rows.withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums} | {f"_{n}": F.min(f"_{n}").over(inside) for n in least})
+    same = F.col("_block") == F.col("_kb")
+    for i, k in enumerate(keys):
+        same &= F.col(k) == F.col(f"_k{i}")
+    joined = local.join(starts, same)
+    out = {n: F.col(f"_{n}") + F.col(f"_start_{n}") for n in sums} | {n: F.least(f"_{n}", f"_start_{n}") for n in least}
+    return joined.withColumns(out).drop("_kb", "_block", *[f"_k{i}" for i in range(len(keys))], *[f"{p}{n}" for p in ("_", "_start_") for n in (*sums, *least)])
+
+
+def cells(rows: DataFrame, keys: Sequence[str], us: int) -> DataFrame:
+    """keys, cell, first and last: the first and last time of each key in each cell of ``us``."""
+    return rows.groupBy(*keys, F.floor(F.col("t_us") / us).alias("cell")).agg(F.min("t_us").alias("first"), F.max("t_us").alias("last"))
 
 
 def auth_failures(sessions: DataFrame) -> DataFrame:
@@ -56,72 +76,90 @@ def auth_failures(sessions: DataFrame) -> DataFrame:
     })
 
 
-def _distinct_steps(rows: DataFrame, value: str, window_us: int) -> tuple[Column, Column]:
-    """+1 where the value enters the window, and whether it leaves 300 s after the row."""
-    w = Window.partitionBy("saddr", value).orderBy("t_us", "row_id")
-    there = F.col(value).isNotNull()
-    enters = F.coalesce(F.col("t_us") - F.lag("t_us").over(w) >= window_us, F.lit(True))
-    leaves = F.coalesce(F.lead("t_us").over(w) - F.col("t_us") >= window_us, F.lit(True))
-    return (there & enters).cast("int"), (there & leaves).cast("int")
+def _distinct_steps(rows: DataFrame, value: str, us: int, name: str) -> DataFrame:
+    """saddr, t_us and ``name``: +1 where a value enters the window, -1 where it leaves."""
+    found = cells(rows.filter(F.col(value).isNotNull()), ["saddr", value], us)
+    w = Window.partitionBy("saddr", value).orderBy("cell")
+    enters = F.coalesce(F.col("first") - F.lag("last").over(w) >= us, F.lit(True))
+    leaves = F.coalesce(F.lead("first").over(w) - F.col("last") >= us, F.lit(True))
+    step = lambda test, t, n: F.when(test, F.struct(t.alias("t_us"), F.lit(n).alias(name)))
+    found = found.withColumns({"enters": enters, "leaves": leaves})
+    steps = found.select("saddr", F.explode(F.array(step(F.col("enters"), F.col("first"), 1), step(F.col("leaves"), F.col("last") + us, -1))).alias("s"))
+    return steps.filter("s is not null").select("saddr", "s.*")
 
 
 def source_epochs(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
     """``epoch`` of a source: lifetime counters start anew after more than the window
-    without sessions.  (An exact idle gap; there is no periodic sweep.)"""
-    w = Window.partitionBy("saddr").orderBy("t_us", "row_id")
-    idle = F.coalesce(F.col("t_us") - F.lag("t_us").over(w) > window_s * SECOND, F.lit(False)).cast("int")
-    return sessions.withColumn("_idle", idle).withColumn("epoch", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_idle")
+    without sessions.  (An exact idle gap; there is no periodic sweep.)
+
+    A longer gap lies between two cells of the window's length, so a source's cells decide.
+    """
+    us = window_s * SECOND
+    w = Window.partitionBy("saddr").orderBy("cell")
+    idle = F.coalesce(F.col("first") - F.lag("last").over(w) > us, F.lit(False)).cast("int")
+    numbered = cells(sessions, ["saddr"], us).withColumn("_idle", idle).select(F.col("saddr").alias("_of"), "cell", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("epoch"))
+    return sessions.join(numbered, F.col("saddr").eqNullSafe(F.col("_of")) & (F.floor(F.col("t_us") / us) == F.col("cell"))).drop("_of", "cell")
 
 
 def _brute_levels(rows: DataFrame, window_us: int) -> DataFrame:
     """Steps (saddr, t_us, level, step): a service's failures in the window reach or leave a level."""
-    failed = rows.filter("auth_failures > 0").select("saddr", "service", "t_us", F.col("auth_failures").alias("n"))
+    failed = rows.filter("auth_failures > 0").select("saddr", F.coalesce("service", F.lit("")).alias("service"), "t_us", F.col("auth_failures").alias("n"))
     changes = failed.unionAll(failed.select("saddr", "service", F.col("t_us") + window_us, -F.col("n")))
     instants = changes.groupBy("saddr", "service", "t_us").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("saddr", "service").orderBy("t_us").rowsBetween(Window.unboundedPreceding, 0)
-    now = F.sum("n").over(w)
     cap = lambda c: F.least(F.greatest(c, F.lit(LEVELS[0] - 1)), F.lit(LEVELS[-1]))
-    levels = instants.withColumn("now", now).withColumns({"to": cap(F.col("now")), "from": cap(F.col("now") - F.col("n"))}).filter("`to` != `from`")
+    levels = running(instants, {"now": F.col("n")}, ["saddr", "service"]).withColumns({"to": cap(F.col("now")), "from": cap(F.col("now") - F.col("n"))}).filter("`to` != `from`")
     crossed = F.sequence(F.least("to", "from") + 1, F.greatest("to", "from"))
     return levels.select("saddr", "t_us", F.when(F.col("to") > F.col("from"), 1).otherwise(-1).alias("step"), F.explode(crossed).alias("level"))
 
 
-def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
+def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S, failures: bool = True) -> DataFrame:
     """Figures of the window that ends with each session.
 
-    Needs row_id, saddr, t_us, daddr, dport, total_fwd_bytes, total_fwd_packets,
-    auth_failures, service; rows without a source go.  Adds ports, ips, window_bytes,
-    window_packets and failures (most failures of one service, from 4 to 20, else 0).
-    Sessions of one instant see each other.
+    Needs row_id, saddr, t_us, daddr, dport, total_fwd_bytes, total_fwd_packets and, for
+    ``failures``, auth_failures and service; rows without a source go.  Adds ports, ips,
+    window_bytes, window_packets and failures (most failures of one service, from 4 to 20,
+    else 0).  Sessions of one instant see each other.  The sessions are written once, as
+    they are read for each figure.
     """
     us = window_s * SECOND
-    base = sessions.filter("saddr is not null and saddr != ''").withColumns({
-        "_ip": F.when(F.col("daddr") != "", F.col("daddr")), "_port": F.when(F.col("dport") > 0, F.col("dport")),
-    })
-    (ip_in, ip_out), (port_in, port_out) = _distinct_steps(base, "_ip", us), _distinct_steps(base, "_port", us)
-    base = base.withColumns({"_ip_in": ip_in, "_ip_out": ip_out}).withColumns({"_port_in": port_in, "_port_out": port_out}).withColumn("_own", F.lit(True))
-    own = base.withColumns({"_b": F.col("total_fwd_bytes"), "_p": F.col("total_fwd_packets"), "_i": F.col("_ip_in"), "_o": F.col("_port_in")})
-    gone = base.select(
-        "saddr", (F.col("t_us") + us).alias("t_us"), F.lit(False).alias("_own"), (-F.col("total_fwd_bytes")).alias("_b"),
-        (-F.col("total_fwd_packets")).alias("_p"), (-F.col("_ip_out")).alias("_i"), (-F.col("_port_out")).alias("_o"),
-    )
-    steps = _brute_levels(sessions, us).withColumn("_own", F.lit(False))
-    rows = own.unionByName(gone, allowMissingColumns=True).unionByName(steps, allowMissingColumns=True)
+    base = cut(sessions.filter("saddr is not null and saddr != ''"))
+    parts = base.select("saddr", "t_us", F.when(F.col("daddr") != "", F.col("daddr")).alias("_ip"), F.when(F.col("dport") > 0, F.col("dport")).alias("_port"))
+    both = base.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
+    signed = lambda c: F.when(F.col("_own"), F.col(c)).otherwise(-F.col(c))
+    rest = [c for c in base.columns if c not in ("saddr", "t_us")]
+    rows = both.select(
+        "saddr", F.when(F.col("_own"), F.col("t_us")).otherwise(F.col("t_us") + us).alias("t_us"), "_own", signed("total_fwd_bytes").alias("_b"), signed("total_fwd_packets").alias("_p"), *[F.when(F.col("_own"), F.col(c)).alias(c) for c in rest]
+    )
+    steps = [_distinct_steps(parts, "_ip", us, "_i"), _distinct_steps(parts, "_port", us, "_o"), *([_brute_levels(base, us)] if failures else [])]
+    for s in steps:
+        rows = rows.unionByName(s.withColumn("_own", F.lit(False)), allowMissingColumns=True)
     sums = {"window_bytes": F.col("_b"), "window_packets": F.col("_p"), "ips": F.col("_i"), "ports": F.col("_o")}
-    sums |= {f"level{k}": F.when(F.col("level") == k, F.col("step")) for k in LEVELS}
+    levels = [f"level{k}" for k in LEVELS] if failures else []
+    sums |= {f"level{k}": F.when(F.col("level") == k, F.col("step")) for k in LEVELS if failures}
     found = running(rows, sums).filter("_own")
-    failures = F.greatest(*[F.when(F.col(f"level{k}") > 0, k).otherwise(0) for k in LEVELS])
-    return found.withColumn("failures", failures).drop("_own", "_b", "_p", "_i", "_o", "_ip", "_port", "_ip_in", "_ip_out", "_port_in", "_port_out", "level", "step", *[f"level{k}" for k in LEVELS])
+    most = F.greatest(*[F.when(F.col(f"level{k}") > 0, k).otherwise(0) for k in LEVELS]) if failures else F.lit(0)
+    return found.withColumn("failures", most).drop("_own", "_b", "_p", "_i", "_o", "level", "step", *levels)
+
+
+def _kept(figures: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``names`` with nulls replaced by the source's last value before, within and across blocks; 0 at first."""
+    rows = cut(figures.withColumn("_block", F.floor(F.col("t_us") / BLOCK_US)))
+    at = F.struct("t_us", "row_id")
+    inside = Window.partitionBy("saddr", "_block").orderBy("t_us", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("saddr").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("saddr", "_block").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names])
+    starts = totals.select("saddr", "_block", *[F.last(n, ignorenulls=True).over(before).alias(f"_start{n}") for n in names])
+    local = rows.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).join(starts, ["saddr", "_block"])
+    return local.withColumns({n: F.coalesce(n, f"_start{n}", F.lit(0.0)) for n in names}).drop("_block", *[f"_start{n}" for n in names])
 
 
 def scores(figures: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
     """W3-W8.  A window without addresses or ports keeps the score of the source's last one."""
     ratio = lambda a, b, least, most: F.when(F.col(b) > 0, F.when(F.col(a) / F.nullif(F.col(b), F.lit(0)) > least, F.least(F.lit(1.0), F.col(a) / F.nullif(F.col(b), F.lit(0)) / most)).otherwise(0.0))
-    kept = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(Window.partitionBy("saddr").orderBy("t_us", "row_id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
     rate = lambda c, least, most: F.when(F.col(c) / window_s > least, F.least(F.lit(1.0), F.col(c) / window_s / most)).otherwise(0.0)
+    scans = figures.withColumns({"port_scan_score": ratio("ports", "ips", 10, 50), "host_scan_score": ratio("ips", "ports", 5, 20)})
     return (
-        figures.withColumns({"_p": ratio("ports", "ips", 10, 50), "_h": ratio("ips", "ports", 5, 20)})
-        .withColumns({"port_scan_score": kept("_p"), "host_scan_score": kept("_h")}).drop("_p", "_h")
+        _kept(scans, ["port_scan_score", "host_scan_score"])
         .withColumns({
             "scan_score": F.greatest("port_scan_score", "host_scan_score"),
             "brute_force_score": F.when(F.col("failures") > 3, F.least(F.lit(1.0), F.col("failures") / 20)).otherwise(0.0),
@@ -132,21 +170,30 @@ def scores(figures: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
 
 
 def lifetime(sessions: DataFrame) -> DataFrame:
-    """Running counters of a source since its epoch began (needs ``epoch``)."""
+    """Running counters of a source since its epoch began (needs ``epoch``).
+
+    The first session of each address and port, one row each after partial sums, carries
+    the step of the distinct counts.
+    """
     keys = ["saddr", "epoch"]
-    w = Window.partitionBy(*keys).orderBy("t_us", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    new = lambda c: (F.row_number().over(Window.partitionBy(*keys, c).orderBy("t_us", "row_id")) == 1).cast("int")
-    total = lambda c: F.sum(c).over(w)
-    count = lambda test: F.count_if(test).over(w)
-    fresh = sessions.withColumns({"_ip": F.when(F.col("daddr") != "", new("daddr"))}).withColumns({"_port": F.when(F.col("dport") > 0, new("dport"))})
-    return fresh.withColumns({
-        "first_seen_us": F.min("t_us").over(w), "total_flows": F.count(F.lit(1)).over(w), "completed_flows": count(F.col("is_complete")), "active_flows": count(~F.col("is_complete")),
+    base = cut(sessions)
+    rows = base.withColumn("_own", F.lit(True))
+    for name, value in (("_ip", F.when(F.col("daddr") != "", F.col("daddr"))), ("_port", F.when(F.col("dport") > 0, F.col("dport")))):
+        seen = base.select(*keys, "t_us", "row_id", value.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.min(F.struct("t_us", "row_id")).alias("at"))
+        rows = rows.unionByName(seen.select(*keys, "at.*", F.lit(1).alias(name), F.lit(False).alias("_own")), allowMissingColumns=True)
+    own = lambda c: F.when(F.col("_own"), c)
+    count = lambda test: own(test.cast("long"))
+    total = lambda c: own(F.col(c))
+    sums = {
+        "total_flows": own(F.lit(1).cast("long")), "completed_flows": count(F.col("is_complete")), "active_flows": count(~F.col("is_complete")),
         "bytes_sent": total("total_fwd_bytes"), "bytes_received": total("total_bwd_bytes"), "packets_sent": total("total_fwd_packets"), "packets_received": total("total_bwd_packets"),
-        "unique_dst_ips": F.coalesce(total("_ip"), F.lit(0)), "unique_dst_ports": F.coalesce(total("_port"), F.lit(0)),
+        "unique_dst_ips": F.col("_ip"), "unique_dst_ports": F.col("_port"),
         "all_http": total("http_event_count"), "all_http_errors": total("http_errors"), "all_dns": total("dns_event_count"), "all_dns_failures": total("dns_failures"),
         "all_tls": total("tls_event_count"), "all_tls_failures": total("tls_failures"), "all_ssh": total("ssh_event_count"), "all_auth_failures": total("auth_failures"),
         "rejected_flows": count(F.col("state") == "rejected"), "reset_flows": count(F.col("state") == "rst"), "tcp_flows": count(F.col("proto") == "TCP"), "udp_flows": count(F.col("proto") == "UDP"),
-    }).drop("_ip", "_port")
+    }
+    found = running(rows, sums, keys, order=["t_us", "row_id", "_own"], least={"first_seen_us": own(F.col("t_us"))})
+    return found.filter("_own").drop("_own", "_ip", "_port")
 
 
 def counters_by(sessions: DataFrame, column: str) -> DataFrame:
@@ -169,7 +216,7 @@ def features(scored: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
 
 def analyze(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
     """W1-W9, W11 for sessions with row_id and t_us (event time in microseconds)."""
-    ready = source_epochs(auth_failures(sessions).filter("saddr is not null and saddr != ''"), window_s)
+    ready = source_epochs(cut(auth_failures(sessions).filter("saddr is not null and saddr != ''")), window_s)
     return features(scores(window_figures(lifetime(ready), window_s), window_s), window_s)
 
 

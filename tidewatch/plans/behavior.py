@@ -28,8 +28,8 @@ def as_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines -> parsed flows -> serving features -> window scores -> alerts above 0.5."""
     parsed = features.serve_v3(parse.flows(parse.decode(flow_lines(spark, sf_dir)), "row_id", "t_us"))
-    rows = parsed.select("row_id", "t_us", "saddr", "daddr", "dport", "flow_packets_per_sec", F.col("sbytes").alias("total_fwd_bytes"), F.col("spkts").alias("total_fwd_packets"), F.lit(0).alias("auth_failures"), F.lit("").alias("service"))
-    found = ops.anomalous(ops.scores(ops.window_figures(rows)))
+    rows = parsed.select("row_id", "t_us", "saddr", "daddr", "dport", "flow_packets_per_sec", F.col("sbytes").alias("total_fwd_bytes"), F.col("spkts").alias("total_fwd_packets"))
+    found = ops.anomalous(ops.scores(ops.window_figures(rows, failures=False)))
     kind = F.when(F.col("port_scan_score") >= F.col("host_scan_score"), "port_scan").otherwise("host_scan")
     return rounded(found.withColumn("kind", kind), "row_id", "saddr", "kind", "ports", "ips", digits=4, score="overall_score", flow_packets_per_sec="flow_packets_per_sec")
 
