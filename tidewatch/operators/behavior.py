@@ -142,25 +142,31 @@ def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S, failu
 
 
 def _kept(figures: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``names`` with nulls replaced by the source's last value before, within and across blocks; 0 at first."""
+    """``names`` with nulls replaced by the source's last value before (of its epoch, where there
+    is one), within and across blocks; 0 at first."""
     rows = cut(figures.withColumn("_block", F.floor(F.col("t_us") / BLOCK_US)))
     at = F.struct("t_us", "row_id")
-    inside = Window.partitionBy("saddr", "_block").orderBy("t_us", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("saddr").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("saddr", "_block").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names])
-    starts = totals.select("saddr", "_block", *[F.last(n, ignorenulls=True).over(before).alias(f"_start{n}") for n in names])
-    local = rows.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).join(starts, ["saddr", "_block"])
+    keys = ["saddr", *[c for c in ("epoch",) if c in figures.columns]]
+    inside = Window.partitionBy(*keys, "_block").orderBy("t_us", "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_block").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names])
+    starts = totals.select(*keys, "_block", *[F.last(n, ignorenulls=True).over(before).alias(f"_start{n}") for n in names])
+    local = rows.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).join(starts, [*keys, "_block"])
     return local.withColumns({n: F.coalesce(n, f"_start{n}", F.lit(0.0)) for n in names}).drop("_block", *[f"_start{n}" for n in names])
 
 
 def scores(figures: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
     """W3-W8.  A window without addresses or ports keeps the score of the source's last one."""
     ratio = lambda a, b, least, most: F.when(F.col(b) > 0, F.when(F.col(a) / F.nullif(F.col(b), F.lit(0)) > least, F.least(F.lit(1.0), F.col(a) / F.nullif(F.col(b), F.lit(0)) / most)).otherwise(0.0))
-    rate = lambda c, least, most: F.when(F.col(c) / window_s > least, F.least(F.lit(1.0), F.col(c) / window_s / most)).otherwise(0.0)
     scans = figures.withColumns({"port_scan_score": ratio("ports", "ips", 10, 50), "host_scan_score": ratio("ips", "ports", 5, 20)})
+    return overall(_kept(scans, ["port_scan_score", "host_scan_score"]), window_s)
+
+
+def overall(scans: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
+    """W5-W8 from the scan scores and the window's figures."""
+    rate = lambda c, least, most: F.when(F.col(c) / window_s > least, F.least(F.lit(1.0), F.col(c) / window_s / most)).otherwise(0.0)
     return (
-        _kept(scans, ["port_scan_score", "host_scan_score"])
-        .withColumns({
+        scans.withColumns({
             "scan_score": F.greatest("port_scan_score", "host_scan_score"),
             "brute_force_score": F.when(F.col("failures") > 3, F.least(F.lit(1.0), F.col("failures") / 20)).otherwise(0.0),
             "volume_score": F.greatest(rate("window_bytes", 1e6, 1e7), rate("window_packets", 1e3, 1e4)),

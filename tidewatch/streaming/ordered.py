@@ -72,14 +72,12 @@ class Ordered(StatefulProcessor):
         rest = held[len(ready) :]
         state, out = self._current(), []
         for row in ready:
-            end = self.deadline(state) if state is not None else None
-            if end is not None and end * 1000 < row["t_us"]:
+            while state is not None and (end := self.deadline(state)) is not None and end * 1000 <= row["t_us"]:
                 state, more = self.expire(state, end)
                 out += more
             state, more = self.fold(state, row)
             out += more
-        end = self.deadline(state) if state is not None else None
-        if end is not None and end <= now:
+        while state is not None and (end := self.deadline(state)) is not None and end <= now:
             state, more = self.expire(state, now)
             out += more
         self.waiting.clear()
