@@ -200,13 +200,25 @@ def write_results(alerts: DataFrame, path: str) -> None:
     result_rows(alerts).write.mode("append").csv(path, header=True)
 
 
-def numbered_text(alerts: DataFrame, time: str = "t_us") -> DataFrame:
-    """K5: alert_no by time within each source, and one line of text.
+def numbered(alerts: DataFrame, time: str = "t_us", partitions: int | None = None) -> DataFrame:
+    """K5: ``alert_no`` from 1 over all alerts by time, row_id among equal times (nulls first).
 
-    Numbers restart per source: one global counter would pull all alerts into one task.
+    Alerts are laid out by ranges of time; a range's numbers start after those of the ranges
+    before it, whose counts are a row each.  No task has more than a range.
     """
+    order = [time, "row_id"]
+    n = partitions or max(1, int(alerts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut(alerts.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    no = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_start")
+    return rows.join(F.broadcast(starts), "_range").withColumn("alert_no", no).drop("_range", "_start")
+
+
+def numbered_text(alerts: DataFrame, time: str = "t_us", per_source: bool = True) -> DataFrame:
+    """K5: alert_no by time within each source, or over all alerts (``numbered``), and one line of text."""
     no = F.row_number().over(Window.partitionBy("src_ip").orderBy(time, "row_id"))
-    alerts = alerts.withColumn("alert_no", no)
+    alerts = alerts.withColumn("alert_no", no) if per_source else numbered(alerts, time)
     text = lambda c, d="": F.coalesce(F.col(c).cast("string"), F.lit(d)) if c in alerts.columns else F.lit(d)
     where = F.format_string("%s -> %s:%s", text("src_ip", "?"), text("dst_ip", "?"), text("dst_port", "?"))
     signature = F.format_string("[%d] Suricata Alert | %s | severity=%s | category=%s | signature=%s", "alert_no", where, text("severity"), text("category"), text("signature"))
@@ -220,10 +232,14 @@ def finalized(sessions: DataFrame, scored: DataFrame, bursts: DataFrame) -> Data
     ``scored`` and ``bursts`` have row_id.  A session without a score is Unknown, with the
     note that extraction failed; the burst note gives its rate.  Flow id, start, application
     protocol and duration are null where the sessions have no such column; zero_byte_info
-    is null without a burst.
+    is null without a burst.  The probabilities by class and the votes are those of
+    ``scored`` (see ``scoring.detector_result``), empty where it has none; ml_result is the
+    model's answer as it was, null without one.
     """
     hints = bursts.filter("zero_detected").select("row_id", "zero_rate", "zero_count", "dest_key")
-    joined = sessions.join(scored.select("row_id", "is_attack", "predicted_class", "confidence"), "row_id", "left").join(hints, "row_id", "left")
+    kinds = {"proba_per_class": "map<string,double>", "model_votes": "map<string,string>"}
+    told = [(F.col(c) if c in scored.columns else F.lit(None)).cast(k).alias(f"_{c}") for c, k in kinds.items()]
+    joined = sessions.join(scored.select("row_id", "is_attack", "predicted_class", "confidence", *told), "row_id", "left").join(hints, "row_id", "left")
     missing = F.col("predicted_class").isNull()
     burst = F.format_string("zero-byte pattern detected (rate=%.1f/s)", "zero_rate")
     none = F.array().cast("array<string>")
@@ -233,20 +249,28 @@ def finalized(sessions: DataFrame, scored: DataFrame, bursts: DataFrame) -> Data
         "row_id", own("uid", "string").alias("flow_id"), own("starttime", "timestamp").alias("timestamp"), own("appproto", "string").alias("app_proto"), own("duration", "double").alias("duration"), F.col("saddr").alias("src_ip"), F.col("daddr").alias("dst_ip"), F.col("dport").alias("dst_port"), "proto",
         (F.col("total_fwd_bytes") + F.col("total_bwd_bytes")).alias("total_bytes"), (F.col("total_fwd_packets") + F.col("total_bwd_packets")).alias("total_packets"),
         F.coalesce("is_attack", F.lit(False)).alias("is_attack"), F.coalesce("predicted_class", F.lit("Unknown")).alias("predicted_class"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+        *[F.coalesce(f"_{c}", F.create_map().cast(k)).alias(c) for c, k in kinds.items()],
+        F.when(~missing, F.struct("is_attack", "predicted_class", "confidence")).alias("ml_result"),
         F.coalesce(F.col("zero_rate").isNotNull() & ~missing, F.lit(False)).alias("zero_byte"),
         F.when(F.col("zero_rate").isNotNull() & ~missing, info).alias("zero_byte_info"),
         F.when(missing, F.array(F.lit("feature extraction failed"))).when(F.col("zero_rate").isNotNull(), F.array(burst)).otherwise(none).alias("notes"),
     )
 
 
-def message(alerts: DataFrame, details: str = "details") -> DataFrame:
+# The parts of an alert's long text.
+TITLE, RULE = "\u26a0\ufe0f ANOMALY DETECTED \u26a0\ufe0f", "-" * 40
+
+
+def message(alerts: DataFrame, details: str = "details", time: str = "ts") -> DataFrame:
     """The long text of an alert; of ``details`` (array of feature, value, z_score)
-    the first three are told."""
+    the first three are told.  ``time`` is when the alert was raised; without it the text
+    says Unknown."""
     shown = F.transform(F.slice(F.coalesce(F.col(details), F.array().cast("array<struct<feature:string,value:double,z_score:double>>")), 1, 3), lambda d: F.format_string("- %s: %s (z-score: %.2f)", d["feature"], d["value"], d["z_score"]))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(F.col(c).cast("string"), F.lit("Unknown")))
     app = F.when(F.coalesce("app_proto", F.lit("")) != "", F.concat(F.lit("App Protocol: "), "app_proto"))
-    found = F.when(F.size(shown) > 0, F.concat(F.lit("Statistical Anomalies:\n"), F.array_join(shown, "\n")))
+    found = F.when(F.size(shown) > 0, F.concat(F.lit("\nStatistical Anomalies:\n"), F.array_join(shown, "\n")))
+    when = F.coalesce(F.date_format(time, "yyyy-MM-dd HH:mm:ss") if time in alerts.columns else F.lit(None).cast("string"), F.lit("Unknown"))
     return alerts.withColumn("message", F.concat_ws(
-        "\n", F.lit("ANOMALY DETECTED"), F.lit("CONNECTION DETAILS:"), line("Source IP", "src_ip"), line("Source Port", "src_port"), line("Destination IP", "dst_ip"),
-        line("Destination Port", "dst_port"), line("Protocol", "proto"), app, F.format_string("Anomaly Score: %.4f", F.coalesce("combined_score", F.lit(0.0))), found,
+        "\n", F.lit(f"{TITLE}\n"), F.concat(F.lit("Time: "), when), F.lit(RULE), F.lit("CONNECTION DETAILS:"), line("Source IP", "src_ip"), line("Source Port", "src_port"), line("Destination IP", "dst_ip"),
+        line("Destination Port", "dst_port"), line("Protocol", "proto"), app, F.format_string("\nAnomaly Score: %.4f", F.coalesce("combined_score", F.lit(0.0))), found, F.concat(F.lit("\nAlert generated at "), when),
     ))

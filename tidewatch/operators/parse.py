@@ -65,70 +65,76 @@ def envelope(*keep: str) -> list[Column]:
     ]
 
 
+def _time() -> Column:
+    return F.try_to_timestamp("e.timestamp")
+
+
+def fields(kind: str) -> dict[str, Column]:
+    """Columns of a kind of event beside the envelope."""
+    none = F.array().cast("array<string>")
+    if kind == "flow":
+        sizes = {"spkts": _count("e.flow.pkts_toserver"), "dpkts": _count("e.flow.pkts_toclient"), "sbytes": _count("e.flow.bytes_toserver"), "dbytes": _count("e.flow.bytes_toclient")}
+        return sizes | {
+            "state": _text("e.flow.state"), "dur": F.coalesce(number("e.flow.age"), F.lit(0.0)), **{f"tcp_{x}": _flag(f"e.tcp.{x}") for x in ("syn", "rst", "ack", "fin")}, "tcpflags": _text("e.tcp.tcp_flags"),
+            "starttime": F.coalesce(timestamp(F.col("e.flow.start")), _time()), "endtime": F.coalesce(timestamp(F.col("e.flow.end")), _time()),
+            "pkts": sizes["spkts"] + sizes["dpkts"], "bytes": sizes["sbytes"] + sizes["dbytes"],
+        }
+    own = {
+        "http": lambda: {
+            "method": _text("e.http.http_method"), "host": _text("e.http.hostname"), "uri": _text("e.http.url"), "user_agent": _text("e.http.http_user_agent"), "status_code": _text("e.http.status"), "version": _text("e.http.protocol"),
+            "request_body_len": _count("e.http.request_body_len"), "response_body_len": _count("e.http.length"),
+        },
+        "dns": lambda: {"query": _text("e.dns.rrname"), "ttl": _text("e.dns.ttl"), "qtype": _text("e.dns.rrtype"), "answers": F.concat(F.coalesce("e.dns.grouped.CNAME", none), F.coalesce("e.dns.grouped.A", none))},
+        "tls": lambda: {b: _text(f"e.tls.{a}") for a, b in (("version", "sslversion"), ("subject", "subject"), ("issuerdn", "issuer"), ("sni", "server_name"), ("notbefore", "notbefore"), ("notafter", "notafter"))},
+        "fileinfo": lambda: {"size": _count("e.fileinfo.size")},
+        "ssh": lambda: {"client": _text("e.ssh.client.software_version"), "version": _text("e.ssh.client.proto_version"), "server": _text("e.ssh.server.software_version")},
+    }
+    return {"starttime": _time()} | own[kind]()
+
+
+def _of_kind(events: DataFrame, kind: str, keep: tuple[str, ...]) -> DataFrame:
+    return events.filter(F.col("e.event_type") == kind).select(*envelope(*keep), *[c.alias(n) for n, c in fields(kind).items()])
+
+
 def flows(events: DataFrame, *keep: str) -> DataFrame:
     """Flow events; start and end fall back to the event's time."""
-    return (
-        events.filter("e.event_type = 'flow'")
-        .select(
-            *envelope(*keep),
-            timestamp(F.col("e.flow.start")).alias("s"),
-            timestamp(F.col("e.flow.end")).alias("t"),
-            _count("e.flow.pkts_toserver").alias("spkts"),
-            _count("e.flow.pkts_toclient").alias("dpkts"),
-            _count("e.flow.bytes_toserver").alias("sbytes"),
-            _count("e.flow.bytes_toclient").alias("dbytes"),
-            _text("e.flow.state").alias("state"),
-            F.coalesce(number("e.flow.age"), F.lit(0.0)).alias("dur"),
-            *[_flag(f"e.tcp.{x}").alias(f"tcp_{x}") for x in ("syn", "rst", "ack", "fin")],
-            _text("e.tcp.tcp_flags").alias("tcpflags"),
-        )
-        .withColumns({
-            "starttime": F.coalesce("s", "ts"), "endtime": F.coalesce("t", "ts"),
-            "pkts": F.col("spkts") + F.col("dpkts"), "bytes": F.col("sbytes") + F.col("dbytes"),
-        })
-        .drop("s", "t")
-    )
+    return _of_kind(events, "flow", keep)
 
 
 def http(events: DataFrame, *keep: str) -> DataFrame:
     """P7."""
-    return events.filter("e.event_type = 'http'").select(
-        *envelope(*keep), F.try_to_timestamp("e.timestamp").alias("starttime"),
-        _text("e.http.http_method").alias("method"), _text("e.http.hostname").alias("host"), _text("e.http.url").alias("uri"),
-        _text("e.http.http_user_agent").alias("user_agent"), _text("e.http.status").alias("status_code"), _text("e.http.protocol").alias("version"),
-        _count("e.http.request_body_len").alias("request_body_len"), _count("e.http.length").alias("response_body_len"),
-    )
+    return _of_kind(events, "http", keep)
 
 
 def dns(events: DataFrame, *keep: str) -> DataFrame:
     """Answers are the CNAME list followed by the A list."""
-    none = F.array().cast("array<string>")
-    return events.filter("e.event_type = 'dns'").select(
-        *envelope(*keep), F.try_to_timestamp("e.timestamp").alias("starttime"),
-        _text("e.dns.rrname").alias("query"), _text("e.dns.ttl").alias("ttl"), _text("e.dns.rrtype").alias("qtype"),
-        F.concat(F.coalesce("e.dns.grouped.CNAME", none), F.coalesce("e.dns.grouped.A", none)).alias("answers"),
-    )
+    return _of_kind(events, "dns", keep)
 
 
 def tls(events: DataFrame, *keep: str) -> DataFrame:
     """P9."""
-    return events.filter("e.event_type = 'tls'").select(
-        *envelope(*keep), F.try_to_timestamp("e.timestamp").alias("starttime"),
-        *[_text(f"e.tls.{a}").alias(b) for a, b in (("version", "sslversion"), ("subject", "subject"), ("issuerdn", "issuer"), ("sni", "server_name"), ("notbefore", "notbefore"), ("notafter", "notafter"))],
-    )
+    return _of_kind(events, "tls", keep)
 
 
 def files(events: DataFrame, *keep: str) -> DataFrame:
     """P10."""
-    return events.filter("e.event_type = 'fileinfo'").select(*envelope(*keep), F.try_to_timestamp("e.timestamp").alias("starttime"), _count("e.fileinfo.size").alias("size"))
+    return _of_kind(events, "fileinfo", keep)
 
 
 def ssh(events: DataFrame, *keep: str) -> DataFrame:
     """P11."""
-    return events.filter("e.event_type = 'ssh'").select(
-        *envelope(*keep), F.try_to_timestamp("e.timestamp").alias("starttime"),
-        _text("e.ssh.client.software_version").alias("client"), _text("e.ssh.client.proto_version").alias("version"), _text("e.ssh.server.software_version").alias("server"),
-    )
+    return _of_kind(events, "ssh", keep)
+
+
+def every_kind(events: DataFrame, *keep: str) -> DataFrame:
+    """All events of known kinds in one layout (``kind``, of files "file"), from one scan: a
+    column is null where its kind has none."""
+    kind, columns = F.col("e.event_type"), {}
+    for k in KINDS:
+        for name, c in fields(k).items():
+            columns[name] = columns[name].when(kind == k, c) if name in columns else F.when(kind == k, c)
+    named = F.when(kind == "fileinfo", "file").otherwise(kind)
+    return events.filter(kind.isin(KINDS)).select(*envelope(*keep), named.alias("kind"), *[c.alias(n) for n, c in columns.items()])
 
 
 def route(events: DataFrame) -> DataFrame:

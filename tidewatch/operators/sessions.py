@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +23,7 @@ def unified(events: DataFrame, order: str) -> DataFrame:
 
     ``order`` is a column of ``events`` that tells events of one instant apart.
     """
-    parts = {"flow": parse.flows, "http": parse.http, "dns": parse.dns, "tls": parse.tls, "ssh": parse.ssh, "file": parse.files}
-    frames = [f(events, order).withColumnRenamed(order, "ord").withColumn("kind", F.lit(kind)) for kind, f in parts.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return parse.every_kind(events, order).withColumnRenamed(order, "ord")
 
 
 def epochs(events: DataFrame, timeout_s: float = SESSION_TIMEOUT_S) -> DataFrame:

@@ -171,17 +171,33 @@ ALERT_TEXTS = f"""WITH {FLOWS_SQL}, {SCORES_SQL}, {_DECIDED}, a AS (SELECT *, CA
 SELECT row_id, alert_no, '[' || alert_no || '] ' || saddr || ' -> ' || daddr || ':' || dport || ' | Class: ' || best_label || '  Conf: ' || printf('%.3f', floor(top * 100 + 1e-6) / 100) AS text FROM a"""
 
 
+def alert_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and signature alerts with numbers over all of them, and both kinds of text."""
+    signatures = alerts.signature_alerts(signature_lines(spark, sf_dir), "row_id", v2=True).withColumns({"t_us": F.unix_micros("ts"), "row_id": F.col("row_id") + 0.5})
+    models = alerts.model_alerts(scored_flows(spark, sf_dir)).withColumns({"confidence": F.floor(F.col("confidence") * 100 + 1e-6) / 100, "row_id": F.col("row_id").cast("double")})
+    return alerts.numbered_text(alerts.all_alerts(signatures, models), per_source=False).select("row_id", F.col("alert_no").cast("long").alias("alert_no"), "text")
+
+
+ALERT_NUMBERS = f"""WITH {FLOWS_SQL}, {SCORES_SQL}, {_DECIDED},
+a AS (SELECT CAST(row_id AS DOUBLE) AS row_id, t_us, saddr || ' -> ' || daddr || ':' || dport || ' | Class: ' || best_label || '  Conf: ' || printf('%.3f', floor(top * 100 + 1e-6) / 100) AS text FROM flows JOIN d USING (row_id) WHERE is_attack
+  UNION ALL SELECT row_id + 0.5, NULL, 'Suricata Alert | ' || saddr || ' -> ' || daddr || ':' || dport || ' | severity=' || (row_id % 4) || ' | category=' || CASE row_id % 3 WHEN 0 THEN 'Not Suspicious Traffic' WHEN 1 THEN 'Web Attack' ELSE '' END || ' | signature=sig' FROM flows),
+n AS (SELECT *, row_number() OVER (ORDER BY t_us NULLS FIRST, row_id) AS alert_no FROM a)
+SELECT CAST(row_id AS DOUBLE) AS row_id, alert_no, '[' || alert_no || '] ' || text AS text FROM n"""
+
+
 def finalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = as_sessions(spark, sf_dir).withColumns({"uid": F.col("flow_id"), "starttime": F.timestamp_micros("t_us"), "appproto": F.when(F.col("dport") == 80, "http"), "duration": F.col("age_s")})
-    scored = scored_flows(spark, sf_dir).filter("row_id % 10 != 0")  # the others stand for failed extraction
+    scored = scoring.detector_result(scored_flows(spark, sf_dir)).filter("row_id % 10 != 0")  # the others stand for failed extraction
     closer = s.withColumn("t_us", F.expr(f"t_us div {CLOSER}"))
     out = alerts.finalized(s, scored, alerts.zero_byte_bursts(closer))
-    told = out.withColumns({"n_notes": F.size("notes"), "start_us": F.unix_micros("timestamp"), "zero_count": F.col("zero_byte_info.count"), "zero_destination": F.col("zero_byte_info.destination"), "zero_rate": F.col("zero_byte_info.rate")})
-    return rounded(told, "row_id", "flow_id", "start_us", "app_proto", "zero_count", "zero_destination", "src_ip", "dst_port", "total_bytes", "total_packets", "is_attack", "predicted_class", "zero_byte", "n_notes", confidence="confidence", duration="duration", zero_rate="zero_rate")
+    told = out.withColumns({"n_notes": F.size("notes"), "start_us": F.unix_micros("timestamp"), "zero_count": F.col("zero_byte_info.count"), "zero_destination": F.col("zero_byte_info.destination"), "zero_rate": F.col("zero_byte_info.rate"), "portscan": F.col("proba_per_class")["PortScan"], "benign": F.col("proba_per_class")["Benign"], "xgb_vote": F.col("model_votes")["xgb"], "ml_class": F.col("ml_result.predicted_class")})
+    return rounded(told, "row_id", "flow_id", "start_us", "app_proto", "zero_count", "zero_destination", "src_ip", "dst_port", "total_bytes", "total_packets", "is_attack", "predicted_class", "zero_byte", "n_notes", "proto", "xgb_vote", "ml_class", confidence="confidence", duration="duration", zero_rate="zero_rate", portscan="portscan", benign="benign")
 
 
+_XGB = """CASE best_label WHEN 'PortScan' THEN "PortScan_xgb" ELSE "DoS_xgb" END"""
 FINALIZED = f"""WITH {FLOWS_SQL}, {SCORES_SQL}, {_DECIDED}, {_ZERO}, hit AS (SELECT row_id, zero_count, zero_count / since AS zero_rate, dest_key FROM z WHERE zero_count >= 3 AND zero_count / since > 1.0)
-SELECT f.row_id, f.flow_id, f.t_us AS start_us, CASE WHEN f.dport = 80 THEN 'http' END AS app_proto, CAST(f.age_s AS DOUBLE) AS duration, CASE WHEN f.row_id % 10 <> 0 THEN hit.zero_count END AS zero_count,
+SELECT f.row_id, f.proto, CASE WHEN f.row_id % 10 <> 0 THEN CASE WHEN {_XGB} >= 0.5 THEN best_label ELSE 'Benign' END END AS xgb_vote, CASE WHEN f.row_id % 10 <> 0 THEN CASE WHEN is_attack THEN best_label ELSE 'Benign' END END AS ml_class,
+  CASE WHEN f.row_id % 10 <> 0 THEN round(p, 6) END AS portscan, CASE WHEN f.row_id % 10 <> 0 THEN round(1.0 - top, 6) END AS benign, f.flow_id, f.t_us AS start_us, CASE WHEN f.dport = 80 THEN 'http' END AS app_proto, CAST(f.age_s AS DOUBLE) AS duration, CASE WHEN f.row_id % 10 <> 0 THEN hit.zero_count END AS zero_count,
   CASE WHEN f.row_id % 10 <> 0 THEN hit.dest_key END AS zero_destination, round(CASE WHEN f.row_id % 10 <> 0 THEN hit.zero_rate END, 6) AS zero_rate, f.saddr AS src_ip, f.dport AS dst_port, sbytes + dbytes AS total_bytes, spkts + dpkts AS total_packets, f.row_id % 10 <> 0 AND is_attack AS is_attack,
   CASE WHEN f.row_id % 10 = 0 THEN 'Unknown' WHEN is_attack THEN best_label ELSE 'Benign' END AS predicted_class, hit.row_id IS NOT NULL AND f.row_id % 10 <> 0 AS zero_byte,
   CASE WHEN f.row_id % 10 = 0 OR hit.row_id IS NOT NULL THEN 1 ELSE 0 END AS n_notes, round(CASE WHEN f.row_id % 10 = 0 THEN 0.0 WHEN is_attack THEN top ELSE 1.0 - top END, 6) AS confidence
@@ -191,16 +207,17 @@ FROM flows f JOIN d USING (row_id) LEFT JOIN hit ON hit.row_id = f.row_id"""
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flows(spark, sf_dir)
     detail = F.struct(F.lit("bytes").alias("feature"), F.lit(5.0).alias("value"), F.lit(1.25).alias("z_score"))
-    rows = f.withColumns({"details": F.array_repeat(detail, (F.col("row_id") % 5).cast("int")), "combined_score": (F.col("row_id") % 4) / 4, "src_port": F.lit(None).cast("int"), "app_proto": F.when(F.col("row_id") % 2 == 0, "http")})
+    rows = f.withColumns({"details": F.array_repeat(detail, (F.col("row_id") % 5).cast("int")), "combined_score": (F.col("row_id") % 4) / 4, "src_port": F.lit(None).cast("int"), "ts": F.when(F.col("row_id") % 7 != 0, F.timestamp_micros("t_us")), "app_proto": F.when(F.col("row_id") % 2 == 0, "http")})
     return alerts.message(rows.withColumnsRenamed({"saddr": "src_ip", "daddr": "dst_ip", "dport": "dst_port"})).select("row_id", "message")
 
 
-MESSAGES = f"""WITH {FLOWS_SQL} SELECT row_id, 'ANOMALY DETECTED' || chr(10) || 'CONNECTION DETAILS:' || chr(10) || 'Source IP: ' || saddr || chr(10) || 'Source Port: Unknown' || chr(10) || 'Destination IP: ' || daddr || chr(10) || 'Destination Port: ' || dport
-  || chr(10) || 'Protocol: ' || proto || CASE WHEN row_id % 2 = 0 THEN chr(10) || 'App Protocol: http' ELSE '' END || chr(10) || 'Anomaly Score: ' || printf('%.4f', (row_id % 4) / 4.0)
-  || CASE WHEN row_id % 5 > 0 THEN chr(10) || 'Statistical Anomalies:' || repeat(chr(10) || '- bytes: 5.0 (z-score: 1.25)', least(row_id % 5, 3)::INT) ELSE '' END AS message FROM flows"""
+_WHEN = "CASE WHEN row_id % 7 <> 0 THEN strftime(TIMESTAMP '1970-01-01' + to_microseconds(t_us), '%Y-%m-%d %H:%M:%S') ELSE 'Unknown' END"
+MESSAGES = f"""WITH {FLOWS_SQL} SELECT row_id, chr(9888) || chr(65039) || ' ANOMALY DETECTED ' || chr(9888) || chr(65039) || chr(10) || chr(10) || 'Time: ' || {_WHEN} || chr(10) || repeat('-', 40) || chr(10) || 'CONNECTION DETAILS:' || chr(10) || 'Source IP: ' || saddr || chr(10) || 'Source Port: Unknown' || chr(10) || 'Destination IP: ' || daddr || chr(10) || 'Destination Port: ' || dport
+  || chr(10) || 'Protocol: ' || proto || CASE WHEN row_id % 2 = 0 THEN chr(10) || 'App Protocol: http' ELSE '' END || chr(10) || chr(10) || 'Anomaly Score: ' || printf('%.4f', (row_id % 4) / 4.0)
+  || CASE WHEN row_id % 5 > 0 THEN chr(10) || chr(10) || 'Statistical Anomalies:' || repeat(chr(10) || '- bytes: 5.0 (z-score: 1.25)', least(row_id % 5, 3)::INT) ELSE '' END || chr(10) || chr(10) || 'Alert generated at ' || {_WHEN} AS message FROM flows"""
 
 QUERIES = {
     "sessions": (session_rows, SESSION_ROWS), "session_app_features": (session_features, SESSION_FEATURES), "session_app_info": (session_info, SESSION_INFO), "session_fallback_features": (session_fallback, SESSION_FALLBACK),
     "session_statistics": (session_statistics, SESSION_STATISTICS), "newest_sessions": (newest_sessions, NEWEST_SESSIONS), "session_lookup": (session_lookup, SESSION_LOOKUP), "zero_byte_bursts": (zero_bytes, ZERO_BYTES),
-    "alert_cooldown": (passed_alerts, PASSED_ALERTS), "alert_log": (alert_log, ALERT_LOG), "result_log": (result_log, RESULT_LOG), "alert_texts": (alert_texts, ALERT_TEXTS), "finalized_sessions": (finalized, FINALIZED), "alert_messages": (messages, MESSAGES),
+    "alert_cooldown": (passed_alerts, PASSED_ALERTS), "alert_log": (alert_log, ALERT_LOG), "result_log": (result_log, RESULT_LOG), "alert_texts": (alert_texts, ALERT_TEXTS), "alert_numbers": (alert_numbers, ALERT_NUMBERS), "finalized_sessions": (finalized, FINALIZED), "alert_messages": (messages, MESSAGES),
 }
