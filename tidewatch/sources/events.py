@@ -13,6 +13,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Lines of files that land in ``folder``, in rotated pieces, as a stream.
 
-    A growing file is not tailed: start on an empty landing folder for "from now on".
+    For a file that grows in place see ``tail.tail_lines``.
     """
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)

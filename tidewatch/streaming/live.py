@@ -41,6 +41,43 @@ def write_json(found: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return alerts.log_rows(found).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
 
 
+def replacing(path: str, form: str = "json") -> Callable[[DataFrame, int], None]:
+    """A writer for ``write_batches`` that replaces the folder of its batch id, so that a batch
+    run again after a failure leaves one copy.  Readers see the id as the column ``batch``."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.format(form).mode("overwrite").save(f"{path.rstrip('/')}/batch={number}")
+
+    return write
+
+
+def count_late(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them and were left out, in all
+    progress reports that the query still holds."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for s in p["stateOperators"])
+
+
+def split_late(time: str, delay_s: float, state: str, ready: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A writer for ``write_batches`` that gives rows more than ``delay_s`` behind the latest
+    time of earlier batches to ``late``, all others to ``ready``.
+
+    The latest time of each batch is written below ``state``, so a batch that is run again
+    is split as before.  Rows without a time are not late.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        newest = rows.agg(F.lit(number).cast("long").alias("number"), F.max(time).alias("newest"))
+        newest.write.mode("overwrite").parquet(f"{state.rstrip('/')}/batch={number}")
+        seen = spark.read.schema("number long, newest timestamp").parquet(f"{state.rstrip('/')}/batch=*").filter(F.col("number") < number)
+        limit = seen.agg(F.max("newest").alias("m")).select((F.col("m") - F.make_dt_interval(secs=F.lit(delay_s))).alias("m")).first()["m"]
+        behind = F.coalesce(F.col(time) < F.lit(limit), F.lit(False)) if limit is not None else F.lit(False)
+        ready(rows.filter(~behind), number)
+        late(rows.filter(behind), number)
+
+    return write
+
+
 def write_batches(found: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """``write(batch, id)`` for each batch; idempotent if it replaces what the id wrote."""
     return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
