@@ -44,6 +44,38 @@ def test_session_stream_equals_batch_in_all_columns(spark, tmp_path):
     assert max(len(r["http_methods"]) for r in got) > 1 and max(r["flow_event_count"] for r in got) > 1
 
 
+def test_totals_are_observed_while_sessions_pass(spark):
+    from pyspark.sql import Observation
+
+    rows = [event(random.Random(3), i, i) for i in range(40)]
+    built = batch.build(parse.decode(spark.createDataFrame(rows, "row_id long, value string")), "row_id", 60)
+    seen = Observation("s")
+    built.observe(seen, *batch._totals()).count()
+    batch.observed(built).count()
+    assert seen.get == batch.statistics(built).first().asDict()
+
+
+def test_zero_byte_pairs_are_forgotten_in_stream_and_batch(spark, tmp_path):
+    from tidewatch.operators import alerts
+    from tidewatch.streaming import stateful
+
+    rng = random.Random(9)
+    rows = [(i, t * S, rng.choice(["a", None]), "d", 1, "TCP", 0, 0) for i, t in enumerate(rng.sample(range(1, 400), 60))]
+    schema = "row_id long, t_us long, saddr string, daddr string, dport int, proto string, total_fwd_bytes long, total_bwd_bytes long"
+    end = [(1000 + i, (10_000 + i) * S, "z", "d", 1, "TCP", 0, 0) for i in range(2)]
+    got = run(spark, tmp_path, [rows[:30], rows[30:], end[:1], end[1:]], schema, lambda s: stateful.zero_byte_bursts(s, "2000 seconds", 12))
+    want = alerts.zero_byte_bursts(spark.createDataFrame(rows, schema), forget_s=12)
+    key = lambda r: (r["row_id"], r["zero_count"], round(r["zero_rate"], 6), r["zero_detected"])
+    assert sorted(key(r) for r in got if r["row_id"] < 1000) == sorted(map(key, want.collect()))
+    counts = {r["row_id"]: r["zero_count"] for r in want.collect()}
+    for source in ("a", None):  # by hand
+        last, n = None, 0
+        for i, t, *_ in sorted((r for r in rows if r[2] == source), key=lambda r: r[1]):
+            n = 1 if last is None or t - last > 12 * S else n + 1
+            last = t
+            assert counts[i] == n
+
+
 SCHEMA = "row_id long, t_us long, saddr string, daddr string, dport int, proto string, state string, appproto string, is_complete boolean, total_fwd_bytes long, total_bwd_bytes long, total_fwd_packets long, total_bwd_packets long, http_event_count int, http_status_codes array<string>, dns_event_count int, dns_answers array<string>, tls_event_count int, ssh_event_count int"
 
 

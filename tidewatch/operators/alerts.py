@@ -14,26 +14,30 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import COOLDOWN_S, SIGNATURE_CLASS, ZERO_BYTE_COUNT, ZERO_BYTE_RATE
 from ..functions.lineage import cut
-from .behavior import running
+from .behavior import idle_epochs, running
 from .whitelist import loud_alerts
 
 SECOND = 1_000_000
 ALERT_KEY = ["src_ip", "dst_ip", "dst_port", "predicted_class"]
 
 
-def zero_byte_bursts(sessions: DataFrame, least: int = ZERO_BYTE_COUNT, rate: float = ZERO_BYTE_RATE) -> DataFrame:
+def zero_byte_bursts(sessions: DataFrame, least: int = ZERO_BYTE_COUNT, rate: float = ZERO_BYTE_RATE, forget_s: float | None = None) -> DataFrame:
     """Sessions without bytes, numbered per (source, destination:port:protocol).
 
     Adds dest_key, zero_count, zero_rate (per second since the first, at least 0.001 s)
     and zero_detected.  Needs t_us and row_id.  Counts are running sums in blocks of time.
+    With ``forget_s`` a destination that is silent for longer is counted anew.
     """
     quiet = sessions.filter(F.coalesce("total_fwd_bytes", F.lit(0)) + F.coalesce("total_bwd_bytes", F.lit(0)) <= 0)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     keyed = quiet.withColumn("dest_key", F.concat_ws(":", text("daddr"), text("dport"), text("proto")))
     source = F.coalesce(F.concat(F.lit("="), F.col("saddr")), F.lit(""))
-    counted = running(keyed.withColumn("_source", source), {"zero_count": F.lit(1).cast("long")}, ["_source", "dest_key"], order=["t_us", "row_id"], least={"_first": F.col("t_us")})
+    keyed, keys = keyed.withColumn("_source", source), ["_source", "dest_key"]
+    if forget_s is not None:
+        keyed, keys = idle_epochs(keyed, keys, int(forget_s * SECOND), "_epoch"), [*keys, "_epoch"]
+    counted = running(keyed, {"zero_count": F.lit(1).cast("long")}, keys, order=["t_us", "row_id"], least={"_first": F.col("t_us")})
     since = F.greatest((F.col("t_us") - F.col("_first")) / SECOND, F.lit(0.001))
-    counted = counted.withColumn("zero_rate", F.col("zero_count") / since).drop("_source", "_first")
+    counted = counted.withColumn("zero_rate", F.col("zero_count") / since).drop("_source", "_first", "_epoch")
     return counted.withColumn("zero_detected", (F.col("zero_count") >= least) & (F.col("zero_rate") > rate))
 
 

@@ -88,17 +88,25 @@ def _distinct_steps(rows: DataFrame, value: str, us: int, name: str) -> DataFram
     return steps.filter("s is not null").select("saddr", "s.*")
 
 
-def source_epochs(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
-    """``epoch`` of a source: lifetime counters start anew after more than the window
-    without sessions.  (An exact idle gap; there is no periodic sweep.)
+def idle_epochs(rows: DataFrame, keys: Sequence[str], us: int, name: str = "epoch") -> DataFrame:
+    """``name``: how many times the key was silent for more than ``us`` before the row.
 
-    A longer gap lies between two cells of the window's length, so a source's cells decide.
+    A longer gap lies between two cells of that length, so a key's cells decide.
     """
-    us = window_s * SECOND
-    w = Window.partitionBy("saddr").orderBy("cell")
+    w = Window.partitionBy(*keys).orderBy("cell")
     idle = F.coalesce(F.col("first") - F.lag("last").over(w) > us, F.lit(False)).cast("int")
-    numbered = cells(sessions, ["saddr"], us).withColumn("_idle", idle).select(F.col("saddr").alias("_of"), "cell", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("epoch"))
-    return sessions.join(numbered, F.col("saddr").eqNullSafe(F.col("_of")) & (F.floor(F.col("t_us") / us) == F.col("cell"))).drop("_of", "cell")
+    of = [F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)]
+    numbered = cells(rows, keys, us).withColumn("_idle", idle).select(*of, "cell", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    same = F.floor(F.col("t_us") / us) == F.col("cell")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_of{i}"))
+    return rows.join(numbered, same).drop("cell", *[f"_of{i}" for i in range(len(keys))])
+
+
+def source_epochs(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
+    """``epoch`` of a source: lifetime counters start anew after more than the window
+    without sessions.  (An exact idle gap; there is no periodic sweep.)"""
+    return idle_epochs(sessions, ["saddr"], window_s * SECOND)
 
 
 def _brute_levels(rows: DataFrame, window_us: int) -> DataFrame:

@@ -107,11 +107,21 @@ def by_destination_port(sessions: DataFrame, port: int) -> DataFrame:
     return sessions.filter(F.col("dport") == port)
 
 
-def statistics(sessions: DataFrame) -> DataFrame:
-    """Totals; sessions neither closed by a flow event count as expired."""
-    return sessions.agg(
-        F.count("*").alias("total_sessions"),
-        F.count_if("closed").alias("closed_sessions"),
+def _totals() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("total_sessions"),
+        F.count_if(F.col("closed")).alias("closed_sessions"),
         F.count_if(~F.col("closed")).alias("expired_sessions"),
         *[F.coalesce(F.sum(f"{k}_event_count"), F.lit(0)).alias(f"{k}_events") for k in ("flow", "http", "dns", "tls", "ssh", "file")],
-    )
+    ]
+
+
+def statistics(sessions: DataFrame) -> DataFrame:
+    """Totals; sessions neither closed by a flow event count as expired."""
+    return sessions.agg(*_totals())
+
+
+def observed(sessions: DataFrame, name: str = "sessions") -> DataFrame:
+    """A13 of a running query: the same totals as observed metrics ``name``, in each batch's
+    progress (``observedMetrics``) or through an ``Observation``; no further pass."""
+    return sessions.observe(name, *_totals())

@@ -82,8 +82,8 @@ eve AS (
   FROM flows)"""
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixed events, four to a flow id: http, dns, tls or ssh, then flow (or a file)."""
+def event_lines(spark: SparkSession, sf_dir: str, each: int = 4) -> DataFrame:
+    """Mixed events, ``each`` to a flow id: http, dns, tls or ssh, then flow (or a file), and again."""
     i = F.col("row_id")
     f = flows(spark, sf_dir).withColumn(
         "kind", F.when(i % 16 == 15, "fileinfo").when(i % 4 == 0, "http").when(i % 4 == 1, "dns").when(i % 8 == 2, "tls").when(i % 8 == 6, "ssh").otherwise("flow")
@@ -93,7 +93,7 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.date_format(F.timestamp_micros("t_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXX")
     answers = F.struct(F.when(i % 3 == 0, F.array(F.lit("c.example"))).alias("CNAME"), F.when(i % 2 == 1, F.array(F.col("daddr"))).alias("A"))
     line = F.to_json(F.struct(
-        F.col("kind").alias("event_type"), when.alias("timestamp"), F.expr("row_id div 4").alias("flow_id"), F.col("saddr").alias("src_ip"), F.lit(40000).alias("src_port"),
+        F.col("kind").alias("event_type"), when.alias("timestamp"), F.expr(f"row_id div {each}").alias("flow_id"), F.col("saddr").alias("src_ip"), F.lit(40000).alias("src_port"),
         F.col("daddr").alias("dest_ip"), F.col("dport").alias("dest_port"), "proto",
         only("flow", F.col("age_s").alias("age"), F.col("state").alias("state"), F.col("spkts").alias("pkts_toserver"), F.col("dpkts").alias("pkts_toclient"), F.col("sbytes").alias("bytes_toserver"), F.col("dbytes").alias("bytes_toclient")).alias("flow"),
         only("http", F.when(i % 3 == 0, "POST").otherwise("GET").alias("http_method"), F.lit("h.example").alias("hostname"), F.concat(F.lit("/p"), (i % 7).cast("string")).alias("url"), status.alias("status"), F.col("sbytes").alias("length")).alias("http"),

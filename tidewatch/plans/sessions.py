@@ -103,6 +103,37 @@ def session_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SESSION_LOOKUP = f"WITH {_SESSIONS} SELECT uid, epoch, 'source' AS found FROM sessions WHERE saddr = '192.168.0.3' UNION ALL SELECT uid, epoch, 'port' FROM sessions WHERE dport = 443"
 
 
+EACH = 24  # events of a flow id, several of them flows, in sessions that never expire
+_LISTED = ["http_methods", "http_status_codes", "http_hosts", "http_uris", "dns_queries", "dns_answers", "tls_sni", "tls_versions", "ssh_client_versions", "ssh_server_versions"]
+
+
+def busy_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2-A6 where they matter: several flows with other figures each, and many values of each list."""
+    s = ops.build(parse.decode(event_lines(spark, sf_dir, EACH)), "row_id", 1e9)
+    figures = ["uid", "epoch", "state", "appproto", "closed", "total_fwd_packets", "total_bwd_packets", "total_fwd_bytes", "total_bwd_bytes", "flow_event_count", "http_event_count"]
+    return rounded(s.select(*figures, "duration", *[F.array_join(c, ",").alias(c) for c in _LISTED]), *figures, *_LISTED, duration="duration")
+
+
+_LIST_VALUES = {
+    "http_methods": ("http", "method"), "http_status_codes": ("http", "status"), "http_hosts": ("http", "'h.example'"), "http_uris": ("http", "'/p' || (row_id % 7)"), "dns_queries": ("dns", "'q' || (row_id % 5) || '.example'"),
+    "tls_sni": ("tls", "'s' || (row_id % 4)"), "tls_versions": ("tls", "'TLS 1.2'"), "ssh_client_versions": ("ssh", "'c' || (row_id % 3)"), "ssh_server_versions": ("ssh", "'OpenSSH'"),
+}
+BUSY_SESSIONS = f"""WITH {EVENTS_SQL},
+own AS (SELECT * REPLACE (CAST(row_id // {EACH} AS VARCHAR) AS uid), row_number() OVER (ORDER BY t_us, row_id) * 2 AS o, kind = 'flow' AND state IN ('closed', 'established', 'fin', 'rst') AS closes FROM eve),
+numbered AS (SELECT *, CAST(coalesce(sum(closes::INT) OVER (PARTITION BY uid ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS epoch FROM own),
+merged AS (SELECT uid, epoch, coalesce(last(state ORDER BY o) FILTER (kind = 'flow'), '') AS state, coalesce(first(kind ORDER BY o) FILTER (kind IN ('http', 'dns', 'tls', 'ssh')), '') AS appproto, last(closes ORDER BY o) AS closed,
+  coalesce(last(age_s ORDER BY o) FILTER (kind = 'flow' AND age_s <> 0), 0) AS age, coalesce(last(spkts ORDER BY o) FILTER (kind = 'flow'), 0) AS fp, coalesce(last(dpkts ORDER BY o) FILTER (kind = 'flow'), 0) AS bp,
+  coalesce(last(sbytes ORDER BY o) FILTER (kind = 'flow'), 0) AS fb, coalesce(last(dbytes ORDER BY o) FILTER (kind = 'flow'), 0) AS bb, count(*) FILTER (kind = 'flow') AS flow_n, count(*) FILTER (kind = 'http') AS http_n,
+  least(min(t_us) FILTER (kind = 'flow'), CASE WHEN first(kind ORDER BY o) <> 'flow' THEN min(t_us) END) AS start_us, max(t_us) FILTER (kind = 'flow') AS end_us FROM numbered GROUP BY uid, epoch),
+vals AS ({" UNION ALL ".join(f"SELECT uid, epoch, '{n}' AS name, {v} AS v, o FROM numbered WHERE kind = '{k}'" for n, (k, v) in _LIST_VALUES.items())}
+  UNION ALL SELECT uid, epoch, 'dns_answers', 'c.example', o FROM numbered WHERE row_id % 24 = 9 UNION ALL SELECT uid, epoch, 'dns_answers', daddr, o + 1 FROM numbered WHERE row_id % 8 = 1),
+firsts AS (SELECT uid, epoch, name, v, min(o) AS o FROM vals GROUP BY ALL),
+lists AS (SELECT uid, epoch, {", ".join(f"coalesce(string_agg(v, ',' ORDER BY o) FILTER (name = '{n}'), '') AS {n}" for n in _LISTED)} FROM firsts GROUP BY uid, epoch)
+SELECT m.uid, m.epoch, state, appproto, closed, fp AS total_fwd_packets, bp AS total_bwd_packets, fb AS total_fwd_bytes, bb AS total_bwd_bytes, flow_n AS flow_event_count, http_n AS http_event_count,
+  round(CASE WHEN age <> 0 THEN CAST(age AS DOUBLE) ELSE coalesce((end_us - start_us) / 1e6, 0.0) END, 6) AS duration, {", ".join(f"coalesce({n}, '') AS {n}" for n in _LISTED)}
+FROM merged m LEFT JOIN lists l ON l.uid = m.uid AND l.epoch = m.epoch"""
+
+
 def as_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = flows(spark, sf_dir)
     return f.withColumnsRenamed({"spkts": "total_fwd_packets", "dpkts": "total_bwd_packets", "sbytes": "total_fwd_bytes", "dbytes": "total_bwd_bytes"})
@@ -217,7 +248,7 @@ MESSAGES = f"""WITH {FLOWS_SQL} SELECT row_id, chr(9888) || chr(65039) || ' ANOM
   || CASE WHEN row_id % 5 > 0 THEN chr(10) || chr(10) || 'Statistical Anomalies:' || repeat(chr(10) || '- bytes: 5.0 (z-score: 1.25)', least(row_id % 5, 3)::INT) ELSE '' END || chr(10) || chr(10) || 'Alert generated at ' || {_WHEN} AS message FROM flows"""
 
 QUERIES = {
-    "sessions": (session_rows, SESSION_ROWS), "session_app_features": (session_features, SESSION_FEATURES), "session_app_info": (session_info, SESSION_INFO), "session_fallback_features": (session_fallback, SESSION_FALLBACK),
+    "busy_sessions": (busy_sessions, BUSY_SESSIONS), "sessions": (session_rows, SESSION_ROWS), "session_app_features": (session_features, SESSION_FEATURES), "session_app_info": (session_info, SESSION_INFO), "session_fallback_features": (session_fallback, SESSION_FALLBACK),
     "session_statistics": (session_statistics, SESSION_STATISTICS), "newest_sessions": (newest_sessions, NEWEST_SESSIONS), "session_lookup": (session_lookup, SESSION_LOOKUP), "zero_byte_bursts": (zero_bytes, ZERO_BYTES),
     "alert_cooldown": (passed_alerts, PASSED_ALERTS), "alert_log": (alert_log, ALERT_LOG), "result_log": (result_log, RESULT_LOG), "alert_texts": (alert_texts, ALERT_TEXTS), "alert_numbers": (alert_numbers, ALERT_NUMBERS), "finalized_sessions": (finalized, FINALIZED), "alert_messages": (messages, MESSAGES),
 }

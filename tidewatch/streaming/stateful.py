@@ -34,13 +34,21 @@ class Cooldown(Ordered):
 
 
 class ZeroBytes(Ordered):
-    """Count and first time of sessions without bytes."""
+    """Count and first time of sessions without bytes, forgotten after a silence if one is given."""
 
     columns = ["row_id", "t_us", "zero_count", "zero_rate", "zero_detected"]
 
+    def __init__(self, forget_s: float | None = None):
+        self.forget = None if forget_s is None else int(forget_s * SECOND)
+
+    def deadline(self, state: Any) -> int | None:
+        return None if self.forget is None else (state["last"] + self.forget) // 1000 + 1
+
     def fold(self, state: Any, row: dict) -> tuple[Any, list[dict]]:
+        if state is not None and self.forget is not None and row["t_us"] - state["last"] > self.forget:
+            state = None
         state = state or {"n": 0, "first": row["t_us"]}
-        state["n"] += 1
+        state |= {"n": state["n"] + 1, "last": row["t_us"]}
         rate = state["n"] / max((row["t_us"] - state["first"]) / SECOND, 0.001)
         found = state["n"] >= ZERO_BYTE_COUNT and rate > ZERO_BYTE_RATE
         return state, [row | {"zero_count": state["n"], "zero_rate": rate, "zero_detected": found}]
@@ -89,11 +97,11 @@ def cooldown(alerts: DataFrame, key: list[str], seconds: float = COOLDOWN_S, del
     return passed.unionByName(alerts.filter("t_us is null"))
 
 
-def zero_byte_bursts(sessions: DataFrame, delay: str = "30 seconds") -> DataFrame:
-    """W13 for sessions without bytes."""
+def zero_byte_bursts(sessions: DataFrame, delay: str = "30 seconds", forget_s: float | None = None) -> DataFrame:
+    """W13 for sessions without bytes.  Without ``forget_s`` every pair seen stays in state."""
     key = ["saddr", "daddr", "dport", "proto"]
     quiet = sessions.filter(F.coalesce("total_fwd_bytes", F.lit(0)) + F.coalesce("total_bwd_bytes", F.lit(0)) <= 0)
-    return _run(quiet.select("t_us", "row_id", *key), key, ZeroBytes(), "row_id long, t_us long, zero_count long, zero_rate double, zero_detected boolean", delay)
+    return _run(quiet.select("t_us", "row_id", *key), key, ZeroBytes(forget_s), "row_id long, t_us long, zero_count long, zero_rate double, zero_detected boolean", delay)
 
 
 def sessions(events: DataFrame, timeout_s: float = SESSION_TIMEOUT_S, delay: str = "30 seconds") -> DataFrame:
