@@ -37,6 +37,19 @@ def test_folder_union_skips_files_without_label(spark, tmp_path):
     assert flow_csv.task_paths(spark, str(tmp_path), {"DoS": "a.csv", "PortScan": "none.csv"}).keys() == {"DoS"}
 
 
+def test_files_of_equal_headers_share_a_reader(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"{k}.csv").write_text(" Flow Duration,Flow Bytes/s, Label\n" + "".join(f"{k}{i},Infinity,BENIGN\n x,NaN,DDoS\n" for i in range(3)))
+    (tmp_path / "other.csv").write_text("Label,Flow Duration\nDDoS,7.5\n")
+    (tmp_path / "empty.csv").write_text("")
+    df = flow_csv.read_folder(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation") == 2 and dict(df.dtypes)["duration"] == "double"
+    rows = df.collect()
+    assert len(rows) == 25 and sorted(r["duration"] for r in rows if r["duration"] is not None) == sorted([float(f"{k}{i}") for k in range(4) for i in range(3)] + [7.5])
+    assert sum(r["flow_bytes_per_sec"] == float("inf") for r in rows) == 12
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "x.json").write_text("a\nb\n")
     assert events.read_lines(spark, str(tmp_path)).count() == 2
