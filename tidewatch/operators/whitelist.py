@@ -63,32 +63,34 @@ def _always(address: Column) -> Column:
     return F.coalesce(F.substring(address, 1, 3).isin("ff0") | F.substring(address, 1, 4).isin("fe80"), F.lit(False))
 
 
-def _matches(flows: DataFrame, rules: DataFrame, how: str) -> DataFrame:
-    """Range join by /16 blocks: an equi-join on the block, the range as a further condition.
+def _listed(flows: DataFrame, rules: DataFrame) -> tuple[DataFrame, Column]:
+    """``flows`` with _ip and _cell, and whether a rule covers a flow: a range join by /16 blocks.
 
-    A rule is copied to each /16 that it touches, so the plan is a hash or merge join
-    for any number of rules, and adaptive execution broadcasts the rules while they are small.
+    A rule is copied to each /16 that it touches, so the plan is one hash or merge join on
+    the block with the range as a further condition, for any number of rules, and adaptive
+    execution broadcasts the rules while they are small.  Flows are read once.
     """
     cells = rules.select("lo", "hi", "ports", "protos", F.explode(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16))).alias("rule_cell"))
-    condition = (
-        (F.col("_cell") == F.col("rule_cell")) & F.col("_ip").between(F.col("lo"), F.col("hi"))
-        & ((F.size("ports") == 0) | F.array_contains("ports", F.col("dport")))
-        & ((F.size("protos") == 0) | F.array_contains("protos", F.col("proto")))
-    )
     numbered = flows.withColumn("_ip", ipv4(F.col("daddr"))).withColumn("_cell", F.shiftright("_ip", 16))
-    return numbered.join(cells, condition, how).drop("_ip", "_cell")
+    outer = lambda c: F.col(c).outer()
+    covers = (
+        (outer("_cell") == F.col("rule_cell")) & outer("_ip").between(F.col("lo"), F.col("hi"))
+        & ((F.size("ports") == 0) | F.array_contains(F.col("ports"), outer("dport")))
+        & ((F.size("protos") == 0) | F.array_contains(F.col("protos"), outer("proto")))
+    )
+    return numbered, _always(F.col("daddr")) | cells.where(covers).exists()
 
 
 def drop_whitelisted(flows: DataFrame, rules: DataFrame) -> DataFrame:
     """F8: flows (daddr, dport, proto) to no whitelisted service."""
-    return _matches(flows.filter(~_always(F.col("daddr"))), rules, "left_anti")
+    numbered, listed = _listed(flows, rules)
+    return numbered.where(~listed).drop("_ip", "_cell")
 
 
 def mark_whitelisted(flows: DataFrame, rules: DataFrame) -> DataFrame:
     """F8 as a column ``whitelisted``."""
-    rest, always = flows.filter(~_always(F.col("daddr"))), flows.filter(_always(F.col("daddr")))
-    yes = always.unionByName(_matches(rest, rules, "left_semi")).withColumn("whitelisted", F.lit(True))
-    return yes.unionByName(_matches(rest, rules, "left_anti").withColumn("whitelisted", F.lit(False)))
+    numbered, listed = _listed(flows, rules)
+    return numbered.withColumn("whitelisted", listed).drop("_ip", "_cell")
 
 
 def drop_sources(flows: DataFrame, local: Iterable[str] | DataFrame) -> DataFrame:

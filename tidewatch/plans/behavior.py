@@ -87,6 +87,21 @@ BEHAVIOR_FEATURES = f"""WITH {_LIFE} SELECT row_id, saddr, epoch, total_flows, u
   round(CAST(rej AS DOUBLE) / total_flows, 9) AS rejected_ratio, round(CAST(rst AS DOUBLE) / total_flows, 9) AS reset_ratio FROM rate"""
 
 
+STRETCH = 60  # so far apart many sessions of a source come more than 300 s after the last
+
+
+def source_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W11 where sources do fall silent: the epoch of each session and the counters that start anew with it."""
+    stretched = ops.auth_failures(as_sessions(spark, sf_dir)).withColumn("t_us", F.col("t_us") * STRETCH)
+    counted = ops.lifetime(ops.source_epochs(stretched))
+    return counted.select("row_id", "saddr", "epoch", "total_flows", "unique_dst_ports", "first_seen_us")
+
+
+SOURCE_EPOCHS = f"""WITH {FLOWS_SQL}, s AS (SELECT *, t_us * {STRETCH} AS t FROM flows), idle AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY saddr ORDER BY t, row_id) > 300000000 THEN 1 ELSE 0 END AS gap FROM s),
+ep AS (SELECT *, CAST(sum(gap) OVER (PARTITION BY saddr ORDER BY t, row_id) AS BIGINT) AS epoch FROM idle)
+SELECT row_id, saddr, epoch, count(*) OVER w AS total_flows, count(DISTINCT dport) OVER w AS unique_dst_ports, min(t) OVER w AS first_seen_us FROM ep WINDOW w AS (PARTITION BY saddr, epoch ORDER BY t, row_id ROWS UNBOUNDED PRECEDING)"""
+
+
 def scored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.scores(ops.window_figures(ops.auth_failures(as_sessions(spark, sf_dir))))
 
@@ -161,6 +176,7 @@ COARSE_WINDOWS = f"""WITH {FLOWS_SQL}, w AS (SELECT saddr, sbytes, spkts, unnest
 SELECT start_us, saddr, sum(sbytes)::BIGINT AS window_bytes, sum(spkts)::BIGINT AS window_packets FROM w GROUP BY 1, 2"""
 
 QUERIES = {
+    "source_epochs": (source_epochs, SOURCE_EPOCHS),
     "scan_alerts": (scan_alerts, SCAN_ALERTS), "behavior_scores": (scores, SCORES), "behavior_features": (behavior_features, BEHAVIOR_FEATURES), "behavior_anomalies": (anomalies, ANOMALIES), "top_sources": (top_sources, TOP_SOURCES),
     "scan_activity": (scan_activity, SCAN_ACTIVITY), "brute_force_activity": (brute_force, BRUTE_FORCE), "source_statistics": (source_statistics, SOURCE_STATISTICS), "source_lookup": (source_lookup, SOURCE_LOOKUP),
     "newest_sources": (newest_sources, NEWEST_SOURCES), "source_counters": (source_counters, SOURCE_COUNTERS), "coarse_windows": (coarse_windows, COARSE_WINDOWS),
