@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -166,6 +167,23 @@ def test_suffix_array_and_automaton_on_small_alphabets():
             assert mine == gone
 
 
+def test_suffix_array_of_runs_and_periods():
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        d = np.tile(rng.integers(0, 3, rng.integers(1, 6)).astype(np.uint8), 12)
+        d = np.repeat(d, rng.integers(1, 9, len(d))) if k % 2 else d
+        assert suffix_dedup.suffix_array(d).tolist() == sorted(range(len(d)), key=lambda i: d[i:].tobytes()), d
+    for d in (b"a" * 2_000_000, b"ab" * 500_000, b"a" * 600_000 + b"b" * 600_000):
+        data = np.frombuffer(d, np.uint8)
+        started = time.process_time()
+        order = suffix_dedup.suffix_array(data)
+        value, before = suffix_dedup.permuted_common_prefixes(data, suffix_dedup.eight_bytes(data), order)
+        assert time.process_time() - started < 5
+        assert np.array_equal(np.sort(order), np.arange(len(data)))
+        for a, b in zip(order[:-1].tolist()[::99_991], order[1:].tolist()[::99_991], strict=True):
+            assert d[a:] < d[b:] and before[b] == a and d[a : a + value[b]] == d[b : b + value[b]] and d[a : a + value[b] + 1] != d[b : b + value[b] + 1]
+
+
 def test_quality_rules(table, docs, empty):
     out = quality_rules.host_quality_rules(table)
     assert by_id(out, *quality_rules.FIGURES, "base_failed") == {i: brute.rule_figures(t) for i, t in docs}
