@@ -8,12 +8,13 @@ import zlib
 from collections import defaultdict
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewatch.llm import anchors, bpe, exact_dedup, kneser_ney, line_dedup, ngram_join, packing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup
+from tidewatch.llm import anchors, bpe, exact_dedup, kneser_ney, line_dedup, ngram_join, oracle, packing, quality_classifier, quality_rules, queries, sharding, substring_dedup, suffix_dedup
 from tidewatch.llm.queries import VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, h int, shard string, kept string, bucket int"
@@ -197,6 +198,57 @@ def test_bad_hosts_take_their_documents_along(spark):
     assert out[500] == (False, False) and out[501] == (False, True) and out[502] == (True, False) and out[3] == (False, True)
 
 
+def test_hosts_fall_by_any_rule_and_rates_equal_plain_python(spark, tmp_path):
+    """One host of symbols, one of repeated lines, both beyond the base rules; the rest fail at random."""
+    rng, rows = random.Random(4), []
+    for i in range(900):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((60, 60, 60, 60, 20)))]
+        host = rng.choice(("a", "a", "a", "b", "c", "symbols", "lines", None))
+        if host == "symbols" and rng.random() < 0.9 or rng.random() < 0.03:
+            words[::5] = ["#x"] * len(words[::5])
+        lines = [" ".join(words[k : k + 10]) for k in range(0, len(words), 10)]
+        if host == "lines" and rng.random() < 0.8:
+            lines += [words[0]] * 5
+        rows.append((i, "\n".join(lines), host))
+    rows += [(900, None, "b"), (901, "", "c"), (901, "", "c"), (902, "w " * 60, "only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    fails = {name: [] for name in quality_rules.RULES}
+    for _, text, host in rows:
+        n, chars, symbols, dup_lines, repeats, _ = brute.rule_figures(text)
+        n_lines = sum(bool(brute.words(x)) for x in (text or "").split("\n"))
+        found = {"few_words": n < 50, "repeats": repeats > 0.5 * n, "symbols": symbols > 0.1 * n, "short_words": chars < 2 * n, "dup_lines": 10 * dup_lines > 3 * n_lines}
+        for name in fails:
+            if host is not None:
+                fails[name].append((host, found[name]))
+    want, bad = {}, set()
+    for name, pairs in fails.items():
+        hosts = defaultdict(list)
+        for host, f in pairs:
+            hosts[host].append(f)
+        n, mean = len(pairs), sum(f for _, f in pairs) / len(pairs)
+        scatter = sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in hosts.values()) - (len(hosts) - 1) * mean * (1 - mean)
+        share = n - sum(len(x) ** 2 for x in hosts.values()) / n - (len(hosts) - 1)
+        weight = min(1000.0, max(1.0, mean * (1 - mean) * share / scatter - 1)) if scatter > 1e-9 * n else 1000.0
+        for host, x in hosts.items():
+            rate = (sum(x) + mean * weight) / (len(x) + weight)
+            want[host, name] = rate
+            if rate - 2 * math.sqrt(rate * (1 - rate) / (len(x) + weight + 1)) > min(2 * mean, (1 + mean) / 2):
+                bad.add(host)
+    assert bad == {"symbols", "lines"}
+    out = quality_rules.host_quality_rules(docs).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        for name in quality_rules.RULES:
+            assert r[f"rate_{name}"] is None if r["host"] is None else math.isclose(r[f"rate_{name}"], want[r["host"], name], abs_tol=1e-9)
+        assert r["kept"] == (not r["base_failed"] and r["host"] not in bad)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.sql(oracle.OP6)
+    got = queries.op6_quality_rules(spark, str(tmp_path)).select(sql.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(sql.fetchall()) and sum(not r["kept"] and not r["base_failed"] for r in got) > 100
+
+
 def test_bpe_equals_the_library_and_decodes(table, docs, empty):
     library = Tokenizer.from_file(VOCABULARY)
     got = by_id(bpe.encode(table, VOCABULARY), "token_ids", "decoded")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import DEVIATIONS, TIMES_MEAN
+from .quality_rules import DEVIATIONS, RULES, TIMES_MEAN
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
@@ -25,6 +25,7 @@ each AS (SELECT doc_id, j, ws[j] AS x FROM (SELECT doc_id, ws, unnest(range(1, l
 kept AS (SELECT e.doc_id, count(g.j) AS n_removed, string_agg(x, ' ' ORDER BY e.j) FILTER (g.j IS NULL) AS t FROM each e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.j = e.j GROUP BY e.doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
 
+_FAILS = " UNION ALL ".join(f"SELECT '{name}' AS rule, source, {rule} AS fails FROM e" for name, rule in RULES.items())
 OP6 = f"""WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS ws FROM documents),
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 2], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
@@ -32,12 +33,15 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i
 f AS (SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed) AS failed FROM b WHERE source IS NOT NULL GROUP BY source),
-m AS (SELECT sum(failed)::DOUBLE / sum(docs) AS mean, sum(failed * failed / docs::DOUBLE) / sum(docs) - pow(sum(failed)::DOUBLE / sum(docs), 2) AS spread FROM h),
-k AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(1000.0, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE 1000.0 END AS weight FROM m),
-r AS (SELECT source, docs, weight, mean, (failed + mean * weight) / (docs + weight) AS rate FROM h, k),
-v AS (SELECT source, rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (docs + weight + 1)) <= least({TIMES_MEAN} * mean, (1 + mean) / 2) AS ok FROM r)
-SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept FROM b LEFT JOIN v USING (source)"""
+e AS (SELECT *, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM b),
+fails AS ({_FAILS}),
+h AS (SELECT rule, source, count(*)::DOUBLE AS docs, count(*) FILTER (fails)::DOUBLE AS failed FROM fails WHERE source IS NOT NULL GROUP BY rule, source),
+m AS (SELECT rule, sum(docs) AS n, sum(docs * docs) AS sq, count(*) AS hosts, sum(failed) / sum(docs) AS mean, sum(failed * failed / docs) AS ratios FROM h GROUP BY rule),
+x AS (SELECT *, mean * (1 - mean) AS own, ratios - n * mean * mean - (hosts - 1) * mean * (1 - mean) AS extra, n - sq / n - (hosts - 1) AS share FROM m),
+k AS (SELECT *, CASE WHEN share <= 0 OR extra <= 1e-9 * n THEN 1000.0 ELSE least(1000.0, greatest(1.0, own * share / extra - 1)) END AS weight FROM x),
+r AS (SELECT source, docs, weight, mean, (failed + mean * weight) / (docs + weight) AS rate FROM h JOIN k USING (rule)),
+v AS (SELECT source, bool_and(rate - {DEVIATIONS} * sqrt(rate * (1 - rate) / (docs + weight + 1)) <= least({TIMES_MEAN} * mean, (1 + mean) / 2)) AS ok FROM r GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept FROM e LEFT JOIN v USING (source)"""
 
 
 def product_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:

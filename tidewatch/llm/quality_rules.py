@@ -1,9 +1,10 @@
 """Operator 6 - quality rules judged by host.
 
-Every document gets rule figures from one pass over its text.  Failures are summed by
-host, host rates are shrunk towards the mean with a beta prior fitted to the hosts
-themselves, and the host's verdict is joined back to its documents.  A host fails when
-its rate is surely (by its posterior) above a limit that the mean of all documents gives.
+Every document gets rule figures from one pass over its text.  Failures of each rule are
+summed by host, host rates are shrunk towards the rule's mean with a beta prior fitted to
+the hosts themselves, and the verdict is joined back to the host's documents.  A host fails
+when its rate of any rule is surely (by its posterior) above a limit that the mean of all
+documents gives.
 """
 
 from __future__ import annotations
@@ -26,6 +27,15 @@ DEVIATIONS, TIMES_MEAN = 2.0, 2.0
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+COUNTED = [*FIGURES, "n_lines"]
+#: Rules as SQL over the figures (n_lines: lines with a word); the first two are the base.
+RULES = {
+    "few_words": f"n_words < {MIN_WORDS}",
+    "repeats": f"100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "short_words": "word_chars < 2 * n_words",
+    "dup_lines": "10 * n_dup_lines > 3 * n_lines",
+}
 
 
 def repeated_window_words(at: np.ndarray, codes: np.ndarray, size: int = 3) -> np.ndarray:
@@ -45,13 +55,14 @@ def repeated_window_words(at: np.ndarray, codes: np.ndarray, size: int = 3) -> n
     return np.bincount(doc[covered], minlength=len(at) - 1)
 
 
-def repeated_lines(data: np.ndarray, at: np.ndarray) -> list[int]:
-    """Lines with a word that equal an earlier line of the document."""
-    raw, out = data.tobytes(), []
+def repeated_lines(data: np.ndarray, at: np.ndarray) -> tuple[list[int], list[int]]:
+    """Lines with a word that equal an earlier line of the document, and all lines with a word."""
+    raw, out, total = data.tobytes(), [], []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         lines = [x for x in raw[a:b].split(b"\n") if x and not x.isspace()]
         out.append(len(lines) - len(set(lines)))
-    return out
+        total.append(len(lines))
+    return out, total
 
 
 def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,46 +71,70 @@ def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, end, word_at = words(data, at)
         # Prefix sums over bytes: code points (not continuation bytes) outside white space.
         count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
+        dup_lines, lines = repeated_lines(data, at)
         columns = {
             "n_words": np.diff(word_at),
             "word_chars": count(~SPACE[data] & ((data & 0xC0) != 0x80)),
             "n_symbols": count(SYMBOLS[data]),
-            "n_dup_lines": repeated_lines(data, at),
+            "n_dup_lines": dup_lines,
             "n_repeat_words": repeated_window_words(word_at, span_hashes(data, start, end)),
+            "n_lines": lines,
         }
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("host"), *[pa.array(columns[c], pa.int64()) for c in FIGURES]], names=["id", "host", *FIGURES]
+            [batch.column("id"), batch.column("host"), *[pa.array(columns[c], pa.int64()) for c in COUNTED]], names=["id", "host", *COUNTED]
         )
 
 
 def document_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, host, the five figures and base_failed for every row; a null text has no words."""
+    """id, host, the figures and base_failed for every row; a null text has no words."""
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).cast("string").alias("host"))
-    out = read.mapInArrow(figures, "id long, host string, " + ", ".join(f"{c} long" for c in FIGURES))
-    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    out = read.mapInArrow(figures, "id long, host string, " + ", ".join(f"{c} long" for c in COUNTED))
+    return out.withColumn("base_failed", F.expr(RULES["few_words"]) | F.expr(RULES["repeats"]))
 
 
-def host_verdicts(figures: DataFrame, deviations: float = DEVIATIONS, times_mean: float = TIMES_MEAN) -> DataFrame:
-    """host, docs, failed, rate (posterior mean), surely (rate less ``deviations`` of the
-    posterior), host_limit, host_ok; null hosts get none.
+def prior(docs: float, squares: float, hosts: float, failed: float, ratios: float) -> tuple[float, float]:
+    """Mean m and weight of the beta prior of a rule's host rates, by moments.
 
-    The prior Beta(a, b) has the mean m of all documents and the weight m(1-m)/v - 1,
-    v the variance of host rates around m weighted by documents; the weight is kept
-    between 1 and 1000, and is 1000 where hosts do not differ.
+    From the sums over hosts of documents n, n * n, 1, failures f, and f * f / n.  The
+    scatter of the host rates around m, weighted by n, is that of binomial draws, for which
+    m(1-m) a host is taken off, plus that of the true rates: its variance v gives the
+    weight m(1-m)/v - 1, kept between 1 and 1000, and 1000 where draws explain all.
     """
-    hosts = cut(figures.filter("host is not null").groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
-    sums = hosts.agg(F.sum("docs").alias("n"), F.sum("failed").alias("f"), F.sum(F.col("failed") * F.col("failed") / F.col("docs")).alias("q")).first()
-    n, f, q = sums["n"] or 0, sums["f"] or 0, sums["q"] or 0.0
-    mean = f / n if n else 0.0
-    spread = q / n - mean * mean if n else 0.0
-    weight = min(1000.0, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else 1000.0
-    rate, limit = (F.col("failed") + mean * weight) / (F.col("docs") + weight), min(times_mean * mean, (1 + mean) / 2)
-    surely = F.col("rate") - deviations * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("docs") + weight + 1))
-    return hosts.withColumn("rate", rate).withColumn("surely", surely).withColumn("host_limit", F.lit(limit)).withColumn("host_ok", F.col("surely") <= F.col("host_limit"))
+    if not docs:
+        return 0.0, 1000.0
+    mean = failed / docs
+    own = mean * (1 - mean)
+    extra, share = ratios - docs * mean * mean - (hosts - 1) * own, docs - squares / docs - (hosts - 1)
+    if share <= 0 or extra <= 1e-9 * docs:
+        return mean, 1000.0
+    return mean, min(1000.0, max(1.0, own * share / extra - 1))
+
+
+def host_verdicts(figures: DataFrame, deviations: float = DEVIATIONS, times_mean: float = TIMES_MEAN) -> DataFrame:
+    """host, docs, for each rule failed_<rule>, rate_<rule> (posterior mean), surely_<rule>
+    (rate less ``deviations`` of the posterior) and limit_<rule>, and host_ok (no rule is
+    surely above its limit); null hosts get none.  See ``prior``."""
+    failures = [F.sum(F.expr(rule).cast("long")).alias(f"failed_{name}") for name, rule in RULES.items()]
+    hosts = cut(figures.filter("host is not null").groupBy("host").agg(F.count("*").alias("docs"), *failures))
+    docs = F.col("docs").cast("double")
+    sums = hosts.agg(
+        F.sum(docs).alias("docs"), F.sum(docs * docs).alias("squares"), F.count("*").alias("hosts"),
+        *[F.sum(f"failed_{name}").alias(f"failed_{name}") for name in RULES],
+        *[F.sum(F.col(f"failed_{name}") * F.col(f"failed_{name}") / docs).alias(f"ratios_{name}") for name in RULES],
+    ).first()
+    ok = F.lit(True)
+    for name in RULES:
+        mean, weight = prior(sums["docs"] or 0.0, sums["squares"] or 0.0, sums["hosts"], sums[f"failed_{name}"] or 0, sums[f"ratios_{name}"] or 0.0)
+        rate = (F.col(f"failed_{name}") + mean * weight) / (F.col("docs") + weight)
+        surely = rate - deviations * F.sqrt(rate * (1 - rate) / (F.col("docs") + weight + 1))
+        limit = min(times_mean * mean, (1 + mean) / 2)
+        hosts = hosts.withColumns({f"rate_{name}": rate, f"surely_{name}": surely, f"limit_{name}": F.lit(limit)})
+        ok = ok & (F.col(f"surely_{name}") <= limit)
+    return hosts.withColumn("host_ok", ok)
 
 
 def host_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", deviations: float = DEVIATIONS, times_mean: float = TIMES_MEAN) -> DataFrame:
-    """Figures, base_failed, host rate and kept for every row of ``docs``.
+    """Figures, base_failed, the host's rate of each rule and kept for every row of ``docs``.
 
     kept is false for a document that fails the base rules and for every document of a
     failing host.  Documents without a host are judged by the base rules alone; a null text
@@ -108,7 +143,8 @@ def host_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     adaptive execution: broadcast if small, else by key with hot hosts split.
     """
     base = cut(document_figures(docs, id_col, text_col, host_col))
-    verdicts = host_verdicts(base, deviations, times_mean).select(F.col("host").alias("h"), "rate", "host_ok")
+    rates = [f"rate_{name}" for name in RULES]
+    verdicts = host_verdicts(base, deviations, times_mean).select(F.col("host").alias("h"), *rates, "host_ok")
     return base.join(verdicts, F.col("host") == F.col("h"), "left").select(
-        "id", "host", *FIGURES, "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept")
+        "id", "host", *FIGURES, "base_failed", *rates, (~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).alias("kept")
     )
