@@ -86,3 +86,17 @@ def test_whitelist_rules(spark):
     assert all(r["whitelisted"] == r["want"] for r in whitelist.mark_whitelisted(df, rules).collect())
     assert whitelist.drop_whitelisted(df, rules).count() == sum(not r[3] for r in rows)
     assert whitelist.extended(rules, rules).count() == rules.count()
+
+
+def test_blocks_shorten_where_rows_are_dense(spark, monkeypatch):
+    """A block holds few rows however dense they lie, and the figures stay those of rescans."""
+    rng = random.Random(9)
+    rows = [(i, f"s{rng.randrange(2)}", rng.randrange(700_000_000), rng.choice("abc"), rng.choice([0, 1, 2, 3]), rng.randrange(100), rng.randrange(9), rng.choice([0, 1, 9]), "x") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert behavior.Blocks.of(df) == behavior.Blocks(behavior.BLOCK_US, None)
+    monkeypatch.setattr(behavior, "BLOCK_ROWS", 20)
+    blocks = behavior.Blocks.of(df)
+    most = df.groupBy("saddr", F.floor(F.col("t_us") / blocks.us)).count().agg(F.max("count")).first()[0]
+    assert most <= 20 and blocks.us < behavior.BLOCK_US and blocks.tasks == 10
+    got = behavior.scores(behavior.window_figures(df)).collect()
+    assert {r["row_id"]: (r["ports"], r["ips"], r["window_bytes"], r["window_packets"], r["failures"]) for r in got} == naive(rows)

@@ -9,7 +9,9 @@ all window figures, distinct counts included, are running sums:
   300 s after an occurrence that no other follows in time.
 
 Running sums are cut into blocks of time, so one busy source is spread over many tasks:
-sums within a block, plus the totals of the source's earlier blocks.  Where values enter
+sums within a block, plus the totals of the source's earlier blocks.  The rows are counted
+first: where they lie denser, blocks are shorter and tasks more, so that a task's memory
+does not grow with the rows.  Where values enter
 and leave is found from cells of the window's length: occurrences in one cell are never
 further apart, so a cell's first and last time say all, and a hot pair of source and
 value is summed up before it meets in a task.
@@ -18,6 +20,7 @@ value is summed up before it meets in a task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,13 +29,38 @@ from ..functions.fixed import BEHAVIOR_WINDOW_S, MAX_SOURCES
 from ..functions.lineage import cut
 
 SECOND = 1_000_000
-#: Length of a block of running sums.
+#: Greatest length of a block of running sums.
 BLOCK_US = 3600 * SECOND
+#: Lengths of blocks in seconds, and the rows of a key that one should hold at most.
+LENGTHS = (3600, 1200, 600, 300, 120, 60, 30, 10, 5, 2, 1)
+BLOCK_ROWS = 50_000
 #: The brute force score grows with failures up to 20 and starts above 3.
 LEVELS = range(4, 21)
 
 
-def running(rows: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = ("saddr",), block_us: int = BLOCK_US, order: Sequence[str] = (), least: Mapping[str, Column] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Blocks:
+    """Length of the blocks, and the number of tasks they are dealt to (None: the session's)."""
+
+    us: int = BLOCK_US
+    tasks: int | None = None
+
+    @classmethod
+    def of(cls, rows: DataFrame, keys: Sequence[str] = ("saddr",)) -> Blocks:
+        """The longest blocks without more than BLOCK_ROWS of ``rows`` (a written table) in one, else those of a second."""
+        cells = rows.groupBy(*keys, F.floor(F.col("t_us") / SECOND).alias("_cell")).agg(F.count("*").alias("_n"))
+        each = cells.select(*keys, "_n", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.floor(F.col("_cell") / s).alias("b")) for s in LENGTHS])).alias("_l"))
+        found = each.groupBy(*keys, "_l").agg(F.sum("_n").alias("_n")).groupBy("_l.s").agg(F.max("_n").alias("most"), F.sum("_n").alias("n")).collect()
+        fit = [r["s"] for r in found if r["most"] <= BLOCK_ROWS]
+        wanted = -(-max((r["n"] for r in found), default=0) // BLOCK_ROWS)
+        own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cls(max(fit, default=LENGTHS[-1]) * SECOND, wanted if wanted > own else None)
+
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.repartition(self.tasks, *keys) if self.tasks else rows
+
+
+def running(rows: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = ("saddr",), blocks: Blocks = Blocks(), order: Sequence[str] = (), least: Mapping[str, Column] | None = None) -> DataFrame:
     """Running sums per key (not null) up to and with each instant ``t_us``, or each row of ``order``.
 
     ``least`` are running minima.  Blocks make the sort and the scan of a key divisible; a
@@ -40,7 +68,7 @@ def running(rows: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = (
     back by an equi-join.  ``rows`` is read twice.
     """
     keys, least = list(keys), least or {}
-    rows = rows.withColumn("_block", F.floor(F.col("t_us") / block_us)).withColumns({f"_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()} | {f"_{n}": c for n, c in least.items()})
+    rows = rows.withColumn("_block", F.floor(F.col("t_us") / blocks.us)).withColumns({f"_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()} | {f"_{n}": c for n, c in least.items()})
     within = Window.partitionBy(*keys, "_block")
     inside = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if order else within.orderBy("t_us").rangeBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,7 +76,7 @@ def running(rows: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = (
     starts = totals.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums], *[F.min(f"_{n}").over(before).alias(f"_start_{n}") for n in least]
     )
-    local = rows.withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums} | {f"_{n}": F.min(f"_{n}").over(inside) for n in least})
+    local = blocks.dealt(rows, *keys, "_block").withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums} | {f"_{n}": F.min(f"_{n}").over(inside) for n in least})
     same = F.col("_block") == F.col("_kb")
     for i, k in enumerate(keys):
         same &= F.col(k) == F.col(f"_k{i}")
@@ -109,13 +137,13 @@ def source_epochs(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> Dat
     return idle_epochs(sessions, ["saddr"], window_s * SECOND)
 
 
-def _brute_levels(rows: DataFrame, window_us: int) -> DataFrame:
+def _brute_levels(rows: DataFrame, window_us: int, blocks: Blocks) -> DataFrame:
     """Steps (saddr, t_us, level, step): a service's failures in the window reach or leave a level."""
     failed = rows.filter("auth_failures > 0").select("saddr", F.coalesce("service", F.lit("")).alias("service"), "t_us", F.col("auth_failures").alias("n"))
     changes = failed.unionAll(failed.select("saddr", "service", F.col("t_us") + window_us, -F.col("n")))
     instants = changes.groupBy("saddr", "service", "t_us").agg(F.sum("n").alias("n"))
     cap = lambda c: F.least(F.greatest(c, F.lit(LEVELS[0] - 1)), F.lit(LEVELS[-1]))
-    levels = running(instants, {"now": F.col("n")}, ["saddr", "service"]).withColumns({"to": cap(F.col("now")), "from": cap(F.col("now") - F.col("n"))}).filter("`to` != `from`")
+    levels = running(instants, {"now": F.col("n")}, ["saddr", "service"], Blocks(blocks.us)).withColumns({"to": cap(F.col("now")), "from": cap(F.col("now") - F.col("n"))}).filter("`to` != `from`")
     crossed = F.sequence(F.least("to", "from") + 1, F.greatest("to", "from"))
     return levels.select("saddr", "t_us", F.when(F.col("to") > F.col("from"), 1).otherwise(-1).alias("step"), F.explode(crossed).alias("level"))
 
@@ -131,6 +159,7 @@ def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S, failu
     """
     us = window_s * SECOND
     base = cut(sessions.filter("saddr is not null and saddr != ''"))
+    blocks = Blocks.of(base)
     parts = base.select("saddr", "t_us", F.when(F.col("daddr") != "", F.col("daddr")).alias("_ip"), F.when(F.col("dport") > 0, F.col("dport")).alias("_port"))
     both = base.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
     signed = lambda c: F.when(F.col("_own"), F.col(c)).otherwise(-F.col(c))
@@ -138,13 +167,13 @@ def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S, failu
     rows = both.select(
         "saddr", F.when(F.col("_own"), F.col("t_us")).otherwise(F.col("t_us") + us).alias("t_us"), "_own", signed("total_fwd_bytes").alias("_b"), signed("total_fwd_packets").alias("_p"), *[F.when(F.col("_own"), F.col(c)).alias(c) for c in rest]
     )
-    steps = [_distinct_steps(parts, "_ip", us, "_i"), _distinct_steps(parts, "_port", us, "_o"), *([_brute_levels(base, us)] if failures else [])]
+    steps = [_distinct_steps(parts, "_ip", us, "_i"), _distinct_steps(parts, "_port", us, "_o"), *([_brute_levels(base, us, blocks)] if failures else [])]
     for s in steps:
         rows = rows.unionByName(s.withColumn("_own", F.lit(False)), allowMissingColumns=True)
     sums = {"window_bytes": F.col("_b"), "window_packets": F.col("_p"), "ips": F.col("_i"), "ports": F.col("_o")}
     levels = [f"level{k}" for k in LEVELS] if failures else []
     sums |= {f"level{k}": F.when(F.col("level") == k, F.col("step")) for k in LEVELS if failures}
-    found = running(rows, sums).filter("_own")
+    found = running(rows, sums, blocks=blocks).filter("_own")
     most = F.greatest(*[F.when(F.col(f"level{k}") > 0, k).otherwise(0) for k in LEVELS]) if failures else F.lit(0)
     return found.withColumn("failures", most).drop("_own", "_b", "_p", "_i", "_o", "level", "step", *levels)
 
@@ -152,14 +181,16 @@ def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S, failu
 def _kept(figures: DataFrame, names: Sequence[str]) -> DataFrame:
     """``names`` with nulls replaced by the source's last value before (of its epoch, where there
     is one), within and across blocks; 0 at first."""
-    rows = cut(figures.withColumn("_block", F.floor(F.col("t_us") / BLOCK_US)))
+    rows = cut(figures)
+    blocks = Blocks.of(rows)
+    rows = rows.withColumn("_block", F.floor(F.col("t_us") / blocks.us))
     at = F.struct("t_us", "row_id")
     keys = ["saddr", *[c for c in ("epoch",) if c in figures.columns]]
     inside = Window.partitionBy(*keys, "_block").orderBy("t_us", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_block").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names])
     starts = totals.select(*keys, "_block", *[F.last(n, ignorenulls=True).over(before).alias(f"_start{n}") for n in names])
-    local = rows.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).join(starts, [*keys, "_block"])
+    local = blocks.dealt(rows, *keys, "_block").withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).join(starts, [*keys, "_block"])
     return local.withColumns({n: F.coalesce(n, f"_start{n}", F.lit(0.0)) for n in names}).drop("_block", *[f"_start{n}" for n in names])
 
 
@@ -206,7 +237,7 @@ def lifetime(sessions: DataFrame) -> DataFrame:
         "all_tls": total("tls_event_count"), "all_tls_failures": total("tls_failures"), "all_ssh": total("ssh_event_count"), "all_auth_failures": total("auth_failures"),
         "rejected_flows": count(F.col("state") == "rejected"), "reset_flows": count(F.col("state") == "rst"), "tcp_flows": count(F.col("proto") == "TCP"), "udp_flows": count(F.col("proto") == "UDP"),
     }
-    found = running(rows, sums, keys, order=["t_us", "row_id", "_own"], least={"first_seen_us": own(F.col("t_us"))})
+    found = running(rows, sums, keys, Blocks.of(base), order=["t_us", "row_id", "_own"], least={"first_seen_us": own(F.col("t_us"))})
     return found.filter("_own").drop("_own", "_ip", "_port")
 
 
