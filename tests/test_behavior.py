@@ -1,6 +1,8 @@
 import random
 
 from pyspark.sql import functions as F
+from test_stream_windows import SCHEMA as SESSIONS
+from test_stream_windows import session
 
 from tidewatch.operators import alerts, behavior, clean, scoring, whitelist
 
@@ -100,3 +102,44 @@ def test_blocks_shorten_where_rows_are_dense(spark, monkeypatch):
     assert most <= 20 and blocks.us < behavior.BLOCK_US and blocks.tasks == 10
     got = behavior.scores(behavior.window_figures(df)).collect()
     assert {r["row_id"]: (r["ports"], r["ips"], r["window_bytes"], r["window_packets"], r["failures"]) for r in got} == naive(rows)
+
+
+def recounted(rows, us=300_000_000):
+    """Lifetime counters and window figures of sessions, source by source in plain Python."""
+    names = [c.split()[0] for c in SESSIONS.split(", ")]
+    rows, out = [dict(zip(names, r, strict=True)) for r in rows], {}
+    for source in {r["saddr"] for r in rows}:
+        own, last, epoch, life = sorted((r for r in rows if r["saddr"] == source), key=lambda r: (r["t_us"], r["row_id"])), None, 0, []
+        for r in own:
+            if last is not None and r["t_us"] - last > us:
+                epoch, life = epoch + 1, []
+            last = r["t_us"]
+            life.append(r)
+            seen, by = [x for x in own if r["t_us"] - us < x["t_us"] <= r["t_us"]], {}
+            for x in seen:
+                service = x["appproto"] or f"{x['proto']}-{x['dport']}"
+                by[service] = by.get(service, 0) + sum(c in ("401", "403") for c in x["http_status_codes"] if x["http_event_count"]) + (x["ssh_event_count"] > 0 and x["state"] == "rejected")
+            most = min(20, max(by.values()))
+            ips, ports = (lambda found: len({x["daddr"] for x in found if x["daddr"]})), (lambda found: len({x["dport"] for x in found if x["dport"] > 0}))
+            out[r["row_id"]] = {
+                "epoch": epoch, "first_seen_us": life[0]["t_us"], "total_flows": len(life), "completed_flows": sum(x["is_complete"] for x in life), "bytes_received": sum(x["total_bwd_bytes"] for x in life),
+                "unique_dst_ips": ips(life), "unique_dst_ports": ports(life), "tcp_flows": sum(x["proto"] == "TCP" for x in life), "ips": ips(seen), "ports": ports(seen),
+                "window_bytes": sum(x["total_fwd_bytes"] for x in seen), "window_packets": sum(x["total_fwd_packets"] for x in seen), "failures": most if most > 3 else 0,
+            }
+    return out
+
+
+def test_sessions_are_written_once_for_all_figures(spark, monkeypatch):
+    """Counters and window figures come from one sweep, in short blocks and over silences."""
+    rng = random.Random(12)
+    times = [1_000_000 * rng.choice([rng.randrange(900), 300, 301, 600, 1200 + rng.randrange(9), 3000 + rng.randrange(900)]) + rng.choice([0, 0, 1]) for _ in range(260)]
+    rows = [session(rng, i, t, rng.choice("aaab")) for i, t in enumerate(times)]
+    written = []
+    keep = behavior.cut
+    monkeypatch.setattr(behavior, "cut", lambda df: written.append(df.columns) or keep(df))
+    monkeypatch.setattr(behavior, "BLOCK_ROWS", 20)
+    got = behavior.analyze(spark.createDataFrame(rows, SESSIONS)).collect()
+    want = recounted(rows)
+    assert {r["row_id"]: {n: r[n] for n in want[r["row_id"]]} for r in got} == want
+    assert max(w["epoch"] for w in want.values()) > 0 and max(w["failures"] for w in want.values()) > 3
+    assert sum("total_bwd_bytes" in columns for columns in written) == 1

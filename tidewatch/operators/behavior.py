@@ -15,11 +15,16 @@ does not grow with the rows.  Where values enter
 and leave is found from cells of the window's length: occurrences in one cell are never
 further apart, so a cell's first and last time say all, and a hot pair of source and
 value is summed up before it meets in a task.
+
+Lifetime counters and window figures share one pass over the sorted rows: a source's
+epoch ends by a silence longer than the window, so at its start both are zero.  Steps
+(rows that leave, values and failures that come and go) travel without the session's
+columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -57,32 +62,40 @@ class Blocks:
         return cls(max(fit, default=LENGTHS[-1]) * SECOND, wanted if wanted > own else None)
 
     def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
-        return rows.repartition(self.tasks, *keys) if self.tasks else rows
+        return rows.repartition(self.tasks, *keys) if self.tasks else rows.repartition(*keys)
 
 
-def running(rows: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = ("saddr",), blocks: Blocks = Blocks(), order: Sequence[str] = (), least: Mapping[str, Column] | None = None) -> DataFrame:
+def running(
+    rows: DataFrame, sums: Mapping[str, Column], keys: Sequence[str] = ("saddr",), blocks: Blocks = Blocks(), order: Sequence[str] = (), least: Mapping[str, Column] | None = None, instants: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Running sums per key (not null) up to and with each instant ``t_us``, or each row of ``order``.
 
-    ``least`` are running minima.  Blocks make the sort and the scan of a key divisible; a
-    key's block totals are few (its time span over the block length), and their sums go
-    back by an equi-join.  ``rows`` is read twice.
+    ``least`` are running minima; ``instants`` are sums up to and with the instant where
+    ``sums`` go by ``order`` (which begins with ``t_us``).  Blocks make the sort and the scan
+    of a key divisible; a key's block totals are few (its time span over the block length),
+    and their sums go back by an equi-join.  Terms are worked out after the sort, so that
+    only ``rows`` are moved.  ``rows`` is read twice.
     """
-    keys, least = list(keys), least or {}
-    rows = rows.withColumn("_block", F.floor(F.col("t_us") / blocks.us)).withColumns({f"_{n}": F.coalesce(c, F.lit(0)) for n, c in sums.items()} | {f"_{n}": c for n, c in least.items()})
+    keys, least, instants = list(keys), least or {}, instants or {}
+    added = {**sums, **instants}
+    terms = {f"_{n}": F.coalesce(c, F.lit(0)) for n, c in added.items()} | {f"_{n}": c for n, c in least.items()}
+    rows = rows.withColumn("_block", F.floor(F.col("t_us") / blocks.us))
     within = Window.partitionBy(*keys, "_block")
-    inside = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if order else within.orderBy("t_us").rangeBetween(Window.unboundedPreceding, 0)
+    upto = within.orderBy("t_us").rangeBetween(Window.unboundedPreceding, 0)
+    inside = within.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) if order else upto
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, "_block").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in sums], *[F.min(f"_{n}").alias(f"_{n}") for n in least])
+    totals = rows.withColumns(terms).groupBy(*keys, "_block").agg(*[F.sum(f"_{n}").alias(f"_{n}") for n in added], *[F.min(f"_{n}").alias(f"_{n}") for n in least])
     starts = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in sums], *[F.min(f"_{n}").over(before).alias(f"_start_{n}") for n in least]
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_kb"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_start_{n}") for n in added], *[F.min(f"_{n}").over(before).alias(f"_start_{n}") for n in least]
     )
-    local = blocks.dealt(rows, *keys, "_block").withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums} | {f"_{n}": F.min(f"_{n}").over(inside) for n in least})
+    local = blocks.dealt(rows, *keys, "_block").sortWithinPartitions(*keys, "_block", *(order or ["t_us"])).withColumns(terms)
+    local = local.withColumns({f"_{n}": F.sum(f"_{n}").over(inside if n in sums else upto) for n in added} | {f"_{n}": F.min(f"_{n}").over(inside) for n in least})
     same = F.col("_block") == F.col("_kb")
     for i, k in enumerate(keys):
         same &= F.col(k) == F.col(f"_k{i}")
     joined = local.join(starts, same)
-    out = {n: F.col(f"_{n}") + F.col(f"_start_{n}") for n in sums} | {n: F.least(f"_{n}", f"_start_{n}") for n in least}
-    return joined.withColumns(out).drop("_kb", "_block", *[f"_k{i}" for i in range(len(keys))], *[f"{p}{n}" for p in ("_", "_start_") for n in (*sums, *least)])
+    out = {n: F.col(f"_{n}") + F.col(f"_start_{n}") for n in added} | {n: F.least(f"_{n}", f"_start_{n}") for n in least}
+    return joined.withColumns(out).drop("_kb", *[f"_k{i}" for i in range(len(keys))], *[f"{p}{n}" for p in ("_", "_start_") for n in (*added, *least)])
 
 
 def cells(rows: DataFrame, keys: Sequence[str], us: int) -> DataFrame:
@@ -104,27 +117,36 @@ def auth_failures(sessions: DataFrame) -> DataFrame:
     })
 
 
-def _distinct_steps(rows: DataFrame, value: str, us: int, name: str) -> DataFrame:
-    """saddr, t_us and ``name``: +1 where a value enters the window, -1 where it leaves."""
-    found = cells(rows.filter(F.col(value).isNotNull()), ["saddr", value], us)
-    w = Window.partitionBy("saddr", value).orderBy("cell")
-    enters = F.coalesce(F.col("first") - F.lag("last").over(w) >= us, F.lit(True))
-    leaves = F.coalesce(F.lead("first").over(w) - F.col("last") >= us, F.lit(True))
-    step = lambda test, t, n: F.when(test, F.struct(t.alias("t_us"), F.lit(n).alias(name)))
-    found = found.withColumns({"enters": enters, "leaves": leaves})
-    steps = found.select("saddr", F.explode(F.array(step(F.col("enters"), F.col("first"), 1), step(F.col("leaves"), F.col("last") + us, -1))).alias("s"))
-    return steps.filter("s is not null").select("saddr", "s.*")
+def _value_steps(rows: DataFrame, value: Column, keys: Sequence[str], us: int, window: str, life: str | None) -> DataFrame:
+    """keys, t_us and ``window``: +1 where a value enters the window, -1 where it leaves.
+
+    With ``life`` also row_id and ``life``: 1 where a value comes for the first time.
+    A cell lies in one epoch, so the same cells serve both.
+    """
+    known = rows.withColumn("_v", value).filter("_v is not null")
+    at = [F.min(F.struct("t_us", "row_id")).alias("at")] if life else []
+    found = known.groupBy(*keys, "_v", F.floor(F.col("t_us") / us).alias("cell")).agg(F.min("t_us").alias("first"), F.max("t_us").alias("last"), *at)
+    w = Window.partitionBy(*keys, "_v").orderBy("cell")
+    of_life = lambda row, new: [row.cast(rows.schema["row_id"].dataType).alias("row_id"), new.cast("int").alias(life)] if life else []
+    step = lambda test, t, now, *more: F.when(test, F.struct(t.alias("t_us"), now.cast("int").alias(window), *of_life(*(more or (F.lit(None), F.lit(None))))))
+    enters, leaves = F.coalesce(F.col("first") - F.lag("last").over(w) >= us, F.lit(True)), F.coalesce(F.lead("first").over(w) - F.col("last") >= us, F.lit(True))
+    found = found.withColumns({"enters": enters, "leaves": leaves} | ({"new": F.lag("cell").over(w).isNull()} if life else {}))
+    steps = [step(F.col("enters"), F.col("first"), F.lit(1)), step(F.col("leaves"), F.col("last") + us, F.lit(-1))]
+    if life:
+        steps.append(step(F.col("new"), F.col("at.t_us"), F.lit(None), F.col("at.row_id"), F.lit(1)))
+    return found.select(*keys, F.explode(F.array(*steps)).alias("s")).filter("s is not null").select(*keys, "s.*")
 
 
 def idle_epochs(rows: DataFrame, keys: Sequence[str], us: int, name: str = "epoch") -> DataFrame:
     """``name``: how many times the key was silent for more than ``us`` before the row.
 
-    A longer gap lies between two cells of that length, so a key's cells decide.
+    A longer gap lies between two cells of that length, so a key's cells decide.  They are
+    written, so that a small table of them is known to be small and ``rows`` are not moved.
     """
     w = Window.partitionBy(*keys).orderBy("cell")
     idle = F.coalesce(F.col("first") - F.lag("last").over(w) > us, F.lit(False)).cast("int")
     of = [F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)]
-    numbered = cells(rows, keys, us).withColumn("_idle", idle).select(*of, "cell", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name))
+    numbered = cut(cells(rows, keys, us).withColumn("_idle", idle).select(*of, "cell", F.sum("_idle").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(name)))
     same = F.floor(F.col("t_us") / us) == F.col("cell")
     for i, k in enumerate(keys):
         same &= F.col(k).eqNullSafe(F.col(f"_of{i}"))
@@ -137,15 +159,70 @@ def source_epochs(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> Dat
     return idle_epochs(sessions, ["saddr"], window_s * SECOND)
 
 
-def _brute_levels(rows: DataFrame, window_us: int, blocks: Blocks) -> DataFrame:
-    """Steps (saddr, t_us, level, step): a service's failures in the window reach or leave a level."""
-    failed = rows.filter("auth_failures > 0").select("saddr", F.coalesce("service", F.lit("")).alias("service"), "t_us", F.col("auth_failures").alias("n"))
-    changes = failed.unionAll(failed.select("saddr", "service", F.col("t_us") + window_us, -F.col("n")))
-    instants = changes.groupBy("saddr", "service", "t_us").agg(F.sum("n").alias("n"))
+def _failure_steps(rows: DataFrame, keys: Sequence[str], us: int, blocks: Blocks) -> DataFrame:
+    """keys, t_us and _f: by how much the most failures of one service (4 to 20, else 0) change.
+
+    Each service's failures in the window reach and leave levels; the services at each level
+    are counted at every instant that has such a step.
+    """
+    blocks = Blocks(blocks.us)
+    failed = rows.filter("auth_failures > 0").select(*keys, F.coalesce("service", F.lit("")).alias("service"), "t_us", F.col("auth_failures").alias("n"))
+    changes = failed.unionAll(failed.withColumns({"t_us": F.col("t_us") + us, "n": -F.col("n")}))
+    instants = cut(changes.groupBy(*keys, "service", "t_us").agg(F.sum("n").alias("n")).filter("n != 0"))
     cap = lambda c: F.least(F.greatest(c, F.lit(LEVELS[0] - 1)), F.lit(LEVELS[-1]))
-    levels = running(instants, {"now": F.col("n")}, ["saddr", "service"], Blocks(blocks.us)).withColumns({"to": cap(F.col("now")), "from": cap(F.col("now") - F.col("n"))}).filter("`to` != `from`")
-    crossed = F.sequence(F.least("to", "from") + 1, F.greatest("to", "from"))
-    return levels.select("saddr", "t_us", F.when(F.col("to") > F.col("from"), 1).otherwise(-1).alias("step"), F.explode(crossed).alias("level"))
+    crossed = running(instants, {"now": F.col("n")}, [*keys, "service"], blocks).select(*keys, "t_us", cap(F.col("now")).alias("to"), cap(F.col("now") - F.col("n")).alias("from")).filter("`to` != `from`")
+    step = lambda k: F.when((F.col("to") >= k) & (F.col("from") < k), 1).when((F.col("to") < k) & (F.col("from") >= k), -1).otherwise(0)
+    steps = cut(crossed.groupBy(*keys, "t_us").agg(*[F.sum(step(k)).alias(f"step{k}") for k in LEVELS]))
+    found = running(steps, {f"level{k}": F.col(f"step{k}") for k in LEVELS}, keys, blocks)
+    most = lambda at: F.greatest(*[F.when(at(k) > 0, k).otherwise(0) for k in LEVELS])
+    change = most(lambda k: F.col(f"level{k}")) - most(lambda k: F.col(f"level{k}") - F.col(f"step{k}"))
+    return found.select(*keys, "t_us", change.alias("_f")).filter("_f != 0")
+
+
+def _figures(base: DataFrame, keys: Sequence[str], us: int, window: bool, life: bool, failures: bool = True) -> DataFrame:
+    """``base`` (a written table) with window figures, lifetime counters or both, in one pass; ``_block`` beside them.
+
+    With epochs among the ``keys``, ``us`` has to be the silence that ends one.  The steps are written once.
+    """
+    keys = list(keys)
+    blocks = Blocks.of(base)
+    values = [("_i", "_li", F.when(F.col("daddr") != "", F.col("daddr"))), ("_o", "_lo", F.when(F.col("dport") > 0, F.col("dport")))]
+    steps = [_value_steps(base, value, keys, us, now, first if life else None) for now, first, value in values]
+    if window and failures:
+        steps.append(_failure_steps(base, keys, us, blocks))
+    union = steps[0]
+    for s in steps[1:]:
+        union = union.unionByName(s, allowMissingColumns=True)
+    union = cut(union if window else union.filter("_li = 1 or _lo = 1"))
+    session = [c for c in base.columns if c not in (*keys, "t_us", "row_id")]
+    own = base.select(*keys, "t_us", "row_id", F.lit(True).alias("_own"), F.struct(*session).alias("_s"))
+    rows = own.unionByName(union.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    if window:
+        left = base.select(*keys, (F.col("t_us") + us).alias("t_us"), F.lit(False).alias("_own"), F.col("total_fwd_bytes").alias("_b"), F.col("total_fwd_packets").alias("_p"))
+        rows = rows.unionByName(left, allowMissingColumns=True)
+    of = lambda c: F.col("_s").getField(c) if c in session else F.col(c)
+    signed = lambda c, gone: F.coalesce(of(c), -F.col(gone))
+    instants = {"window_bytes": signed("total_fwd_bytes", "_b"), "window_packets": signed("total_fwd_packets", "_p"), "ips": F.col("_i"), "ports": F.col("_o")} if window else {}
+    if window and failures:
+        instants["failures"] = F.col("_f")
+    sums, least = (_lifetime_sums(of), {"first_seen_us": F.when(F.col("_own"), F.col("t_us"))}) if life else ({}, {})
+    found = running(rows, sums, keys, blocks, ["t_us", "row_id", "_own"] if life else (), least, instants).filter("_own")
+    added = [*sums, *least, *instants]
+    out = found.select(*[of(c).alias(c) if c in session else c for c in base.columns], *added, "_block")
+    return out.withColumn("failures", F.col("failures").cast("int") if failures else F.lit(0)) if window else out
+
+
+def _lifetime_sums(of: Callable[[str], Column]) -> dict[str, Column]:
+    """Terms of the lifetime counters; ``of`` gives a session's column, null in rows that are steps."""
+    count = lambda test: test.cast("long")
+    return {
+        "total_flows": F.when(F.col("_own"), F.lit(1).cast("long")), "completed_flows": count(of("is_complete")), "active_flows": count(~of("is_complete")),
+        "bytes_sent": of("total_fwd_bytes"), "bytes_received": of("total_bwd_bytes"), "packets_sent": of("total_fwd_packets"), "packets_received": of("total_bwd_packets"),
+        "unique_dst_ips": F.col("_li"), "unique_dst_ports": F.col("_lo"),
+        "all_http": of("http_event_count"), "all_http_errors": of("http_errors"), "all_dns": of("dns_event_count"), "all_dns_failures": of("dns_failures"),
+        "all_tls": of("tls_event_count"), "all_tls_failures": of("tls_failures"), "all_ssh": of("ssh_event_count"), "all_auth_failures": of("auth_failures"),
+        "rejected_flows": count(of("state") == "rejected"), "reset_flows": count(of("state") == "rst"), "tcp_flows": count(of("proto") == "TCP"), "udp_flows": count(of("proto") == "UDP"),
+    }
 
 
 def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S, failures: bool = True) -> DataFrame:
@@ -157,40 +234,30 @@ def window_figures(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S, failu
     else 0).  Sessions of one instant see each other.  The sessions are written once, as
     they are read for each figure.
     """
-    us = window_s * SECOND
     base = cut(sessions.filter("saddr is not null and saddr != ''"))
-    blocks = Blocks.of(base)
-    parts = base.select("saddr", "t_us", F.when(F.col("daddr") != "", F.col("daddr")).alias("_ip"), F.when(F.col("dport") > 0, F.col("dport")).alias("_port"))
-    both = base.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False))))
-    signed = lambda c: F.when(F.col("_own"), F.col(c)).otherwise(-F.col(c))
-    rest = [c for c in base.columns if c not in ("saddr", "t_us")]
-    rows = both.select(
-        "saddr", F.when(F.col("_own"), F.col("t_us")).otherwise(F.col("t_us") + us).alias("t_us"), "_own", signed("total_fwd_bytes").alias("_b"), signed("total_fwd_packets").alias("_p"), *[F.when(F.col("_own"), F.col(c)).alias(c) for c in rest]
-    )
-    steps = [_distinct_steps(parts, "_ip", us, "_i"), _distinct_steps(parts, "_port", us, "_o"), *([_brute_levels(base, us, blocks)] if failures else [])]
-    for s in steps:
-        rows = rows.unionByName(s.withColumn("_own", F.lit(False)), allowMissingColumns=True)
-    sums = {"window_bytes": F.col("_b"), "window_packets": F.col("_p"), "ips": F.col("_i"), "ports": F.col("_o")}
-    levels = [f"level{k}" for k in LEVELS] if failures else []
-    sums |= {f"level{k}": F.when(F.col("level") == k, F.col("step")) for k in LEVELS if failures}
-    found = running(rows, sums, blocks=blocks).filter("_own")
-    most = F.greatest(*[F.when(F.col(f"level{k}") > 0, k).otherwise(0) for k in LEVELS]) if failures else F.lit(0)
-    return found.withColumn("failures", most).drop("_own", "_b", "_p", "_i", "_o", "level", "step", *levels)
+    return _figures(base, ["saddr"], window_s * SECOND, True, False, failures).drop("_block")
 
 
 def _kept(figures: DataFrame, names: Sequence[str]) -> DataFrame:
     """``names`` with nulls replaced by the source's last value before (of its epoch, where there
-    is one), within and across blocks; 0 at first."""
-    rows = cut(figures)
-    blocks = Blocks.of(rows)
-    rows = rows.withColumn("_block", F.floor(F.col("t_us") / blocks.us))
+    is one), within and across blocks; 0 at first.
+
+    Figures that still have their ``_block`` lie by it and in order, and go on from there;
+    the blocks' last values are then worked out apart, from the columns that they need.
+    """
+    rows = figures
+    if "_block" not in figures.columns:
+        rows = cut(figures)
+        blocks = Blocks.of(rows)
+        rows = rows.withColumn("_block", F.floor(F.col("t_us") / blocks.us))
     at = F.struct("t_us", "row_id")
     keys = ["saddr", *[c for c in ("epoch",) if c in figures.columns]]
     inside = Window.partitionBy(*keys, "_block").orderBy("t_us", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_block").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), at)).alias(n) for n in names])
     starts = totals.select(*keys, "_block", *[F.last(n, ignorenulls=True).over(before).alias(f"_start{n}") for n in names])
-    local = blocks.dealt(rows, *keys, "_block").withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).join(starts, [*keys, "_block"])
+    dealt = rows if rows is figures else blocks.dealt(rows, *keys, "_block")
+    local = dealt.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names}).join(starts, [*keys, "_block"], "left")
     return local.withColumns({n: F.coalesce(n, f"_start{n}", F.lit(0.0)) for n in names}).drop("_block", *[f"_start{n}" for n in names])
 
 
@@ -220,25 +287,7 @@ def lifetime(sessions: DataFrame) -> DataFrame:
     The first session of each address and port, one row each after partial sums, carries
     the step of the distinct counts.
     """
-    keys = ["saddr", "epoch"]
-    base = cut(sessions)
-    rows = base.withColumn("_own", F.lit(True))
-    for name, value in (("_ip", F.when(F.col("daddr") != "", F.col("daddr"))), ("_port", F.when(F.col("dport") > 0, F.col("dport")))):
-        seen = base.select(*keys, "t_us", "row_id", value.alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.min(F.struct("t_us", "row_id")).alias("at"))
-        rows = rows.unionByName(seen.select(*keys, "at.*", F.lit(1).alias(name), F.lit(False).alias("_own")), allowMissingColumns=True)
-    own = lambda c: F.when(F.col("_own"), c)
-    count = lambda test: own(test.cast("long"))
-    total = lambda c: own(F.col(c))
-    sums = {
-        "total_flows": own(F.lit(1).cast("long")), "completed_flows": count(F.col("is_complete")), "active_flows": count(~F.col("is_complete")),
-        "bytes_sent": total("total_fwd_bytes"), "bytes_received": total("total_bwd_bytes"), "packets_sent": total("total_fwd_packets"), "packets_received": total("total_bwd_packets"),
-        "unique_dst_ips": F.col("_ip"), "unique_dst_ports": F.col("_port"),
-        "all_http": total("http_event_count"), "all_http_errors": total("http_errors"), "all_dns": total("dns_event_count"), "all_dns_failures": total("dns_failures"),
-        "all_tls": total("tls_event_count"), "all_tls_failures": total("tls_failures"), "all_ssh": total("ssh_event_count"), "all_auth_failures": total("auth_failures"),
-        "rejected_flows": count(F.col("state") == "rejected"), "reset_flows": count(F.col("state") == "rst"), "tcp_flows": count(F.col("proto") == "TCP"), "udp_flows": count(F.col("proto") == "UDP"),
-    }
-    found = running(rows, sums, keys, Blocks.of(base), order=["t_us", "row_id", "_own"], least={"first_seen_us": own(F.col("t_us"))})
-    return found.filter("_own").drop("_own", "_ip", "_port")
+    return _figures(cut(sessions), ["saddr", "epoch"], BEHAVIOR_WINDOW_S * SECOND, False, True).drop("_block")
 
 
 def counters_by(sessions: DataFrame, column: str) -> DataFrame:
@@ -261,8 +310,13 @@ def features(scored: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
 
 def analyze(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
     """W1-W9, W11 for sessions with row_id and t_us (event time in microseconds)."""
-    ready = source_epochs(cut(auth_failures(sessions).filter("saddr is not null and saddr != ''")), window_s)
-    return features(scores(window_figures(lifetime(ready), window_s), window_s), window_s)
+    return analyze_counted(auth_failures(sessions), window_s)
+
+
+def analyze_counted(sessions: DataFrame, window_s: int = BEHAVIOR_WINDOW_S) -> DataFrame:
+    """``analyze`` for sessions whose failures are counted; the sessions are written once."""
+    ready = source_epochs(cut(sessions.filter("saddr is not null and saddr != ''")), window_s)
+    return features(scores(_figures(ready, ["saddr", "epoch"], window_s * SECOND, True, True), window_s).drop("_block"), window_s)
 
 
 def anomalous(scored: DataFrame, least: float = 0.5) -> DataFrame:

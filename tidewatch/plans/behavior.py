@@ -66,7 +66,8 @@ _RATES = ["flow_rate", "complete_flow_ratio", "dst_ips_per_second", "dst_ports_p
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.analyze(as_sessions(spark, sf_dir))
+    """Sessions with figures, scores and features, without the columns that are only read to count failures."""
+    return ops.analyze_counted(ops.auth_failures(as_sessions(spark, sf_dir)).drop("flow_id", "event_type", "age_s", "appproto", "http_status_codes", "dns_answers"))
 
 
 def behavior_features(spark: SparkSession, sf_dir: str) -> DataFrame:
